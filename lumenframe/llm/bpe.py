@@ -20,6 +20,7 @@ import codecs
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -33,11 +34,11 @@ from lumenframe.llm.shared import only
 #: Fixed pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most pieces that are remembered, and the longest piece that is.
-CACHE_PIECES, CACHE_CHARS = 200_000, 64
+CACHE_PIECES, CACHE_CHARS = 500_000, 64
 #: Pieces that are encoded at a time, and bytes of a batch that goes out.
 BLOCK_PIECES, BATCH_BYTES = 20_000, 4_000_000
 FAR = 1 << 60
-#: In so short a piece every start is tried; beyond it, only those within a token's tail.
+#: Pieces of at most so many bytes are read whole before their tokens go out.
 SHORT = 24
 
 
@@ -120,7 +121,7 @@ class Vocabulary:
         id_of, fits, may_follow = self.id_of.get, self.fits.get, self.may_follow
         for end in range(1, len(data) + 1):
             found = None
-            for start in range(base, end) if end - base <= SHORT else self.starts(data, base, end):
+            for start in self.starts(data, base, end):
                 token = id_of(data[start:end])
                 if token is None:
                     continue
@@ -137,6 +138,30 @@ class Vocabulary:
                 check = max(4 * self.longest, 2 * len(last))
         yield from self.tokens_to(last, len(last) - 1)
 
+    def whole(self, data: bytes) -> list[int]:
+        """The tokens of a piece that ends within the lookahead.
+
+        Only one row of tokens may follow each other all along, so the first one found is it.
+        """
+        id_of, fits, may_follow = self.id_of.get, self.fits.get, self.may_follow
+        tokens, starts, dead, at, end, size, ahead = [], [], set(), 0, len(data), len(data), -1
+        while at < size:
+            while end > at:
+                token = id_of(data[at:end])
+                if token is not None and (ahead == -1 or (fit if (fit := fits(ahead << 32 | token)) is not None else may_follow(ahead, token))) and end not in dead:
+                    break
+                end -= 1
+            if end > at:
+                tokens.append(token)
+                starts.append(at)
+                ahead, at, end = token, end, size
+            else:
+                dead.add(at)
+                tokens.pop()
+                end, at = at - 1, starts.pop()
+                ahead = tokens[-1] if tokens else -1
+        return tokens
+
     def starts(self, data: bytes, base: int, end: int) -> range:
         """Where tokens that end here may start, the longest first."""
         start = end - 1
@@ -164,11 +189,13 @@ class Pieces(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
-        ids = list(self.vocabulary.transduce(piece.encode("utf-8", "surrogatepass")))
+        data = piece.encode("utf-8", "surrogatepass")
+        ids = self.vocabulary.whole(data) if len(data) <= SHORT else list(self.vocabulary.transduce(data))
         packed = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
+            if len(self) >= CACHE_PIECES:  # dicts keep order: the oldest half goes
+                for old in list(islice(self, CACHE_PIECES // 2)):
+                    del self[old]
             self[piece] = packed
         return packed
 

@@ -158,7 +158,7 @@ dw AS (
   SELECT rn, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS win
   FROM (SELECT d.*, l.m, unnest(range(1, len(w) - l.m + 2)) AS p FROM d, (SELECT DISTINCT m FROM b) l)),
 hit AS (SELECT rn, item_id, dw.m, p FROM dw JOIN bw ON dw.m = bw.m AND dw.win = bw.win),
-n AS (SELECT rn, count(DISTINCT at) AS n_hit FROM (SELECT rn, unnest(range(p, p + m)) AS at FROM hit) GROUP BY rn),
+n AS (SELECT rn, count(DISTINCT pos) AS n_hit FROM (SELECT rn, unnest(range(p, p + m)) AS pos FROM hit) GROUP BY rn),
 i AS (
   SELECT rn, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
   FROM (SELECT DISTINCT rn, item_id FROM hit) GROUP BY rn)

@@ -7,7 +7,9 @@ from importlib import import_module
 #: query name -> module of this subpackage that has a function of that name and maybe SQL.
 MODULES = {
     "op3_url_filter": "url_filter",
+    "op6_bpe": "bpe",
     "op8_sharding": "sharding",
+    "op10_decontamination": "decontaminate",
 }
 
 
