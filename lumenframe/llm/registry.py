@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from lumenframe.llm.shared import ship
+
 #: query name -> module of this subpackage that has a function of that name and maybe SQL.
 MODULES = {
+    "op1_language_id": "langid",
     "op3_url_filter": "url_filter",
+    "op5_fingerprints": "imatch",
     "op6_bpe": "bpe",
     "op8_sharding": "sharding",
+    "op9_quality": "quality",
     "op10_decontamination": "decontaminate",
 }
 
 
+def shipped(query):
+    """The query, once executors have this package."""
+
+    @wraps(query)
+    def run(spark, *args):
+        ship(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"lumenframe.llm.{module}"), name) for name, module in MODULES.items()}
+    return {name: shipped(getattr(import_module(f"lumenframe.llm.{module}"), name)) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
