@@ -10,6 +10,7 @@ from lumenframe.llm.shared import ship
 #: query name -> module of this subpackage that has a function of that name and maybe SQL.
 MODULES = {
     "op1_language_id": "langid",
+    "op2_html_text": "html_text",
     "op3_url_filter": "url_filter",
     "op5_fingerprints": "imatch",
     "op6_bpe": "bpe",
