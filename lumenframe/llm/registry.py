@@ -14,6 +14,7 @@ MODULES = {
     "op3_url_filter": "url_filter",
     "op5_fingerprints": "imatch",
     "op6_bpe": "bpe",
+    "op7_near_dedup": "near_dedup",
     "op8_sharding": "sharding",
     "op9_quality": "quality",
     "op10_decontamination": "decontaminate",
