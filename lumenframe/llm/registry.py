@@ -12,6 +12,7 @@ MODULES = {
     "op1_language_id": "langid",
     "op2_html_text": "html_text",
     "op3_url_filter": "url_filter",
+    "op4_toxicity": "toxicity",
     "op5_fingerprints": "imatch",
     "op6_bpe": "bpe",
     "op7_near_dedup": "near_dedup",
