@@ -1,11 +1,21 @@
 """Registered queries over the driver's tables, with the SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
 FLAGSHIP = "gallery_dual_gate"
+#: Modules with QUERIES: name -> (query, SQL or None).
+FAMILIES = ("vectors",)
+
+
+def _all() -> dict:
+    return {name: found for family in FAMILIES for name, found in import_module(f"lumenframe.plans.{family}").QUERIES.items()}
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
