@@ -43,7 +43,7 @@ def quantiles_by_rank(rows: DataFrame, by: list[str], value: str, qs: dict[str,
 
 def confusion(rows: DataFrame, expected: str, predicted: str, labels: list[str]) -> DataFrame:
     """Counts by expected (rows) and predicted (columns) label, totals and accuracy of each row."""
-    out = rows.groupBy(expected).pivot(predicted, labels).agg(F.count("*")).na.fill(0)
+    out = rows.groupBy(expected).pivot(predicted, labels).agg(F.count(F.lit(1))).na.fill(0)
     total = sum((F.col(f"`{x}`") for x in labels), F.lit(0))
     hit = F.coalesce(*[F.when(F.col(expected) == x, F.col(f"`{x}`")) for x in labels], F.lit(0))
     return out.withColumn("total", total).withColumn("accuracy", F.round(F.try_divide(hit, total), 4))
