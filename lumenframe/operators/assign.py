@@ -29,28 +29,57 @@ def suppressed(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> np.nd
     return keep
 
 
+def keep_by_frame(rows: DataFrame, by: list[str], keep) -> DataFrame:
+    """The rows of each frame that keep(columns) marks.
+
+    Frames are dealt out and sorted, and read as consecutive runs of Arrow batches, so a task
+    holds one batch and one frame, and small frames cost no call of their own.
+    """
+    names = rows.columns
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            pdf = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            change = np.flatnonzero((pdf[by] != pdf[by].shift()).any(axis=1).to_numpy())
+            rest = pdf.iloc[change[-1] :]
+            if change[-1]:
+                yield marked(pdf.iloc[: change[-1]], change)
+        if rest is not None:
+            yield marked(rest, np.array([0]))
+
+    def marked(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        columns = {c: pdf[c].to_numpy() for c in names}
+        ends = [*starts[1:][starts[1:] < len(pdf)], len(pdf)]
+        return pdf[np.concatenate([keep({c: v[a:b] for c, v in columns.items()}) for a, b in zip(starts, ends, strict=False)])]
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, rows.schema)
+
+
 def nms(detections: DataFrame, by: list[str], score: str, threshold: float) -> DataFrame:
-    """Detections (x, y, w, h and score) that survive in their frame."""
+    """Detections (x, y, w, h and score) that survive in their frame; ties go to the box that sorts first."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y", "w", "h"], kind="stable")
-        return pdf[suppressed(pdf[["x", "y", "w", "h"]].to_numpy(float), pdf[score].to_numpy(float), threshold)]
+    def keep(c: dict) -> np.ndarray:
+        boxes = np.stack([c[k] for k in "xywh"], axis=1)
+        order = np.lexsort(boxes.T[::-1])
+        out = np.zeros(len(order), bool)
+        out[order] = suppressed(boxes[order], c[score][order], threshold)
+        return out
 
-    return detections.groupBy(*by).applyInPandas(run, detections.schema)
+    return keep_by_frame(detections, by, keep)
 
 
-def greedy_pairs(scores: pd.DataFrame, left: str, right: str, score: str) -> pd.DataFrame:
-    """Pairs by falling score, each side once; ties by left and right."""
-    used_left, used_right, keep = set(), set(), []
-    for row in scores.sort_values([score, left, right], ascending=[False, True, True]).itertuples():
-        a, b = getattr(row, left), getattr(row, right)
-        if a not in used_left and b not in used_right:
-            used_left.add(a)
-            used_right.add(b)
-            keep.append(row.Index)
-    return scores.loc[keep]
+def greedy_pairs(left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which pairs are taken by falling score, each side once; ties by left and right."""
+    used_left, used_right, keep = set(), set(), np.zeros(len(score), bool)
+    for i in np.lexsort((right, left, -score)):
+        if left[i] not in used_left and right[i] not in used_right:
+            used_left.add(left[i])
+            used_right.add(right[i])
+            keep[i] = True
+    return keep
 
 
 def greedy_assign(candidates: DataFrame, by: list[str], left: str, right: str, score: str) -> DataFrame:
     """A one-to-one assignment of candidates in each frame."""
-    return candidates.groupBy(*by).applyInPandas(lambda pdf: greedy_pairs(pdf, left, right, score), candidates.schema)
+    return keep_by_frame(candidates, by, lambda c: greedy_pairs(c[left], c[right], c[score]))
