@@ -3,17 +3,17 @@
 Texts with the same set of word shingles are one class. Classes meet in the buckets of a banded
 MinHash signature. Within a bucket, signatures are compared a batch at a time; after each batch a
 pair whose posterior probability of reaching the threshold (uniform prior, binomial
-matches) is below ``MISS`` is dropped. Of what is left, the links that a spanning forest needs
-are verified on the full sets; failed ones are set aside and the bucket is looked at again without them.
+matches) is below ``MISS`` is dropped. The pairs that are left join classes to clusters, and within
+each cluster the full sets of all classes are compared exactly.
 
-Buckets of more than ``RUN`` classes are first dealt into runs, each with the same few hubs; the
+Buckets and clusters of more than ``RUN`` classes are first dealt into runs that share a few hubs; the
 classes that this leaves outside the largest component are then compared with all the others,
-block by block, so no pair is lost and no task holds more than two blocks. Buckets with equal
-members are looked at once, and a bucket within one component never again.
+block by block. So no pair is lost, no task holds more than two blocks, and what a run finds goes out
+as one link for each class that it joins to another. Buckets with equal members are looked at once.
 
 Edge cases: null, empty and wordless texts have empty sets and stay alone; texts of fewer than k
-words are one shingle; repeated rows share their class; a null key counts as the greatest; extra columns are
-ignored; an empty table gives an empty result.
+words are one shingle; repeated rows share their class; a null key counts as the greatest and
+comes out as null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +31,16 @@ from lumenframe.llm.shared import drop_scratch, materialize, only
 
 #: Rows of a band, bands, and signature places that are compared at a time.
 ROWS, BANDS, BATCH = 4, 20, 16
-#: Bands of each pass; later ones see only what earlier ones have left apart.
-PASSES = (range(0, 3), range(3, 20))
 #: Chance at which a pair may be dropped wrongly, in each batch.
-MISS = 1e-5
-#: Classes of a run or block, hubs of a large bucket, leaves that one hub is verified with in a task.
-RUN, HUBS, LEAVES = 384, 4, 256
-#: Endpoints of links that are broadcast to the texts; more are joined by a shuffle.
+MISS = 1e-4
+#: Classes of a run or block, and hubs of a large bucket.
+RUN, HUBS = 128, 4
+#: Run members that are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Shingles that are hashed at a time.
 CHUNK = 2_048
+#: Pairs whose signatures are compared at once.
+PAIRS = 200_000
 LAST = (1 << 63) - 1
 
 _PLACES = ROWS * BANDS
@@ -107,162 +107,202 @@ def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>, sig binary")
 
 
-def runs_of(batches, names):
-    """Consecutive rows that share their first three columns, as lists; a run may span batches."""
+def runs_of(batches, width: int):
+    """Consecutive rows that share bucket and part, as lists of the rest; a run may span batches."""
     head, rows = None, []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
-            if row[:3] != head:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True):
+            if row[:2] != head:
                 if rows:
-                    yield head, rows
-                head, rows = row[:3], []
-            rows.append(row[3:])
+                    yield rows
+                head, rows = row[:2], []
+            rows.append(row[2:])
     if rows:
-        yield head, rows
+        yield rows
 
 
-def survivors(x, y, threshold: float):
-    """Pairs (i, j, matches) of rows of x and y that no batch of places has ruled out.
+def apart(x, y) -> np.ndarray:
+    """Which pairs of rows (id, comp, ...) are of different components; each pair once if x is y."""
+    out = np.array([r[1] for r in x], np.int64)[:, None] != np.array([r[1] for r in y], np.int64)
+    return np.triu(out, 1) if x is y else out
 
-    Rows are (id, comp, n, places, failed partners).
-    """
-    ids = [np.array([r[0] for r in z], np.int64) for z in (x, y)]
-    comps = [np.array([r[1] for r in z], np.int64) for z in (x, y)]
-    sizes = [np.array([r[2] for r in z], np.float64) for z in (x, y)]
-    places = [np.array([np.frombuffer(r[3], "<u2") for r in z]) for z in (x, y)]
-    alike = np.minimum(sizes[0][:, None], sizes[1]) >= (threshold - 1e-9) * np.maximum(sizes[0][:, None], sizes[1])
-    alike &= comps[0][:, None] != comps[1]
-    if x is y:
-        alike &= ids[0][:, None] < ids[1]
-    i, j = np.nonzero(alike)
-    matches = np.zeros(len(i), np.int64)
-    for start in range(0, _PLACES, BATCH):
-        for at in range(0, len(i), 100_000):
-            some = slice(at, at + 100_000)
-            matches[some] += (places[0][i[some], start : start + BATCH] == places[1][j[some], start : start + BATCH]).sum(axis=1)
-        keep = matches >= fewest_matches(threshold, start + BATCH)
-        i, j, matches = i[keep], j[keep], matches[keep]
-    return i, j, matches
-
-
-def forest(x, y, threshold: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the surviving pairs' components, likeliest first; hubs come first."""
-    i, j, matches = survivors(x, y, threshold)
-    order = np.lexsort((np.array([y[b][0] for b in j], np.int64), np.array([x[a][0] for a in i], np.int64), -matches)) if len(i) else []
-    parent: dict[int, int] = {}
-
-    def root(c):
-        while parent.get(c, c) != c:
-            parent[c] = c = parent.get(parent[c], parent[c])
-        return c
-
-    out, degree = [], {}
-    for at in order:
-        a, b = x[i[at]], y[j[at]]
-        ra, rb = root(a[1]), root(b[1])
-        if ra != rb and not (a[4] and b[0] in a[4]) and not (b[4] and a[0] in b[4]):
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a[0], b[0]))
-            for r in (a[0], b[0]):
-                degree[r] = degree.get(r, 0) + 1
-    return [(a, b) if (degree[a], -a) >= (degree[b], -b) else (b, a) for a, b in out]
-
-
-def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links (band, bkey, a, b) to verify, from rows (band, bkey, part, role, id, comp, n, sig, failed).
-
-    Role 0 is compared with role 1, and role 2 with itself.
+
+def verified(x, y, percent: int):
+    """Pairs (i, j, shared) of rows (id, comp, shingles) whose full sets reach the threshold.
+
+    Shared shingles are counted by products of incidence matrices, some columns at a time.
     """
-    names = ["band", "bkey", "part", "role", "id", "comp", "n", "sig", "failed"]
+    rows = x if x is y else x + y
+    flat = np.concatenate([r[2] for r in rows])
+    values, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[where]
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    first = len(x) if x is not y else 0
+    shared = np.zeros((len(x), len(y)), np.float64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+        a, b = np.searchsorted(column, [start, start + CHUNK])
+        block = np.zeros((len(rows), CHUNK), np.float32)
+        block[owner[a:b], column[a:b] - start] = 1
+        shared += block[: len(x)] @ block[first:].T
+    n = [np.array([len(r[2]) for r in z], np.float64) for z in (x, y)]
+    i, j = np.nonzero(apart(x, y) & (100 * shared >= percent * (n[0][:, None] + n[1] - shared)))
+    return i, j, shared[i, j]
+
+
+def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place that each of n places is linked to by the pairs (i, j)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        if (label[i] == least).all() and (label[j] == least).all():
+            return label
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+
+
+def whole_runs(batches):
+    """Columns of whole runs at a time: bounds of the runs, role, id, comp, set size and signature places."""
+    rest = None
+    for batch in batches:
+        c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        c.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(-1, _PLACES))
+        if rest is not None:
+            c = [np.concatenate(x) for x in zip(rest, c, strict=True)]
+        starts = np.flatnonzero(np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])]))
+        rest = [x[starts[-1] :] for x in c]
+        if len(starts) > 1:
+            yield starts, [x[: starts[-1]] for x in c[2:]]
+    if rest is not None and len(rest[0]):
+        yield np.array([0, len(rest[0])]), rest[2:]
+
+
+@lru_cache(2 * RUN)
+def _all_pairs(n: int):
+    return np.triu_indices(n, 1)
+
+
+def pairs_of(bounds: np.ndarray, role: np.ndarray):
+    """Places (i, j) of the pairs to compare, some runs at a time."""
+    sizes = np.diff(bounds)
+    two = bounds[:-1][(sizes == 2) & (role[bounds[:-1]] == 2)]
+    out, n = [(two, two + 1)], len(two)
+    for start, size in zip(bounds[:-1].tolist(), sizes.tolist(), strict=True):
+        if role[start] == 2:
+            if size < 3:
+                continue
+            i, j = _all_pairs(size)
+        else:
+            r = role[start : start + size]
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(r == 0), np.flatnonzero(r == 1), indexing="ij"))
+        out.append((i + start, j + start))
+        n += len(i)
+        if n > PAIRS:
+            yield tuple(map(np.concatenate, zip(*out, strict=True)))
+            out, n = [], 0
+    if out:
+        yield tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def links_by_signature(threshold: float):
+    """Links that join the classes of each run which no batch of signature places has ruled out."""
 
     def run(batches):
-        found = []
-        for (band, bkey, _), group in runs_of(batches, names):
+        for bounds, (role, ident, comp, n, places) in whole_runs(batches):
+            left, right = [], []
+            for i, j in pairs_of(bounds, role):
+                keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= (threshold - 1e-9) * np.maximum(n[i], n[j]))
+                i, j = i[keep], j[keep]
+                matches = np.zeros(len(i), np.int64)
+                for start in range(0, _PLACES, BATCH):
+                    part = slice(start, start + BATCH)
+                    matches += (places[i, part] == places[j, part]).sum(axis=1)
+                    keep = matches >= fewest_matches(threshold, start + BATCH)
+                    i, j, matches = i[keep], j[keep], matches[keep]
+                left.append(i)
+                right.append(j)
+            if not left:
+                continue
+            label = components(len(ident), np.concatenate(left), np.concatenate(right))
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(ident[moved]), pa.array(ident[label[moved]])], names=["a", "b"])
+
+    return run
+
+
+def links_by_sets(k: int, percent: int):
+    """Links that join the classes of each run whose full sets are alike."""
+
+    def run(batches):
+        word = Remembered(word_hash)
+        for group in runs_of(batches, 6):
             sides: list[list] = [[], [], []]
-            for role, *r in group:
-                sides[role].append((*r[:4], set(r[4]) if r[4] else None))
+            for role, ident, comp, text in group:
+                sides[role].append((ident, comp, shingles(text, k, word)))
             for x, y in ((sides[0], sides[1]), (sides[2], sides[2])):
-                if x and y:
-                    found += [(band, bkey, a, b) for a, b in forest(x, y, threshold)]
-            if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["band", "bkey", "a", "b"])
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["band", "bkey", "a", "b"])
+                if not x or not y or (x is y and len(x) < 2):
+                    continue
+                i, j, _ = verified(x, y, percent)
+                ident = np.array([r[0] for r in (x if x is y else x + y)], np.int64)
+                label = components(len(ident), i, j if x is y else j + len(x))
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array(ident[moved]), pa.array(ident[label[moved]])], names=["a", "b"])
+
+    return run
+
 
+def links(rows: DataFrame, payload: list[str], run) -> DataFrame:
+    """Links (a, b) that run finds in the runs of rows (bucket, part, role, id, comp, *payload)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*names).repartition(parts, "band", "bkey", "part").sortWithinPartitions("band", "bkey", "part")
-    return dealt.mapInArrow(run, "band long, bkey long, a long, b long")
+    dealt = rows.select("bucket", "part", "role", "id", "comp", *payload).repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part")
+    return materialize(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
-def verify(links: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """(a, b, ok) of distinct links (a, b): whether the full sets reach the threshold.
+def deal(members: DataFrame, labels: DataFrame, exact: bool) -> DataFrame:
+    """Runs (bucket, part, role, id, comp) of the buckets of members (bucket, size, id).
 
-    The set of a is made once for each LEAVES of its partners.
+    At first, small buckets are one run each, and large ones are dealt into runs that share a few
+    hubs. Exact runs bring every class outside a large bucket's largest component together with all others.
     """
-    links = links.withColumn("leaf", F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / LEAVES)))
-    hubs = links.select("a", "leaf").distinct().select("a", "leaf", F.lit(0).alias("role"), F.col("a").alias("id"))
-    ends = materialize(hubs.union(links.select("a", "leaf", F.lit(1).alias("role"), F.col("b").alias("id"))), "ends")
-    if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ends_side = F.broadcast(ends)
-    else:
-        ends_side = ends
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("t")).join(ends_side, "id")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.select("a", "leaf", "role", "id", "t").repartition(parts, "a", "leaf").sortWithinPartitions("a", "leaf", "role")
-
-    def run(batches):
-        word, head, own = Remembered(word_hash), None, None
-        for batch in batches:
-            out = []
-            keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            for (a, leaf, role, b), t in zip(keys, batch.column(4), strict=True):
-                s = shingles(t.as_py(), k, word)
-                if role == 0:
-                    head, own = (a, leaf), s
-                elif (a, leaf) == head:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    out.append((a, b, 100 * both >= percent * (len(own) + len(s) - both)))
-            if out:
-                a, b, ok = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    found = dealt.mapInArrow(run, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
-    found = materialize(found, "verified")
-    drop_scratch(ends)
-    return found
-
-
-def dealt(members: DataFrame, labels: DataFrame, classes: DataFrame, todo: DataFrame, failed: DataFrame | None, exact: bool) -> DataFrame:
-    """Rows for candidates() of the buckets todo (band, bkey, size) that span several components."""
-    rows = members.join(todo.select("band", "bkey", "size"), ["band", "bkey"]).join(labels, "id")
-    rows = materialize(rows.select("band", "bkey", "size", "id", "comp"), "rows")
-    open_ = rows.groupBy("band", "bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "bkey")
-    open_ = materialize(open_, "open")
-    rows = rows.join(open_, ["band", "bkey"])
-    small = rows.where(F.col("size") <= RUN).select("band", "bkey", F.lit(0).cast("long").alias("part"), F.lit(2).alias("role"), "id", "comp")
-    large = rows.where(F.col("size") > RUN).withColumn("blocks", F.ceil(F.col("size") / RUN)).withColumn("block", F.pmod(F.xxhash64("id", "bkey"), F.col("blocks")))
-    if exact:
-        count = large.groupBy("band", "bkey", "comp").agg(F.count("*").alias("c")).groupBy("band", "bkey").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("c"))
-        large = large.join(materialize(count, "most"), ["band", "bkey"])
-        few = F.greatest(F.ceil((F.col("size") - F.col("c")) / RUN), F.lit(1))
-        few_block = F.pmod(F.xxhash64("bkey", "id"), few)
-        all_parts = F.transform(F.sequence(F.lit(0).cast("long"), few - 1), lambda i: i * F.col("blocks") + F.col("block"))
-        few_parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: few_block * F.col("blocks") + j)
-        every = large.select("band", "bkey", F.explode(all_parts).alias("part"), F.lit(1).alias("role"), "id", "comp")
-        rest = large.where("comp <> most").select("band", "bkey", F.explode(few_parts).alias("part"), F.lit(0).alias("role"), "id", "comp")
-        large = every.union(rest)
-    else:
+    rows = members.join(labels, "id")
+    if not exact:
+        small = rows.where(F.col("size") <= RUN).select("bucket", F.lit(0).cast("long").alias("part"), F.lit(2).alias("role"), "id", "comp")
+        blocks = F.ceil(F.col("size") / RUN)
+        large = rows.where(F.col("size") > RUN)
         picks = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", "comp")).alias(f"h{i}") for i in range(HUBS)]
-        hubs = large.groupBy("band", "bkey").agg(F.max("blocks").alias("blocks"), *picks)
-        hubs = hubs.select("band", "bkey", "blocks", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.id", f"h{i}.comp") for i in range(HUBS)]))).alias("h"))
-        hubs = hubs.select("band", "bkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.lit(2).alias("role"), "h.id", "h.comp")
-        large = large.select("band", "bkey", F.col("block").alias("part"), F.lit(2).alias("role"), "id", "comp").union(hubs).distinct()
-    rows = small.union(large).join(classes.select("id", "n", "sig"), "id")
-    if failed is None:
-        return rows.withColumn("failed", F.lit(None).cast("array<long>"))
-    both = failed.select(F.col("a").alias("id"), F.col("b").alias("o")).union(failed.select(F.col("b").alias("id"), F.col("a").alias("o")))
-    return rows.join(materialize(both.groupBy("id").agg(F.collect_set("o").alias("failed")), "failed"), "id", "left")
+        hubs = large.groupBy("bucket").agg(F.max("size").alias("size"), *picks)
+        hubs = hubs.select("bucket", "size", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.id", f"h{i}.comp") for i in range(HUBS)]))).alias("h"))
+        hubs = hubs.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("part"), F.lit(2).alias("role"), "h.id", "h.comp")
+        return small.union(large.select("bucket", F.pmod(F.xxhash64("id", "bucket"), blocks).alias("part"), F.lit(2).alias("role"), "id", "comp")).union(hubs)
+    rows = materialize(rows.select("bucket", "size", "id", "comp"), "rows")
+    most = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
+    most = materialize(most.agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("c"), F.count("*").alias("comps")).where("comps > 1"), "most")
+    rows = rows.join(most, "bucket")
+    few, blocks = F.ceil((F.col("size") - F.col("c")) / RUN), F.ceil(F.col("size") / RUN)
+    few_block, block = F.pmod(F.xxhash64("bucket", "id"), few), F.pmod(F.xxhash64("id", "bucket"), blocks)
+    all_parts = F.transform(F.sequence(F.lit(0).cast("long"), few - 1), lambda i: i * blocks + block)
+    few_parts = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: few_block * blocks + j)
+    every = rows.select("bucket", F.explode(all_parts).alias("part"), F.lit(1).alias("role"), "id", "comp")
+    return every.union(rows.where("comp <> most").select("bucket", F.explode(few_parts).alias("part"), F.lit(0).alias("role"), "id", "comp"))
+
+
+def joined(members: DataFrame, find) -> DataFrame:
+    """Labels (id, comp) of the components that find(runs) links within the buckets of members."""
+    labels = materialize(members.select("id").distinct().select("id", F.col("id").alias("comp")), "labels")
+    found = find(deal(members, labels, exact=False))
+    labels = merge(labels, found)
+    drop_scratch(found)
+    large = members.where(F.col("size") > RUN)
+    if not large.isEmpty():
+        found = find(deal(large, labels, exact=True))
+        labels = merge(labels, found)
+        drop_scratch(found)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,45 +311,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     sketches = materialize(sketch(docs, k, key, text), "sketches")
     first = F.min(F.struct("id", "n", "bands", "sig")).alias("s")
     classes = materialize(sketches.where("n > 0").groupBy("d1", "d2").agg(first).select("d1", "d2", "s.*"), "classes")
-    banded = classes.select("id", F.posexplode("bands").alias("band", "bkey")).withColumn("band", F.col("band").cast("long"))
+    banded = classes.select("id", F.posexplode("bands").alias("band", "bkey")).select("id", F.xxhash64("band", "bkey").alias("bucket"))
     same = (F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    buckets = banded.groupBy("band", "bkey").agg(F.count("*").alias("size"), *same).where("size > 1")
-    buckets = buckets.groupBy("size", "x", "y").agg(F.min(F.struct("band", "bkey")).alias("b")).select("b.band", "b.bkey", "size")
-    buckets = materialize(buckets, "buckets")
-    members = materialize(banded.join(buckets.select("band", "bkey"), ["band", "bkey"]).select("band", "bkey", "id"), "members")
-    labels = materialize(members.select("id").distinct().select("id", F.col("id").alias("comp")), "labels")
-    failed = None
-    for bands in PASSES:
-        todo, exact = buckets.where(F.col("band").between(bands[0], bands[-1])), False
-        large = todo.where(F.col("size") > RUN)
-        while True:
-            links = materialize(candidates(dealt(members, labels, classes, todo, failed, exact), threshold), "candidates")
-            again = None
-            if not links.isEmpty():
-                pairs = links.select("a", "b").distinct()
-                pairs = materialize(pairs, "pairs")
-                degree = materialize(pairs.groupBy("a").agg(F.count("*").alias("deg")), "degree")
-                checked = verify(pairs.join(degree, "a"), docs, k, percent, key, text)
-                labels = merge(labels, checked.where("ok"))
-                wrong = checked.where("NOT ok").select("a", "b")
-                failed = wrong if failed is None else failed.union(wrong)
-                again = links.join(wrong, ["a", "b"]).select("band", "bkey").distinct()
-            if again is not None:
-                again = buckets.join(again, ["band", "bkey"]).select("band", "bkey", "size")
-            if not exact and not large.isEmpty():
-                again = large.select("band", "bkey", "size") if again is None else again.union(large.select("band", "bkey", "size")).distinct()
-            if again is None:
-                break
-            todo, exact = materialize(again, "todo"), True
-            if todo.isEmpty():
-                break
-    reps = materialize(classes.select("d1", "d2", F.col("id").alias("rep")), "reps")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), *same).where("size > 1")
+    buckets = materialize(buckets.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
+    members = materialize(banded.join(buckets, "bucket").select("bucket", "size", "id"), "members")
+
+    def by_signature(runs: DataFrame) -> DataFrame:
+        rows = runs.join(classes.select("id", "n", "sig"), "id")
+        return links(rows, ["n", "sig"], links_by_signature(threshold))
+
+    def by_sets(runs: DataFrame) -> DataFrame:
+        runs = materialize(runs, "runs")
+        side = F.broadcast(runs) if runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else runs
+        texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("t"))
+
+        found = links(texts.join(side, "id"), ["t"], links_by_sets(k, percent))
+        drop_scratch(runs)
+        return found
+
+    clusters = joined(members, by_signature)
+    sized = materialize(clusters.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1"), "sized")
+    drop_scratch(members)
+    members = materialize(clusters.join(sized, "comp").select(F.col("comp").alias("bucket"), "size", "id"), "members")
+    labels = joined(members, by_sets)
     comps = labels.where("id <> comp").select(F.col("id").alias("rep"), "comp")
-    reps = materialize(reps.join(comps, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component")), "components")
+    reps = classes.select("d1", "d2", F.col("id").alias("rep")).join(comps, "rep", "left")
+    reps = materialize(reps.select("d1", "d2", F.coalesce("comp", "rep").alias("component")), "components")
+    drop_scratch(classes)
     out = sketches.select("id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
-    whole = lambda c: F.when(c < LAST, c)
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(whole(F.col("id")).alias(key), F.col("n").alias("n_shingles"), whole(component).alias("component_id"))
+    return out.select(_known("id").alias(key), F.col("n").alias("n_shingles"), F.when(component < LAST, component).alias("component_id"))
+
+
+def _known(c: str):
+    """Null keys were counted as the greatest; they are null again."""
+    return F.when(F.col(c) < LAST, F.col(c))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
