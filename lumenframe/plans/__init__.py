@@ -6,7 +6,7 @@ from importlib import import_module
 
 FLAGSHIP = "gallery_dual_gate"
 #: Modules with QUERIES: name -> (query, SQL or None).
-FAMILIES = ("vectors", "tracks", "evaluation", "boxes", "colours", "texts", "streams")
+FAMILIES = ("vectors", "tracks", "evaluation", "boxes", "colours", "texts", "streams", "poses")
 
 
 def _all() -> dict:
