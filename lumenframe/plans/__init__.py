@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from lumenframe.sources.ship import ship
+
 FLAGSHIP = "gallery_dual_gate"
 #: Modules with QUERIES: name -> (query, SQL or None).
 FAMILIES = ("vectors", "tracks", "evaluation", "boxes", "colours", "texts", "streams", "poses")
@@ -13,8 +16,19 @@ def _all() -> dict:
     return {name: found for family in FAMILIES for name, found in import_module(f"lumenframe.plans.{family}").QUERIES.items()}
 
 
+def shipped(query):
+    """The query, once executors have this package."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: query for name, (query, _) in _all().items()}
+    return {name: shipped(query) for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -149,6 +149,54 @@ def color_quality_gate(spark, d):
 QGATE = f"""WITH {PIXELS}, m AS (SELECT sample, count(*) FILTER (WHERE L < 3 OR L > 97)::DOUBLE / count(*) AS clip, median(L) AS med, max(L) - min(L) AS spread, stddev_pop(L) AS sd FROM px GROUP BY 1)
 SELECT {rules.first_match_sql(GATE, 'Accepted')} AS verdict, count(*) AS n, round(avg(med), 4) AS mean_median FROM m GROUP BY 1"""
 
+def hsv_vote(spark, d):
+    """Every pixel named by the HSV rules, and the name with most pixels; Unknown below 15 pixels."""
+    li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 180).alias("H"), (F.col("l_orderkey") % 256).alias("S"), (F.col("l_linenumber") * 37 % 256).alias("V"))
+    named = li.select(F.col("l_suppkey").alias("sample"), rules.first_match(rules.HSV_RULES, "Grey").alias("name"))
+    n = named.groupBy("sample").agg(F.count("*").alias("n"))
+    top = votes.majority(named, ["sample"], "name")
+    return top.join(n, "sample").select("sample", F.when(F.col("n") < 15, "Unknown").otherwise(F.col("name")).alias("name"), "votes")
+
+
+HSV_VOTE = f"""WITH p AS (SELECT l_suppkey AS sample, l_partkey % 180 AS H, l_orderkey % 256 AS S, l_linenumber * 37 % 256 AS V FROM lineitem), n AS (SELECT sample, {rules.first_match_sql(rules.HSV_RULES, 'Grey')} AS name FROM p),
+c AS (SELECT sample, name, count(*) AS votes, sum(count(*)) OVER (PARTITION BY sample) AS n, row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, name) AS k FROM n GROUP BY 1, 2)
+SELECT sample, CASE WHEN n < 15 THEN 'Unknown' ELSE name END AS name, votes FROM c WHERE k = 1"""
+
+#: The range of red and blue chroma that counts as skin.
+SKIN_CR, SKIN_CB = (133, 173), (77, 127)
+
+
+def skin_ratio(spark, d):
+    """Share of a sample's pixels whose chroma lies in the skin range; colours go from RGB by the usual weights."""
+    r, g, b = F.col("l_partkey") % 256, F.col("l_orderkey") % 256, (F.col("l_partkey") + F.col("l_orderkey")) % 256
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    skin = ((r - y) * 0.713 + 128).between(*SKIN_CR) & ((b - y) * 0.564 + 128).between(*SKIN_CB)
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(F.round(F.count_if(skin) / F.count("*"), 4).alias("ratio"))
+
+
+SKIN = """WITH p AS (SELECT l_suppkey AS sample, l_partkey % 256 AS r, l_orderkey % 256 AS g, (l_partkey + l_orderkey) % 256 AS b FROM lineitem), y AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS y FROM p)
+SELECT sample, round(count(*) FILTER (WHERE (r - y) * 0.713::DOUBLE + 128 BETWEEN 133 AND 173 AND (b - y) * 0.564::DOUBLE + 128 BETWEEN 77 AND 127)::DOUBLE / count(*), 4) AS ratio FROM y GROUP BY 1"""
+
+
+def kmeans(spark, d, k: int = 3, turns: int = 10):
+    """Cluster shares of each sample's colours after a few turns from fixed centres.
+
+    A turn is one aggregate over all pixels: centres are rows (sample, i), k for each sample, and meet their
+    sample's pixels in an equi-join, so no sample is gathered.
+    """
+    px = _pixels(spark, d).select("sample", "L", "a", "b")
+    centres = px.select("sample").distinct().select("sample", F.array(*[F.struct(F.lit(x).alias("L"), F.lit(y).alias("a"), F.lit(z).alias("b")) for x, y, z in CENTRES[:k]]).alias("c"))
+    gap = lambda p, i: F.pow(F.col("L") - p.L, 2) + F.pow(F.col("a") - p.a, 2) + F.pow(F.col("b") - p.b, 2)
+    for _ in range(turns):
+        near = px.join(centres, "sample").select("sample", "L", "a", "b", "c", F.array_min(F.transform("c", lambda p, i: F.struct(gap(p, i).alias("g"), i.alias("i")))).i.alias("k"))
+        means = near.groupBy("sample", "k").agg(*[F.avg(x).alias(x) for x in "Lab"], F.first("c").alias("c"))
+        moved = means.groupBy("sample").agg(F.first("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("L", "a", "b")))).alias("m"))
+        centres = moved.select("sample", F.transform("c", lambda p, i: F.coalesce(F.try_element_at("m", i), p)).alias("c")).checkpoint()
+    near = px.join(centres, "sample").select("sample", F.array_min(F.transform("c", lambda p, i: F.struct(gap(p, i).alias("g"), i.alias("i")))).i.alias("k"))
+    out = near.groupBy("sample", "k").agg(F.count("*").alias("n"))
+    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("sample")), 4)).where("share >= 0.08")
+
+
 QUERIES = {
     "color_rules": (color_rules, f"WITH {PIXELS} SELECT {NAME} AS name, count(*) AS n FROM px GROUP BY 1"),
     "simplified_rules": (simplified_rules, f"WITH {PIXELS} SELECT string_split({SIMPLE}, '/')[1] AS shade, string_split({SIMPLE}, '/')[2] AS family, count(*) AS n FROM px GROUP BY 1, 2"),
@@ -161,4 +209,6 @@ QUERIES = {
     "color_vote_decision": (color_vote_decision, DECISION),
     "gray_world": (gray_world, GRAY),
     "color_quality_gate": (color_quality_gate, QGATE),
+    "hsv_vote": (hsv_vote, HSV_VOTE),
+    "skin_ratio": (skin_ratio, SKIN),
 }

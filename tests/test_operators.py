@@ -136,3 +136,17 @@ def test_bank_cache_guards(spark, tmp_path):
 def test_latest_state(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, t int, v string")
     assert {tuple(r) for r in latest_state(rows, ["k"], ["t"]).collect()} == {(1, 2, "b"), (2, 1, "c")}
+
+
+def test_kmeans_equals_numpy(spark, small):
+    from lumenframe.plans import colours
+
+    pixels = colours._pixels(spark, small).select("sample", "L", "a", "b").toPandas()
+    got = {(r["sample"], r["k"]): r["n"] for r in colours.kmeans(spark, small, turns=3).collect()}
+    for sample, part in pixels.groupby("sample"):
+        x, c = part[["L", "a", "b"]].to_numpy(), np.array(colours.CENTRES)
+        for _ in range(3):
+            k = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[k == i].mean(axis=0) if (k == i).any() else c[i] for i in range(3)])
+        k = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert {i: n for (s, i), n in got.items() if s == sample} == {i: int((k == i).sum()) for i in range(3) if (k == i).mean() >= 0.08}
