@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.sources.ship import ship
+
+__all__ = ["ascii_lower", "drop_scratch", "materialize", "only", "scratch_root", "ship"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -46,19 +48,6 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each session, wherever the driver found it."""
-    if getattr(spark, "_lumenframe_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="lumenframe-code-"), "lumenframe-code.zip").resolve()
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    spark._lumenframe_shipped = True
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
