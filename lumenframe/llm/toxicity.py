@@ -18,6 +18,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.hashing import MIX_A, MIX_B, mix
 from lumenframe.llm.langid import held_out
 from lumenframe.llm.shared import only
 
 #: Buckets and sizes of word and character vectors, states of each direction.
 WORD_BUCKETS, WORD_DIM, CHAR_BUCKETS, CHAR_DIM, STATES = 1 << 14, 6, 1 << 15, 10, 8
-#: Character n-grams of a word with its borders.
+#: N-grams of the bytes of a word with its borders.
 GRAMS = (4, 5)
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 16, 8
@@ -48,12 +50,53 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def buckets(word: str) -> tuple[int, list[int]]:
-    """The word's bucket and those of its character n-grams."""
-    b = word.encode("utf-8", "surrogatepass")
-    w = f"^{word}$"
-    grams = [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)] or [w]
-    return crc32(b) % WORD_BUCKETS, [crc32(g.encode("utf-8", "surrogatepass")) % CHAR_BUCKETS for g in grams]
+def buckets(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Buckets of words, and owners and buckets of their byte n-grams, owners in order within each n.
+
+    Words are letters and digits only, so ^ and $ mark their borders. A word that is shorter than all
+    n-grams is one itself.
+    """
+    data = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-8", "surrogatepass"), np.uint8)
+    start = np.flatnonzero(data == ord("^"))
+    owner = np.repeat(np.arange(len(words)), np.diff(np.append(start, len(data))))
+    size = np.diff(np.append(start, len(data)))
+    value = data.astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(data)) - start[owner]
+    whole = np.add.reduceat(value * powers(int(size.max()))[place], start)
+    owners, grams = [], []
+    for n in GRAMS:
+        h = np.zeros(max(0, len(data) - n + 1), np.uint64)
+        for k in range(n):
+            h = h * MIX_A + value[k : k + len(h)]
+        inside = owner[: len(h)] == owner[n - 1 :]
+        owners.append(owner[: len(h)][inside])
+        grams.append(mix(h[inside] + np.uint64(n)))
+    short = np.flatnonzero(size < min(GRAMS))
+    owners.append(short)
+    grams.append(mix(whole[short]))
+    spread = lambda h, m: (h >> np.uint64(20)).astype(np.int64) % m
+    return spread(mix(whole), WORD_BUCKETS), owners, [spread(g, CHAR_BUCKETS) for g in grams]
+
+
+@lru_cache(64)
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(n, MIX_B, np.uint64))
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of a fixed odd number, at least n of them."""
+    return _powers(1 << max(6, (n - 1).bit_length()))
+
+
+def means(table: np.ndarray, owners: list[np.ndarray], grams: list[np.ndarray], n: int) -> np.ndarray:
+    """The mean row of each owner's grams."""
+    total, count = np.zeros((n, table.shape[1]), np.float32), np.zeros(n, np.float32)
+    for o, g in zip(owners, grams, strict=True):
+        if len(o):
+            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            total[o[first]] += np.add.reduceat(table[g], first, axis=0)
+            count[o[first]] += np.diff(np.append(first, len(o)))
+    return total / count[:, None]
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -146,55 +189,45 @@ class Network:
 class Scorer:
     """Scores windows of texts with a network whose input layer is folded into tables."""
 
-    def __init__(self, net: Network, calibration: np.ndarray, marks=buckets):
-        self.net, self.calibration, self.marks = net, calibration, marks
+    def __init__(self, net: Network, calibration: np.ndarray):
+        self.net, self.calibration = net, calibration
         p = net.p
         gates = np.concatenate([p["xf"], p["xb"]], axis=1)
         self.word, self.char = p["word"] @ gates[:WORD_DIM], p["char"] @ gates[WORD_DIM:]
         self.bias = np.concatenate([p["cf"], p["cb"]])
         self.reset()
 
-    def reset(self):
+    def reset(self, size: int = CACHE_WORDS):
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((CACHE_WORDS + 1, 6 * STATES), np.float32)  # the last row pads
+        self.rows = np.zeros((max(size, CACHE_WORDS) + 1, 6 * STATES), np.float32)  # the last row pads
 
     def indices(self, words: list[str]) -> np.ndarray:
-        get = self.at.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            new = [w for w in dict.fromkeys(words) if w not in self.at]
-            if len(self.at) + len(new) > CACHE_WORDS:
-                return None
-            marks = [self.marks(w) for w in new]
-            sizes = np.array([len(g) for _, g in marks])
-            flat = np.fromiter((x for _, g in marks for x in g), np.int64, int(sizes.sum()))
-            mean = np.add.reduceat(self.char[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / sizes[:, None]
+        """Rows of words; what is remembered goes if the new ones don't fit."""
+        new = [w for w in dict.fromkeys(words) if w not in self.at]
+        if len(self.at) + len(new) >= len(self.rows):
+            new = list(dict.fromkeys(words))
+            self.reset(len(new))
+        if new:
             start = len(self.at)
-            self.rows[start : start + len(new)] = self.word[[w for w, _ in marks]] + mean + self.bias
+            word, owners, grams = buckets(new)
+            self.rows[start : start + len(new)] = self.word[word] + means(self.char, owners, grams, len(new)) + self.bias
             self.at.update(zip(new, range(start, start + len(new)), strict=True))
-            out = [get(w) for w in words]
-        return np.array(out, np.int64)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def window_logits(self, texts: list[str | None]) -> list[np.ndarray]:
         """The logits of all windows of each text."""
         lists = [words_of(t) for t in texts]
-        done, pieces, owners = [[] for _ in texts], [], []
-        size = 0
+        index = self.indices([w for words in lists for w in words])
+        pad = np.full(WINDOW, len(self.rows) - 1, np.int64)
+        done, pieces, owners, size, at = [[] for _ in texts], [], [], 0, 0
         for i, words in enumerate(lists):
+            padded = np.concatenate([index[at : at + len(words)], pad])
+            at += len(words)
             starts = windows_of(len(words))
             for k in range(0, len(starts), BATCH):
-                some = starts[k : k + BATCH]
-                part = words[some[0] : some[-1] + WINDOW]
-                index = self.indices(part)
-                if index is None:  # all that is remembered goes, once what uses it is scored
-                    self.score(pieces, owners, done)
-                    pieces, owners, size = [], [], 0
-                    self.reset()
-                    index = self.indices(part)
-                padded = np.concatenate([index, np.full(WINDOW, CACHE_WORDS, np.int64)])
-                pieces.append(padded[(some - some[0])[:, None] + np.arange(WINDOW)])
+                pieces.append(padded[starts[k : k + BATCH, None] + np.arange(WINDOW)])
                 owners.append(i)
-                size += len(some)
+                size += len(pieces[-1])
                 if size >= BATCH:
                     self.score(pieces, owners, done)
                     pieces, owners, size = [], [], 0
@@ -205,7 +238,7 @@ class Scorer:
         if not pieces:
             return
         index = np.concatenate(pieces)
-        mask = (index < CACHE_WORDS).astype(np.float32)
+        mask = (index < len(self.rows) - 1).astype(np.float32)
         gx = self.rows[index]
         states = np.concatenate([self.net.read(gx[:, :, i * 3 * STATES : (i + 1) * 3 * STATES], mask, d) for i, d in enumerate("fb")], axis=2)
         logits = self.net.pool(states, mask)[0]
@@ -234,12 +267,12 @@ def fit(texts: list[str], y: list[int]) -> Scorer:
     lists = [words_of(t) for t in texts]
     for_fit = np.array([i % 3 != 2 for i in range(len(texts))])
     rng = np.random.default_rng(6)
-    known: dict[str, tuple[int, list[int]]] = {}  # bounded by the words of the sample
+    known = all_marks(lists)
     start_from_odds(net, [w for w, ok in zip(lists, for_fit, strict=True) if ok], y[for_fit], known)
     for turn in range(TURNS):
         chosen, marks = [], []
         fitted = np.flatnonzero(for_fit)
-        every = logits_of(net, [texts[i] for i in fitted], known) if turn else [odds_by_window(net, lists[i], known) for i in fitted]
+        every = logits_of(net, [texts[i] for i in fitted]) if turn else [odds_by_window(net, lists[i], known) for i in fitted]
         for i, logits in zip(fitted, every, strict=True):
             order, starts = np.argsort(-logits, kind="stable"), windows_of(len(lists[i]))
             picks = order[: 1 if turn < 2 else 2] if y[i] else [order[0], rng.integers(len(order))]
@@ -252,23 +285,30 @@ def fit(texts: list[str], y: list[int]) -> Scorer:
             for k in range(0, len(order), STEP):
                 some = order[k : k + STEP]
                 step(net, [chosen[i] for i in some], marks[some], known)
-    features = np.array([summary(x) for x in logits_of(net, [t for t, ok in zip(texts, for_fit, strict=True) if not ok], known)])
+    features = np.array([summary(x) for x in logits_of(net, [t for t, ok in zip(texts, for_fit, strict=True) if not ok])])
     scorer = Scorer(net, flat)
     scorer.calibration = logistic(features, y[~for_fit]) if 0 < y[~for_fit].sum() < (~for_fit).sum() else flat
     return scorer
 
 
-def logits_of(net: Network, texts: list[str], known: dict) -> list[np.ndarray]:
+def logits_of(net: Network, texts: list[str]) -> list[np.ndarray]:
     """The window logits of each text under the network as it is."""
-    scorer = Scorer(net, np.zeros(4), lambda w: word_marks(w, known))
+    scorer = Scorer(net, np.zeros(4))
     return [x for k in range(0, len(texts), 64) for x in scorer.window_logits(texts[k : k + 64])]
 
 
-def word_marks(word: str, known: dict) -> tuple[int, list[int]]:
-    found = known.get(word)
-    if found is None:
-        found = known[word] = buckets(word)
-    return found
+def all_marks(lists: list[list[str]]) -> dict[str, tuple[int, np.ndarray]]:
+    """The buckets of every word of the sample and of its n-grams."""
+    words = list(dict.fromkeys(w for words in lists for w in words))
+    out: dict[str, tuple[int, np.ndarray]] = {}
+    for k in range(0, len(words), 50_000):
+        some = words[k : k + 50_000]
+        word, owners, grams = buckets(some)
+        order = np.argsort(np.concatenate(owners), kind="stable")
+        owner, gram = np.concatenate(owners)[order], np.concatenate(grams)[order]
+        parts = np.split(gram, np.searchsorted(owner, np.arange(1, len(some))))
+        out.update(zip(some, zip(word.tolist(), parts, strict=True), strict=True))
+    return out
 
 
 def start_from_odds(net: Network, lists: list[list[str]], y: np.ndarray, known: dict) -> None:
@@ -276,9 +316,9 @@ def start_from_odds(net: Network, lists: list[list[str]], y: np.ndarray, known:
     for k, size in (("word", WORD_BUCKETS), ("char", CHAR_BUCKETS)):
         counts = np.zeros((2, size))
         for words, label in zip(lists, y, strict=True):
-            marks = [word_marks(w, known) for w in set(words)]
-            held = {m[0] for m in marks} if k == "word" else {g for m in marks for g in m[1]}
-            counts[int(label), list(held)] += 1
+            marks = [known[w] for w in set(words)]
+            held = np.unique([m[0] for m in marks] if k == "word" else np.concatenate([m[1] for m in marks])) if marks else []
+            counts[int(label), held] += 1
         n = np.array([(y == 0).sum(), (y == 1).sum()])[:, None]
         odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
         sure = counts.sum(axis=0) / (counts.sum(axis=0) + 4)
@@ -287,7 +327,7 @@ def start_from_odds(net: Network, lists: list[list[str]], y: np.ndarray, known:
 
 def odds_by_window(net: Network, words: list[str], known: dict) -> np.ndarray:
     """What the starting vectors alone say of each window: its greatest word."""
-    values = np.array([net.p["word"][w, 0] + net.p["char"][g, 0].mean() for w, g in (word_marks(x, known) for x in words)] or [0.0])
+    values = np.array([net.p["word"][w, 0] + net.p["char"][g, 0].mean() for w, g in (known[x] for x in words)] or [0.0])
     return np.array([values[s : s + WINDOW].max() for s in windows_of(len(words))])
 
 
@@ -295,13 +335,14 @@ def step(net: Network, windows: list[list[str]], y: np.ndarray, known: dict) ->
     """One step of learning on a few windows."""
     distinct = list(dict.fromkeys(w for win in windows for w in win))
     at = {w: i for i, w in enumerate(distinct)}
-    marks = [word_marks(w, known) for w in distinct]
+    if not distinct:
+        return
+    marks = [known[w] for w in distinct]
     word = np.array([w for w, _ in marks], np.int64)
     sizes = np.array([len(g) for _, g in marks], np.int64)
-    flat = np.array([x for _, g in marks for x in g], np.int64)
+    flat = np.concatenate([g for _, g in marks])
     owner = np.repeat(np.arange(len(distinct)), sizes)
-    chars = np.zeros((len(distinct), CHAR_DIM), np.float32)
-    np.add.at(chars, owner, net.p["char"][flat])
+    chars = np.add.reduceat(net.p["char"][flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
     inputs = np.concatenate([net.p["word"][word], chars / sizes[:, None]], axis=1).astype(np.float32)
     inputs = np.concatenate([inputs, np.zeros((1, inputs.shape[1]), np.float32)])
     index = np.full((len(windows), WINDOW), len(distinct), np.int64)

@@ -206,6 +206,17 @@ def test_toxicity_held_out_and_odd_inputs(spark, odd_docs, no_docs):
     assert toxicity.fit(["a", "b"], [0, 0])(["", None]) == pytest.approx([1 / 11, 1 / 11], abs=0.02)
 
 
+def test_buckets_do_not_depend_on_the_batch():
+    words = ["a", "idiot", "éß", "日本", "idiot", "x" * 70, "abc"]
+    word, owners, grams = toxicity.buckets(words)
+    table = np.random.default_rng(1).normal(size=(toxicity.CHAR_BUCKETS, 3)).astype(np.float32)
+    together = toxicity.means(table, owners, grams, len(words))
+    for i, w in enumerate(words):
+        alone, o, g = toxicity.buckets([w])
+        assert alone[0] == word[i] and np.allclose(toxicity.means(table, o, g, 1)[0], together[i], atol=1e-6)
+        assert np.allclose(table[toxicity.all_marks([words])[w][1]].mean(axis=0), together[i], atol=1e-6)
+
+
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 40])
 def test_windows_cover_all_words(n):
     covered = {w for s in toxicity.windows_of(n) for w in range(s, min(n, s + toxicity.WINDOW))}
