@@ -4,6 +4,7 @@ import pytest
 from compare import rows
 
 from lumenframe import plans
+from lumenframe.plans import vectors
 
 
 @pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
@@ -24,3 +25,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["cosine_topk", "gallery_dual_gate"])
+def test_gallery_above_the_bound(spark, oracle, small, name, monkeypatch):
+    monkeypatch.setattr(vectors, "GALLERY_ROWS", 60)
+    monkeypatch.setattr(vectors, "TASK_PAIRS", 500)
+    assert rows(plans.queries()[name](spark, small).toPandas()) == rows(oracle.execute(plans.oracle_sql()[name]).df())
