@@ -2,8 +2,8 @@
 
 The standard library's parser streams events; block elements part the page into lines. Each line has a
 text-to-tag ratio (characters for each tag). The ratios are smoothed with a Gaussian and lines above their
-standard deviation are content. The region is the deepest container that holds nearly all content
-characters (the whole article or main element if it lies in one), and all of its lines that are no
+standard deviation are content. The region is the deepest container that holds all content lines and headings
+(the whole article or main element if it lies in one), and all of its lines that are no
 boilerplate are kept, however short. Boilerplate elements are known by tag, role or class.
 
 Edge cases: null and empty pages give the empty text, as do pages of boilerplate alone; unclosed and
@@ -38,21 +38,22 @@ SKIP_NAMES = frozenset(
 #: An open element of these is closed by the start of one of those.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NOT_IN_P = BLOCK - {"html", "head", "body", "title", "option", "legend", "caption"}
-#: Lines over which ratios are smoothed, and the share of content characters that a region must hold.
-SIGMA, SHARE = 1.5, 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Lines over which ratios are smoothed.
+SIGMA = 1.5
 
 _PARTS = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, whether it is boilerplate, and the containers around it."""
+    """Lines of a page: text, tags, whether it is boilerplate, the container around it, and whether it is a heading."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, number of its container
         self.parents: list[tuple[int, str]] = [(-1, "")]  # of each container: the one around it, and its tag
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, bool, int, bool]] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -62,7 +63,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, *self.state()))
+            self.lines.append((text, self.tags, *self.state(), any(tag in HEADINGS for tag, *_ in self.stack)))
             self.tags = 0
         self.text = []
 
@@ -148,21 +149,21 @@ def main_text(html: str | None) -> str:
     page.close()
     page.flush()
     lines = page.lines
-    if all(skip for _, _, skip, _ in lines):
+    if all(skip for _, _, skip, *_ in lines):
         return ""
-    ratio = smoothed(np.array([0.0 if skip else len(text) / max(1, tags) for text, tags, skip, _ in lines]))
+    ratio = smoothed(np.array([0.0 if skip else len(text) / max(1, tags) for text, tags, skip, *_ in lines]))
     content = ratio >= ratio.std()
-    if not any(c and not skip for c, (_, _, skip, _) in zip(content, lines, strict=True)):
+    if not any(c and not skip for c, (_, _, skip, *_) in zip(content, lines, strict=True)):
         content[:] = True
-    mass = [0] * len(page.parents)
-    for (text, _, skip, at), c in zip(lines, content, strict=True):
-        while c and not skip and at >= 0:
-            mass[at] += len(text)
+    held = [0] * len(page.parents)
+    for (_, _, skip, at, heading), c in zip(lines, content, strict=True):
+        while (c or heading) and not skip and at >= 0:
+            held[at] += 1
             at = page.parents[at][0]
-    region, around = 0, [0] * len(mass)
-    for i in range(1, len(mass)):
+    region, around = 0, [0] * len(held)
+    for i in range(1, len(held)):
         around[i] = around[page.parents[i][0]] + 1
-        if mass[i] >= SHARE * mass[0] and around[i] > around[region]:
+        if held[i] == held[0] and around[i] > around[region]:
             region = i
     for wanted in ("main", "article"):  # the outermost article around the region, else main
         up, found = region, None
@@ -171,10 +172,10 @@ def main_text(html: str | None) -> str:
                 found = up
             up = page.parents[up][0]
         region = region if found is None else found
-    inside = [False] * len(mass)
-    for i in range(len(mass)):
+    inside = [False] * len(held)
+    for i in range(len(held)):
         inside[i] = i == region or (i > 0 and inside[page.parents[i][0]])
-    return "\n".join(text for text, _, skip, at in lines if inside[at] and not skip)
+    return "\n".join(text for text, _, skip, at, _ in lines if inside[at] and not skip)
 
 
 def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:

@@ -76,6 +76,22 @@ def test_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "".join(f"<p>{i} {'some words of the story ' * 8}</p>" for i in range(12))
+LEAD, TAIL = "Lead of some eighty letters that says in brief what the long story is about.", "A last section of some seventy letters that ends the whole story."
+
+
+@pytest.mark.parametrize("page", [
+    f"<div id=c><h1>Title</h1><p>{LEAD}</p><div class=rest>{LONG}</div><div><p>{TAIL}</p></div></div>",
+    f"<section><h1>Title</h1><p>{LEAD}</p></section><section>{LONG}</section><section><p>{TAIL}</p></section>",
+    f"<article><h1>Title</h1><p>{LEAD}</p>{LONG}</article><article><p>{TAIL}</p></article>",
+    f"<div><h1>Title</h1></div><p>{LEAD}</p><main>{LONG}</main><p>{TAIL}</p>",
+])
+def test_unequal_containers(page):
+    nav = "<div class=nav><ul><li><a href=a>Home</a></li></ul></div>"
+    lines = html_text.main_text(f"<body>{nav}{page}<div class=comments><p>{LEAD}</p></div></body>").split("\n")
+    assert [lines[0], lines[1], lines[-1]] == ["Title", LEAD, TAIL] and len(lines) == 15
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<article>", "</article>", "<ul><li>", "a b", " ", "&amp;", "<", ">", "<!--", "<script>", "<br/>", "<b>", "</b>"]), max_size=30).map("".join))
 def test_any_page_is_read(page):
