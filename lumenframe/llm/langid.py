@@ -7,6 +7,10 @@ the sum does not depend on the order. A text gets the language of the greatest c
 
 Training reads at most about ``PER_LANGUAGE`` texts of each language, chosen by a hash.
 
+The cosine to expect of a text grows with its size n, the number of trigrams that are not repeats: a language of spread k gives about
+1 / sqrt(1 + k / n). Spreads are medians over the training texts. A text that is unlike its language falls
+below half of that by more than chance, for which 2 / sqrt(n) is allowed.
+
 Edge cases: null texts and texts without letters are ``und`` with score 0, as are all texts if
 there is nothing to learn from; ties go to the language that sorts first; long texts are read in
 slices; repeated rows come back as often as they went in; extra columns are ignored.
@@ -37,6 +41,24 @@ def symbol(cp: int) -> int:
     return 0 if not chr(cp).isalpha() else cp - 96 if 97 <= cp <= 122 else 27 + cp % 37
 
 
+def size(slices: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The number of trigrams that are as good as different: the squared sum of counts over the sum of squares."""
+    if not slices:
+        return 0.0
+    counts = slices[0][1]
+    if len(slices) > 1:
+        at = np.unique(np.concatenate([codes for codes, _ in slices]), return_inverse=True)[1]
+        counts = np.bincount(at, np.concatenate([n for _, n in slices]))
+    counts = counts.astype(np.float64)
+    return counts.sum() ** 2 / (counts @ counts)
+
+
+def least(sizes: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The least cosine of texts of these sizes in languages of these spreads."""
+    n = np.maximum(sizes, 1e-9)
+    return 0.5 / np.sqrt(1 + spread / n) - 2 / np.sqrt(n)
+
+
 class Space:
     """The letter vectors and what is made of them."""
 
@@ -72,6 +94,10 @@ class Space:
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' unit vectors (0 without letters), and whether they have letters."""
+        return self.measured(texts)[:2]
+
+    def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What bundle gives, and the texts' sizes."""
         found = [self.trigrams(t or "") for t in texts]
         total = np.zeros((len(texts), DIM), np.float64)
         if every := [codes for slices, _ in found for codes, _ in slices]:
@@ -85,7 +111,7 @@ class Space:
                         row[np.searchsorted(some, codes[a:b])] += n[a:b]
                 total += counts @ self.vectors(some)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
-        return total / np.where(norm > 0, norm, 1), np.array([seen for _, seen in found], bool)
+        return total / np.where(norm > 0, norm, 1), np.array([seen for _, seen in found], bool), np.array([size(slices) for slices, _ in found])
 
 
 def groups(texts: pa.Array) -> Iterator[list[str | None]]:
@@ -106,14 +132,21 @@ def space() -> Space:
     return Space()
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Prototypes of the languages in labelled rows."""
+def sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> DataFrame | None:
+    """The texts and languages to learn from, None without any."""
     rows = only(labelled, text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return {}
+        return None
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, per_language / n)]), F.col(lang))
-    rows = rows.where((F.pmod(F.xxhash64(text), F.lit(1_000_000)) / 1e6) < share)
+    return rows.where((F.pmod(F.xxhash64(text), F.lit(1_000_000)) / 1e6) < share)
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
+    """Prototypes of the languages in labelled rows."""
+    rows = sample(labelled, text, lang, per_language)
+    if rows is None:
+        return {}
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -133,30 +166,53 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if v.any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, with lang_pred and score, the cosine with its prototype."""
+def spreads(labelled: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict[str, float]:
+    """The spread of each language, from the rows that train reads."""
+    rows = sample(labelled, text, lang, per_language)
+    if rows is None:
+        return {}
+
+    def run(batches):
+        for batch in batches:
+            langs, found = iter(batch.column(1).to_pylist()), {"lang": [], "k": []}
+            for texts in groups(batch.column(0)):
+                for v, ok, n in zip(*space().measured(texts), strict=True):
+                    if (name := next(langs)) in prototypes and ok:
+                        found["lang"].append(name)
+                        found["k"].append(n * (1 / max(round(v @ prototypes[name], 9), 1e-3) ** 2 - 1))
+            yield pa.RecordBatch.from_pydict(found, pa.schema({"lang": pa.string(), "k": pa.float64()}))
+
+    return {r.lang: r.k for r in rows.mapInArrow(run, "lang string, k double").groupBy("lang").agg(F.percentile("k", 0.5).alias("k")).collect()}
+
+
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", carry: tuple[str, ...] = ("doc_id",), spread: dict[str, float] | None = None) -> DataFrame:
+    """The carried columns, with lang_pred and score, the cosine with its prototype; given spreads, also least, the least score."""
     names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(-1, DIM)
+    by = np.array([np.inf if spread is None else spread.get(k, np.inf) for k in names])
+    more = ["lang_pred", "score"] if spread is None else ["lang_pred", "score", "least"]
     rows = docs.select(*[docs[c] for c in carry], docs[text].alias("__text"))
     n = len(carry)
 
     def run(batches):
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, leasts = [], [], []
             for texts in groups(batch.column(n)):
                 if not names:
                     langs += ["und"] * len(texts)
                     scores += [0.0] * len(texts)
+                    leasts += [0.0] * len(texts)
                     continue
-                v, seen = space().bundle(texts)
+                v, seen, sizes = space().measured(texts)
                 cos = np.round(v @ matrix.T, 9)
                 best = cos.argmax(axis=1)
                 langs += [names[b] if ok else "und" for b, ok in zip(best, seen, strict=True)]
                 scores += np.where(seen, np.clip(cos.max(axis=1), 0, 1), 0.0).tolist()
-            columns = [*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carry, "lang_pred", "score"])
+                leasts += least(sizes, by[best]).tolist()
+            columns = [*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leasts, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns[: n + len(more)], names=[*carry, *more])
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", *(f"{c} double" for c in more[1:])]))
 
 
 def held_out(fold: int, of: int, key: str = "doc_id") -> Column:

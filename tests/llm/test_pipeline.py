@@ -50,3 +50,16 @@ def test_stages_take_odd_documents(odd_docs, no_docs, spark):
     kept = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, odd_docs, D).collect()]
     texts = sorted({(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id is not None}, key=lambda r: r[0])
     assert sorted(k for k in kept if k is not None) == [texts[i][0] for i, _, c in brute([t for _, t in texts], 5, 80) if i == c]
+
+
+def test_language_stage_drops_unlearned_texts(spark):
+    rng = np.random.default_rng(7)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", *["".join(map(chr, range(a, b))) for a, b in ((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x5200))]]
+    made = [" ".join("".join(rng.choice(list(a), rng.integers(2, 10))) for _ in range(n)) for a in alphabets for n in (20, 80, 800)]
+    foreign = ["La casa è molto bella e il giardino è pieno di fiori che crescono ogni giorno sotto il sole di primavera.", "Wczoraj wieczorem poszliśmy do teatru, żeby zobaczyć nową sztukę, o której wszyscy mówili."]
+    real = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
+    short = [(10_000 + k, " ".join(t.split()[:12]), lang) for k, t, lang in real if len(set(t.split())) > 200][:40]
+    bad = [(20_000 + i, t, "en" if i % 2 else None) for i, t in enumerate(made + foreign)]
+    docs = spark.createDataFrame(real + short + bad, "doc_id long, text string, lang string").repartition(3)
+    assert len(short) == 40
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, D).collect()} == {k for k, *_ in real + short}
