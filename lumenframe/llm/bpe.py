@@ -3,11 +3,17 @@
 Every prefix of a piece has one last token: the one that ends there and may follow the last token
 of the prefix before it. Two tokens may stand side by side if no merge across their border comes
 before the merges that use up its two sides. So the transducer reads a piece byte by byte and
-keeps the last token of the newest prefixes only. A token is stable, and goes out, once the ways
-back from all prefixes that a longer token could still start from meet behind it. ``lookahead`` is
-the bound that the merge list gives for this; kept prefixes never exceed it.
+notes the last token of each prefix.
+
+``lookahead`` is worked out from the merge list. Take two texts that agree on their first n bytes, and run
+their merges side by side. Their tokens agree up to a border that is at n at first and goes back by the
+left side of each merge across it; the token behind it is then that side or the merged one, and grows by
+later merges only. So one pass over the merges, in order, gives for every token how far the border can have gone
+back when that token is behind it. Tokens that end before the greatest of these distances are the same whatever
+follows: they are stable and go out, and the transducer keeps no more than two lookaheads of prefixes.
 
 Decoding is a state machine from tokens' bytes to text that holds at most one unfinished character.
+Digests are updated block by block, so neither tokens nor decoded text of a long text are ever held whole for them.
 
 Edge cases: null counts as the empty text, which has no tokens; special tokens in a text are found
 first, as the vocabulary file says; repeated rows come back as often as they went in; empty tables
@@ -17,69 +23,91 @@ give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import codecs
+import gc
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 from struct import pack
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 import regex
+from ahocorasick import Automaton
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import only
+from lumenframe.llm.shared import only, quoted
 
 #: Fixed pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most pieces that are remembered, and the longest piece that is.
-CACHE_PIECES, CACHE_CHARS = 500_000, 64
+#: Bytes of remembered pieces in a worker, about, and the longest piece that is remembered; remembered pairs of tokens.
+CACHE_BYTES, CACHE_CHARS, CACHE_PAIRS = 40_000_000, 64, 100_000
+#: What an entry of a dictionary takes besides its key and value.
+ENTRY = 100
 #: Pieces that are encoded at a time, and bytes of a batch that goes out.
-BLOCK_PIECES, BATCH_BYTES = 20_000, 4_000_000
+BLOCK_PIECES, BATCH_BYTES = 20_000, 2_000_000
 FAR = 1 << 60
-#: Pieces of at most so many bytes are read whole before their tokens go out.
-SHORT = 24
 
 
 def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in vocabulary files."""
+    """The printable letter that stands for each byte in vocabulary files (fixed values)."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Vocabulary:
-    """Tokens, merges and special tokens of a byte-level vocabulary file."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters = byte_letters()
-        model = spec["model"]
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items() if t not in self.special}
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        vocab = model["vocab"]
-        self.rank: dict[int, int] = {}  # of the merge that makes a token
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merge: dict[tuple[int, int], int] = {}
-        for k, (a, b) in enumerate(pairs):
+    """Tokens, merges and special tokens of a byte-level vocabulary."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, special: dict[str, int] | None = None):
+        letters, self.special = byte_letters(), special or {}
+        size = max([*vocab.values(), *self.special.values()], default=-1) + 1
+        self.bytes_of = [b""] * size
+        for t, i in vocab.items():
+            if t not in self.special:
+                self.bytes_of[i] = bytes(letters[c] for c in t)
+        self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size  # of the merge that makes a token
+        self.merge: dict[int, int] = {}
+        for k, m in enumerate(merges):
+            a, b = m if isinstance(m, (list, tuple)) else m.split(" ")
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
-            self.merge[left, right] = k
-            self.rank[whole], self.parts[whole] = k, (left, right)
-            if max(self.rank.get(left, -1), self.rank.get(right, -1)) >= k:
+            self.merge[left << 32 | right] = k
+            self.rank[whole], self.left[whole], self.right[whole] = k, left, right
+            if max(self.rank[left], self.rank[right]) >= k:
                 raise ValueError("a merge comes before the merges that make its sides")
-        self.longest = max(map(len, self.id_of))
-        #: No token is longer, and each merge can put off a decision by one token at most.
-        self.lookahead = self.longest * max(1, len(pairs))
-        self.tails = {b[i:] for b in self.id_of for i in range(len(b))}
+        self.longest = max(map(len, self.bytes_of), default=0)
+        self.lookahead = self.sufficient_lookahead()
+        self.most_kept = 2 * max(1, self.lookahead) + self.longest
         self.fits: dict[int, bool] = {}
-        self.sound: dict[int, bool] = {}
-        self.id_of = {b: i for b, i in self.id_of.items() if self.usable(i)}
-        text = {i: b for i, b in self.bytes_of.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.table = [text.get(i, b"") for i in range(max(text, default=-1) + 1)]
+        sound: dict[int, bool] = {}
+        #: Finds all tokens that end at each byte of a text.
+        self.ending = Automaton()
+        for i, b in enumerate(self.bytes_of):
+            if b and self.usable(i, sound):
+                self.ending.add_word(b.decode("latin-1"), i)
+        self.ending.make_automaton()
+        self.size_of = list(map(len, self.bytes_of))
+        self.table = list(self.bytes_of)
+        for text, i in self.special.items():
+            self.table[i] = text.encode()
+
+    @classmethod
+    def read(cls, path: str) -> Vocabulary:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        return cls(spec["model"]["vocab"], spec["model"]["merges"], {t["content"]: t["id"] for t in spec.get("added_tokens", [])})
+
+    def sufficient_lookahead(self) -> int:
+        """Bytes after which a token can no longer change, whatever follows."""
+        back = [0] * len(self.bytes_of)
+        for whole in sorted((i for i, k in enumerate(self.rank) if k >= 0), key=self.rank.__getitem__):
+            left, right = self.left[whole], self.right[whole]
+            moved = back[right] + len(self.bytes_of[left])  # the merge goes across the border
+            back[whole] = max(back[whole], back[left], moved)  # or makes the token behind it grow
+            back[left] = max(back[left], moved)
+        return max(back, default=0)
 
     def border(self, left: int, right: int) -> Iterator[int]:
         """Ranks of the merges across the border that come before both of its sides are used up."""
@@ -87,116 +115,89 @@ class Vocabulary:
         while True:
             b, ends = right, FAR
             while True:
-                k = self.merge.get((a, b))
+                k = self.merge.get(a << 32 | b)
                 if k is not None and k < until and k <= ends:
                     yield k
-                if b not in self.parts:
+                if self.rank[b] < 0:
                     break
-                ends, b = self.rank[b], self.parts[b][0]
-            if a not in self.parts:
+                ends, b = self.rank[b], self.left[b]
+            if self.rank[a] < 0:
                 return
-            until, a = self.rank[a], self.parts[a][1]
+            until, a = self.rank[a], self.right[a]
 
-    def usable(self, token: int) -> bool:
+    def usable(self, token: int, sound: dict[int, bool]) -> bool:
         """Its own bytes are encoded as this token."""
-        found = self.sound.get(token)
+        found = sound.get(token)
         if found is None:
-            left, right = self.parts.get(token, (None, None))
-            found = left is None or (self.usable(left) and self.usable(right) and min(self.border(left, right)) == self.rank[token])
-            self.sound[token] = found
+            left, right = self.left[token], self.right[token]
+            found = left < 0 or (self.usable(left, sound) and self.usable(right, sound) and min(self.border(left, right)) == self.rank[token])
+            sound[token] = found
         return found
 
     def may_follow(self, left: int, right: int) -> bool:
         found = self.fits.get(key := left << 32 | right)
         if found is None:
-            found = next(self.border(left, right), None) is None
-            if len(self.fits) < 2_000_000:
-                self.fits[key] = found
+            if len(self.fits) >= CACHE_PAIRS:
+                self.fits.clear()
+            found = self.fits[key] = next(self.border(left, right), None) is None
         return found
 
     def transduce(self, data: bytes) -> Iterator[int]:
-        """The tokens of one piece, each as soon as it is stable."""
-        last = [-1]  # last token of each kept prefix; -1: the piece starts here, or what is kept
-        base, before, check = 0, -1, 4 * self.longest
-        id_of, fits, may_follow = self.id_of.get, self.fits.get, self.may_follow
-        for end in range(1, len(data) + 1):
-            found = None
-            for start in self.starts(data, base, end):
-                token = id_of(data[start:end])
-                if token is None:
-                    continue
-                ahead = last[start - base] if start > base else before
-                if ahead == -1 or (fit if (fit := fits(ahead << 32 | token)) is not None else may_follow(ahead, token)):
-                    found = token
-                    break
-            last.append(found)
-            if len(last) > check:
-                paths = [self.way_back(last, k) for k in range(len(last) - self.longest, len(last))]
-                if (at := max(set(paths[0]).intersection(*paths[1:]))) > 0:
-                    yield from self.tokens_to(last, at)
-                    before, base, last = last[at], base + at, [-1, *last[at + 1 :]]
-                check = max(4 * self.longest, 2 * len(last))
-        yield from self.tokens_to(last, len(last) - 1)
-
-    def whole(self, data: bytes) -> list[int]:
-        """The tokens of a piece that ends within the lookahead.
-
-        Only one row of tokens may follow each other all along, so the first one found is it.
-        """
-        id_of, fits, may_follow = self.id_of.get, self.fits.get, self.may_follow
-        tokens, starts, dead, at, end, size, ahead = [], [], set(), 0, len(data), len(data), -1
-        while at < size:
-            while end > at:
-                token = id_of(data[at:end])
-                if token is not None and (ahead == -1 or (fit if (fit := fits(ahead << 32 | token)) is not None else may_follow(ahead, token))) and end not in dead:
-                    break
-                end -= 1
-            if end > at:
-                tokens.append(token)
-                starts.append(at)
-                ahead, at, end = token, end, size
-            else:
-                dead.add(at)
-                tokens.pop()
-                end, at = at - 1, starts.pop()
-                ahead = tokens[-1] if tokens else -1
-        return tokens
-
-    def starts(self, data: bytes, base: int, end: int) -> range:
-        """Where tokens that end here may start, the longest first."""
-        start = end - 1
-        while start > base and data[start - 1 : end] in self.tails:
-            start -= 1
-        return range(start, end)
-
-    def way_back(self, last: list, at: int) -> list[int]:
+        """The tokens of one piece, each once it is stable."""
+        last = [-1]  # last token of each kept prefix; the first one ends where the stable tokens end
+        base, most = 0, self.most_kept
+        size_of, fits, may_follow = self.size_of, self.fits.get, self.may_follow
+        for end, token in self.ending.iter(data.decode("latin-1")):  # the longest first
+            here = end + 1 - base
+            start = here - size_of[token]
+            if here < len(last) or start < 0:
+                continue  # the prefix has its last token, and only one may be
+            ahead = last[start]
+            if ahead < 0 or (fit if (fit := fits(ahead << 32 | token)) is not None else may_follow(ahead, token)):
+                last.append(token)
+                if here > most:
+                    stable = [at for at in self.way_back(last, here) if at <= here - self.lookahead]
+                    if not stable:
+                        raise AssertionError("a token is longer than the vocabulary allows")
+                    yield from self.tokens_on(last, stable)
+                    del last[: stable[0]]
+                    base += stable[0]
+        yield from self.tokens_on(last, self.way_back(last, len(last) - 1))
+
+    def way_back(self, last: list[int], at: int) -> list[int]:
+        """The borders of the tokens of a kept prefix, the newest first."""
         way = [at]
         while at > 0:
-            at -= len(self.bytes_of[last[at]])
+            at -= self.size_of[last[at]]
             way.append(at)
         return way
 
-    def tokens_to(self, last: list, at: int) -> list[int]:
-        way = self.way_back(last, at)
+    def tokens_on(self, last: list[int], way: list[int]) -> list[int]:
         return [last[k] for k in reversed(way[:-1])]
 
 
 class Pieces(dict):
-    """Packed ids of pieces, remembered up to a bound."""
+    """Packed ids of pieces, remembered up to a bound in bytes.
 
-    def __init__(self, vocabulary: Vocabulary):
+    What fills half of the bound becomes the old half, whose place the next one takes; pieces that are met again move over.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most: int = CACHE_BYTES):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.most, self.held, self.old = vocabulary, most, 0, {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        ids = self.vocabulary.whole(data) if len(data) <= SHORT else list(self.vocabulary.transduce(data))
-        packed = pack(f"<{len(ids)}I", *ids)
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = list(self.vocabulary.transduce(piece.encode("utf-8", "surrogatepass")))
+            packed = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:  # dicts keep order: the oldest half goes
-                for old in list(islice(self, CACHE_PIECES // 2)):
-                    del self[old]
+            if self.held >= self.most // 2:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
             self[piece] = packed
+            self.held += getsizeof(piece) + getsizeof(packed) + ENTRY
         return packed
 
 
@@ -204,26 +205,32 @@ class Codec:
     """Encodes texts to packed little-endian ids in blocks, and decodes them."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = Vocabulary.read(path)
         self.pieces = Pieces(self.vocabulary)
         self.find = regex.compile(PATTERN)
         special = sorted(self.vocabulary.special, key=len, reverse=True)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
+
+    def parts(self, text: str) -> Iterator[tuple[int, int, bool]]:
+        """Bounds of the special tokens in a text and of what lies between them."""
+        at = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            yield at, m.start(), False
+            yield m.start(), m.end(), True
+            at = m.end()
+        yield at, len(text), False
 
     def encode(self, text: str) -> Iterator[bytes]:
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.vocabulary.special:
+        for start, end, special in self.parts(text):
+            part = text if end - start == len(text) else text[start:end]
+            if special:
                 yield pack("<I", self.vocabulary.special[part])
-            elif len(part) < 8 * BLOCK_PIECES:
+            elif len(part) < BLOCK_PIECES:
                 yield b"".join(map(self.pieces.__getitem__, self.find.findall(part)))
             else:
-                block = []
-                for m in self.find.finditer(part):
-                    block.append(self.pieces[m[0]])
-                    if len(block) == BLOCK_PIECES:
-                        yield b"".join(block)
-                        block = []
-                yield b"".join(block)
+                found = self.find.finditer(part)
+                while block := list(islice(found, BLOCK_PIECES)):
+                    yield b"".join([self.pieces[m[0]] for m in block])
 
     def decode(self, blocks: Iterator[bytes]) -> Iterator[str]:
         """Text of packed ids; bytes that are no UTF-8 become U+FFFD."""
@@ -233,53 +240,79 @@ class Codec:
             yield machine.decode(b"".join(map(table.__getitem__, np.frombuffer(block, "<u4").tolist())))
         yield machine.decode(b"", True)
 
+    def digests(self, blocks: Iterator[bytes]) -> tuple[int, str, str]:
+        """Tokens, and the digests of the ids and of the text that they decode to."""
+        size, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+        def counted() -> Iterator[bytes]:
+            nonlocal size
+            for block in blocks:
+                size += len(block)
+                of_ids.update(block)
+                yield block
+
+        for text in self.decode(counted()):
+            of_text.update(text.encode("utf-8", "surrogatepass"))
+        return size // 4, of_ids.hexdigest(), of_text.hexdigest()
+
 
-@lru_cache(2)
+@lru_cache(1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _batches(batches, size_of, make, schema):
-    """Rows made from rows, in batches of about BATCH_BYTES."""
-    for batch in batches:
-        keys, texts, out, size = batch.column(0), batch.column(1), [], 0
-        start = 0
-        for i in range(batch.num_rows):
-            out.append(make(texts[i].as_py()))
-            size += size_of(out[-1])
-            if size >= BATCH_BYTES or i == batch.num_rows - 1:
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.slice(start, len(out)), *columns], schema=pa.schema([pa.field(schema[0].name, keys.type), *list(schema)[1:]]))
-                start, out, size = i + 1, [], 0
+DIGESTS = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
 
 
-def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
-    """(key, ids): packed little-endian unsigned 32-bit ids of every whole text; with decoded also their text."""
-    schema = pa.schema([pa.field(key, pa.null()), pa.field("ids", pa.binary()), *([pa.field("decoded", pa.string())] if decoded else [])])
+def _mapped(rows: DataFrame, make, fields: list[pa.Field]) -> DataFrame:
+    """The first column, and the fields that make(value) gives for the second, in batches of about BATCH_BYTES."""
+    name, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
 
     def run(batches):
+        for batch in batches:
+            keys, values, out, size, start = batch.column(0), batch.column(1), [], 0, 0
+            for i in range(batch.num_rows):
+                out.append(make(values[i].as_py()))
+                size += len(out[-1][0]) if isinstance(out[-1][0], (bytes, str)) else 1
+                if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)]
+                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(out)), *columns], schema=pa.schema([pa.field(name, keys.type), *fields]))
+                    start, out, size = i + 1, [], 0
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    types = {pa.binary(): "binary", pa.string(): "string", pa.int64(): "long"}
+    return rows.mapInArrow(run, ", ".join([f"{quoted(name)} {kind}", *(f"{f.name} {types[f.type]}" for f in fields)]))
+
+
+def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+    """(key, ids): packed little-endian unsigned 32-bit ids of every whole text; with digests also n_tokens, ids_sha256 and decoded_sha256."""
+
+    def make(s: str | None) -> tuple:
         c = codec(path)
+        ids = b"".join(c.encode(s or ""))
+        return (ids, *c.digests(ids[i : i + 4 * BLOCK_PIECES] for i in range(0, len(ids), 4 * BLOCK_PIECES))) if digests else (ids,)
 
-        def make(s):
-            blocks = list(c.encode(s or ""))
-            return (b"".join(blocks), "".join(c.decode(iter(blocks)))) if decoded else (b"".join(blocks),)
+    return _mapped(only(docs, key, text), make, [pa.field("ids", pa.binary()), *(DIGESTS if digests else [])])
 
-        yield from _batches(batches, lambda x: sum(map(len, x)), make, schema)
 
-    rows = only(docs, key, text)
-    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids binary" + ", decoded string" * decoded)
+def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every whole text, in constant memory besides the text."""
+
+    def make(s: str | None) -> tuple:
+        c = codec(path)
+        return c.digests(c.encode(s or ""))
+
+    return _mapped(only(docs, key, text), make, DIGESTS)
 
 
 def decode_documents(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text): the text of packed ids."""
-    schema = pa.schema([pa.field(key, pa.null()), pa.field("text", pa.string())])
 
-    def run(batches):
-        c = codec(path)
-        yield from _batches(batches, lambda x: len(x[0]), lambda b: ("".join(c.decode([b[i : i + 4 * BLOCK_PIECES] for i in range(0, len(b or b""), 4 * BLOCK_PIECES)])),), schema)
+    def make(b: bytes | None) -> tuple:
+        return ("".join(codec(path).decode((b or b"")[i : i + 4 * BLOCK_PIECES] for i in range(0, len(b or b""), 4 * BLOCK_PIECES))),)
 
-    rows = only(tokens, key, ids)
-    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
+    return _mapped(only(tokens, key, ids), make, [pa.field("text", pa.string())])
 
 
 def default_path() -> str:
@@ -289,10 +322,4 @@ def default_path() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_path(), decoded=True)
-    return both.select(
-        "doc_id",
-        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_path())

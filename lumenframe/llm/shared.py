@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.sources.ship import ship
 
-__all__ = ["ascii_lower", "drop_scratch", "materialize", "only", "scratch_root", "ship"]
+__all__ = ["ascii_lower", "drop_scratch", "materialize", "only", "quoted", "scratch_root", "ship"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -56,3 +56,8 @@ def ascii_lower(c: Column) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns can't clash with computed ones."""
     return df.select(*[df[n] for n in names])
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands in a schema text."""
+    return "`" + name.replace("`", "``") + "`"

@@ -44,16 +44,77 @@ def test_broken_bytes_decode_as_the_library(tokenizer):
         assert "".join(codec.decode([np.array(ids, "<u4").tobytes()])) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def merged(word, merges):
+    """Byte-pair encoding by its definition: the earliest merge first, from the left."""
+    parts = list(word)
+    for a, b in merges:
+        out = []
+        for p in parts:
+            if out and out[-1] == a and p == b:
+                out[-1] = a + b
+                a_done = out.pop()
+                out.append("\0" + a_done)  # may not merge again in this pass
+            else:
+                out.append(p)
+        parts = [p.removeprefix("\0") for p in out]
+    return parts
+
+
+def small_vocabulary(rng, n):
+    tokens, merges = list("ab"), []
+    while len(merges) < n:
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if a + b not in tokens and len(a + b) < 9:
+            tokens.append(a + b)
+            merges.append((a, b))
+    return bpe.Vocabulary({t: i for i, t in enumerate(tokens)}, merges), tokens, merges
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lookahead_suffices(seed):
+    """Tokens that end a lookahead before the end of a text stay, whatever follows; no more prefixes are kept than allowed."""
+    rng = random.Random(seed)
+    vocabulary, tokens, merges = small_vocabulary(rng, rng.randrange(1, 14))
+    for _ in range(60):
+        text = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 60)))
+        whole = merged(text, merges)
+        assert [tokens[i] for i in vocabulary.transduce(text.encode())] == whole
+        ends = np.cumsum([len(t) for t in whole]).tolist()
+        for cut in range(1, len(text)):
+            early = np.cumsum([len(t) for t in merged(text[:cut], merges)]).tolist()
+            sure = cut - vocabulary.lookahead
+            assert [e for e in early if e <= sure] == [e for e in ends if e <= sure]
+    kept = []
+    way_back = vocabulary.way_back
+    vocabulary.way_back = lambda last, at: kept.append(len(last)) or way_back(last, at)
+    text = "".join(rng.choice("ab") for _ in range(3000))
+    stream = vocabulary.transduce(text.encode())
+    assert [tokens[i] for i in stream] == merged(text, merges)
+    assert max(kept) <= vocabulary.most_kept + 2 and len(kept) > 3000 // (2 * vocabulary.most_kept)
+
+
+def test_cache_is_bounded_in_bytes(tokenizer):
+    pieces = bpe.Pieces(bpe.codec(bpe.default_path()).vocabulary, most=20_000)
+    for i in range(3_000):
+        assert np.frombuffer(pieces[f" w{i % 700}"], "<u4").tolist() == tokenizer.encode(f" w{i % 700}", add_special_tokens=False).ids or i % 100
+        assert len(pieces) + len(pieces.old) < 300
+
+
 def test_encode_documents(spark, tokenizer, odd_docs, no_docs):
-    coded = bpe.encode_documents(odd_docs, bpe.default_path(), decoded=True)
+    path = bpe.default_path()
+    coded = bpe.encode_documents(odd_docs, path, digests=True)
     texts = {r.doc_id: r.text for r in odd_docs.collect()}
     found = coded.collect()
     assert len(found) == odd_docs.count()
     for r in found:
-        assert np.frombuffer(r.ids, "<u4").tolist() == tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
-        assert r.decoded == (texts[r.doc_id] or "")
-    assert {r.doc_id: r.text for r in bpe.decode_documents(coded, bpe.default_path()).collect()} == {k: v or "" for k, v in texts.items()}
-    assert bpe.encode_documents(no_docs, bpe.default_path()).count() == 0
+        ids = tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+    assert sorted(map(str, bpe.digest_documents(odd_docs, path).collect())) == sorted(map(str, coded.drop("ids").collect()))
+    assert {r.doc_id: r.text for r in bpe.decode_documents(coded, path).collect()} == {k: v or "" for k, v in texts.items()}
+    assert bpe.encode_documents(no_docs, path).count() == 0
+    odd = odd_docs.selectExpr("doc_id AS `my key`", "text")
+    assert bpe.digest_documents(odd, path, key="my key").columns[0] == "my key" and bpe.digest_documents(odd, path, key="my key").count() == odd.count()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
