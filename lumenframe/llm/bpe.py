@@ -23,7 +23,6 @@ give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import codecs
-import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -38,7 +37,7 @@ import regex
 from ahocorasick import Automaton
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm.shared import only, quoted
+from lumenframe.llm.shared import freed, only, quoted
 
 #: Fixed pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -278,11 +277,9 @@ def _mapped(rows: DataFrame, make, fields: list[pa.Field]) -> DataFrame:
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)]
                     yield pa.RecordBatch.from_arrays([keys.slice(start, len(out)), *columns], schema=pa.schema([pa.field(name, keys.type), *fields]))
                     start, out, size = i + 1, [], 0
-        gc.collect()
-        pa.default_memory_pool().release_unused()
 
     types = {pa.binary(): "binary", pa.string(): "string", pa.int64(): "long"}
-    return rows.mapInArrow(run, ", ".join([f"{quoted(name)} {kind}", *(f"{f.name} {types[f.type]}" for f in fields)]))
+    return rows.mapInArrow(freed(run), ", ".join([f"{quoted(name)} {kind}", *(f"{f.name} {types[f.type]}" for f in fields)]))
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:

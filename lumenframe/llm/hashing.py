@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose values are remembered in a worker; beyond it, all are forgotten.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 
 U64 = np.uint64
 #: Odd multipliers of a common finaliser of 64-bit hashes.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import only
+from lumenframe.llm.shared import freed, only, quoted
 
 SYMBOLS, DIM, SEED = 64, 512, 20_240
 #: Training texts of each language, about; characters of a slice; trigrams whose vectors are held at once; texts
@@ -160,7 +160,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
             yield pa.RecordBatch.from_pydict({"lang": [k] * DIM, "dim": pa.array(range(DIM), pa.int32()), "v": v})
 
     found: dict[str, np.ndarray] = {}
-    parts = rows.mapInArrow(run, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
+    parts = rows.mapInArrow(freed(run), "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
     for r in parts.collect():
         found.setdefault(r.lang, np.zeros(DIM))[r.dim] = r.v
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if v.any()}
@@ -182,7 +182,7 @@ def spreads(labelled: DataFrame, prototypes: dict[str, np.ndarray], text: str =
                         found["k"].append(n * (1 / max(round(v @ prototypes[name], 9), 1e-3) ** 2 - 1))
             yield pa.RecordBatch.from_pydict(found, pa.schema({"lang": pa.string(), "k": pa.float64()}))
 
-    return {r.lang: r.k for r in rows.mapInArrow(run, "lang string, k double").groupBy("lang").agg(F.percentile("k", 0.5).alias("k")).collect()}
+    return {r.lang: r.k for r in rows.mapInArrow(freed(run), "lang string, k double").groupBy("lang").agg(F.percentile("k", 0.5).alias("k")).collect()}
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", carry: tuple[str, ...] = ("doc_id",), spread: dict[str, float] | None = None) -> DataFrame:
@@ -211,8 +211,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             columns = [*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leasts, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns[: n + len(more)], names=[*carry, *more])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", *(f"{c} double" for c in more[1:])]))
+    fields = [f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return rows.mapInArrow(freed(run), ", ".join([*fields, "lang_pred string", *(f"{c} double" for c in more[1:])]))
 
 
 def held_out(fold: int, of: int, key: str = "doc_id") -> Column:

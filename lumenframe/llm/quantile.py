@@ -29,10 +29,11 @@ def literal_lookup(values: list, at: Column, kind: str) -> Column:
     return F.get(F.lit([0] if not values else list(values)).cast(f"array<{kind}>"), at)
 
 
-def search(df: DataFrame, group: Column, key: Column, weight: Column, searches: dict[int, Search], buckets: int = 1024, slack: float = 0.0) -> dict[int, Search]:
+def search(df: DataFrame, group: Column, key: Column, weight: Column, searches: dict[int, Search], buckets: int = 1024, slack: float = 0.0, up: bool = False) -> dict[int, Search]:
     """Find the cut of every group in searches (its groups are small integers from 0).
 
-    A search ends when its bucket holds one key value or at most ``slack`` of weight.
+    A search ends when its bucket holds one key value or at most ``slack`` of weight. With ``up``, the cut
+    is never below the target.
     """
     size = max(searches) + 1
     work = df.select(group.cast("int").alias("g"), key.cast("long").alias("k"), weight.cast("double").alias("w"))
@@ -57,7 +58,7 @@ def search(df: DataFrame, group: Column, key: Column, weight: Column, searches:
                 if below + w >= s.target or (b, w) == sums[-1]:
                     start, end = s.low + b * width[g], min(s.high, s.low + (b + 1) * width[g])
                     if width[g] == 1 or w <= slack:
-                        s.done, s.cut = True, (end if below + w - s.target <= s.target - below else start)
+                        s.done, s.cut = True, (end if up or below + w - s.target <= s.target - below else start)
                     else:
                         s.low, s.high, s.below = start, end, below
                     break

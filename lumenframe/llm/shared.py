@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.sources.ship import ship
 
-__all__ = ["ascii_lower", "drop_scratch", "materialize", "only", "quoted", "scratch_root", "ship"]
+__all__ = ["ascii_lower", "drop_scratch", "freed", "materialize", "only", "quoted", "scratch_root", "ship"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -61,3 +64,15 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def quoted(name: str) -> str:
     """A column's name as it stands in a schema text."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def freed(run):
+    """run, a function of Arrow batches, whose task gives back what its worker no longer needs."""
+
+    @wraps(run)
+    def task(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return task

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -219,13 +220,52 @@ def test_equal_texts_have_equal_fingerprints(odd_docs):
     assert found[4] == found[5] and len(found[5]) == 1 and found[1] == found[2]
 
 
-def test_quality_selects_exactly_k(spark):
-    d = "/root/testdata/sf0.01"
+def brute_weights(texts, targets):
+    """Sums of log ratios of hashed words and word pairs, by plain counting."""
+    from lumenframe.llm.hashing import mix, word_hash
+
+    def grams(t):
+        h = [mix(np.array([word_hash(w)], np.uint64))[0] for w in (t or "").split()]
+        with np.errstate(over="ignore"):
+            pairs = [mix(np.array([a * np.uint64(3) + b]))[0] for a, b in zip(h, h[1:], strict=False)]
+        return [int(x) % quality.BUCKETS for x in h + pairs]
+
+    raw, target = Counter(), Counter()
+    for t, is_target in zip(texts, targets, strict=True):
+        raw.update(grams(t))
+        target.update(grams(t) if is_target else [])
+    rn, tn, base = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS, quality.ALPHA
+    return [sum(np.log((target[g] + base) / tn) - np.log((raw[g] + base) / rn) for g in grams(t)) for t in texts]
+
+
+def test_quality_weights_and_choice(spark):
+    d = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    rows = quality.resample(docs, labels, k=700).collect()
-    best = {r.doc_id for r in sorted(rows, key=lambda r: -r.gumbel_key)[:700]}
-    assert len(rows) == 1000 and {r.doc_id for r in rows if r.selected} == best
     marks = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = dict(zip(texts, brute_weights(texts.values(), [marks.get(k) == 1 for k in texts]), strict=True))
+    rows = quality.resample(docs, labels, k=70).collect()
+    assert all(r.log_weight == pytest.approx(want[r.doc_id], abs=1e-6) for r in rows)
+    best = {r.doc_id for r in sorted(rows, key=lambda r: -r.gumbel_key)[:70]}
+    assert len(rows) == len(texts) and {r.doc_id for r in rows if r.selected} == best
+
+
+def test_quality_draws_in_proportion(spark):
+    """Over many seeds, rows are included as often as drawing without replacement by weight includes them."""
+    weights = np.array([5.0, 3.0, 1.0, 1.0, 0.5, 0.2])
+    items = spark.createDataFrame([(i, float(np.log(w))) for i, w in enumerate(weights)], "doc_id long, log_weight double")
+    turns, k, found = 3_000, 2, np.zeros(len(weights))
+    seeded = items.crossJoin(spark.range(turns).withColumnRenamed("id", "seed"))
+    for r in quality.gumbel(seeded.withColumn("unit", F.struct("seed", "doc_id")), "unit", 3).toPandas().sort_values("gumbel_key", ascending=False).groupby("seed").head(k).itertuples():
+        found[r.doc_id] += 1
+    p = weights / weights.sum()
+    want = [p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(len(p)) if j != i) for i in range(len(p))]
+    assert np.allclose(found / turns, want, atol=0.03)
+
+
+def test_quality_sorts_documents(spark):
+    d = "/root/testdata/sf0.01"
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     drawn = quality.op9_quality(spark, d).collect()
     right = [r.selected == bool(marks[r.doc_id]) for r in drawn if r.doc_id in marks]
     assert np.mean(right) > 0.95
@@ -236,6 +276,16 @@ def test_quality_odd_inputs(spark, odd_docs, no_docs):
     assert quality.resample(odd_docs, labels, k=3).count() == odd_docs.count()
     assert quality.resample(no_docs, labels).count() == 0
     assert {r.log_weight for r in quality.resample(odd_docs, labels.where("false")).collect()} == {0.0}
+    thrice = odd_docs.union(odd_docs).union(odd_docs)
+    for k in (0, 1, 10, 38, 39, 50):
+        assert quality.resample(thrice, labels, k=k).where("selected").count() == min(k, 39)
+
+
+def test_quality_slices(monkeypatch):
+    text = " ".join(f"w{i % 37}" for i in range(100))
+    whole = np.sort(np.concatenate(list(quality.Grams()(text))))
+    monkeypatch.setattr(quality, "SLICE", 7)
+    assert np.array_equal(np.sort(np.concatenate(list(quality.Grams()(text)))), whole)
 
 
 def test_gradients_of_the_network():
