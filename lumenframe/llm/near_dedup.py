@@ -3,17 +3,20 @@
 Texts with the same set of word shingles are one class. Classes meet in the buckets of a banded
 MinHash signature. Within a bucket, signatures are compared a batch at a time; after each batch a
 pair whose posterior probability of reaching the threshold (uniform prior, binomial
-matches) is below ``MISS`` is dropped. The pairs that are left join classes to clusters, and within
-each cluster the full sets of all classes are compared exactly.
+matches) is below ``MISS`` is dropped. The pairs that are left join classes to clusters. Within
+each cluster every pair that survives the same batches is verified on its full sets, once and one by one, by an
+inverted index over the cluster's shingles; pairs whose classes are joined already are skipped.
 
-Buckets and clusters of more than ``RUN`` classes are first dealt into runs that share a few hubs; the
-classes that this leaves outside the largest component are then compared with all the others,
-block by block. So no pair is lost, no task holds more than two blocks, and what a run finds goes out
-as one link for each class that it joins to another. Buckets with equal members are looked at once.
+Buckets and clusters of more than ``RUN`` classes, or whose sets need more than ``RUN_SHINGLES``, are first dealt into
+runs that share a few hubs; the classes that this leaves outside the largest component are then compared with
+all the others, block by block. So no pair is lost, no task holds more than two blocks, and what a run finds goes out
+as one link for each component that it joins to another. Rows grow with the number of classes while a group fits in
+one run or hangs together. Of a larger group whose classes are near each other but not linked (nothing but looking
+at each pair can tell), every class is sent to one task for each block. Buckets with equal members are looked at once.
 
 Edge cases: null, empty and wordless texts have empty sets and stay alone; texts of fewer than k
-words are one shingle; repeated rows share their class; a null key counts as the greatest and
-comes out as null; extra columns are ignored; an empty table gives an empty result.
+words are one shingle; repeated rows share their class; keys are integers or text that can be cast to long; a null
+key counts as the greatest and comes out as null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.components import merge
 from lumenframe.llm.hashing import MIX_A, Remembered, mix, seeds, word_hash
-from lumenframe.llm.shared import drop_scratch, materialize, only
+from lumenframe.llm.shared import drop_scratch, freed, materialize, only, quoted
 
 #: Rows of a band, bands, and signature places that are compared at a time.
 ROWS, BANDS, BATCH = 4, 20, 16
 #: Chance at which a pair may be dropped wrongly, in each batch.
 MISS = 1e-4
-#: Classes of a run or block, and hubs of a large bucket.
-RUN, HUBS = 128, 4
+#: Classes and shingles of a run or block, and hubs of a large bucket.
+RUN, RUN_SHINGLES, HUBS = 4_096, 2_000_000, 4
+#: Runs of at most so many classes are compared many at a time.
+FEW = 128
 #: Run members that are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Shingles that are hashed at a time.
@@ -104,52 +109,86 @@ def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                     names=["id", "n", "d1", "d2", "bands", "sig"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>, sig binary")
+    return rows.mapInArrow(freed(run), "id long, n long, d1 long, d2 long, bands array<long>, sig binary")
 
 
-def runs_of(batches, width: int):
-    """Consecutive rows that share bucket and part, as lists of the rest; a run may span batches."""
+def runs_of(batches, width: int, read):
+    """Consecutive rows that share bucket and part, as lists of the rest, the last column read by a function; a run may span batches."""
     head, rows = None, []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(width - 1)), batch.column(width - 1), strict=True):
             if row[:2] != head:
                 if rows:
                     yield rows
                 head, rows = row[:2], []
-            rows.append(row[2:])
+            rows.append((*row[2:-1], read(row[-1].as_py())))
     if rows:
         yield rows
 
 
-def apart(x, y) -> np.ndarray:
-    """Which pairs of rows (id, comp, ...) are of different components; each pair once if x is y."""
-    out = np.array([r[1] for r in x], np.int64)[:, None] != np.array([r[1] for r in y], np.int64)
-    return np.triu(out, 1) if x is y else out
+class Index:
+    """An inverted index over the sets of a run: how many shingles a row shares with others."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], np.int64)
+        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.columns = np.split(column, np.cumsum(self.n)[:-1])
+        self.owners = np.repeat(np.arange(len(sets)), self.n)[np.argsort(column, kind="stable")]
+        self.counts, self.starts = counts, np.cumsum(counts) - counts
 
-def verified(x, y, percent: int):
-    """Pairs (i, j, shared) of rows (id, comp, shingles) whose full sets reach the threshold.
+    def shared(self, i: int) -> np.ndarray:
+        """Shingles that row i shares with each row."""
+        at = self.columns[i]
+        counts, starts = self.counts[at], self.starts[at]
+        places = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+        return np.bincount(self.owners[places], minlength=len(self.n))
 
-    Shared shingles are counted by products of incidence matrices, some columns at a time.
+    def alike(self, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+        """Those of the rows j whose sets reach the threshold with row i's."""
+        both = self.shared(i)[j]
+        return j[100 * both >= percent * (self.n[i] + self.n[j] - both)]
+
+
+def survivors(i: int, j: np.ndarray, n: np.ndarray, places: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the rows j that no batch of signature places rules out as row i's likes."""
+    j = j[np.minimum(n[i], n[j]) >= (threshold - 1e-9) * np.maximum(n[i], n[j])]
+    matches = np.zeros(len(j), np.int64)
+    for start in range(0, _PLACES, BATCH):
+        part = slice(start, start + BATCH)
+        matches += (places[j, part] == places[i, part]).sum(axis=1)
+        keep = matches >= fewest_matches(threshold, start + BATCH)
+        j, matches = j[keep], matches[keep]
+    return j
+
+
+def join_run(role: np.ndarray, ident: np.ndarray, comp: np.ndarray, n: np.ndarray, places: np.ndarray, threshold: float, confirm=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join the components of a run: role 2 meets itself, role 0 meets role 1.
+
+    Each pair is looked at once, unless its rows are joined already.
     """
-    rows = x if x is y else x + y
-    flat = np.concatenate([r[2] for r in rows])
-    values, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[where]
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    owner, column = owner[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    first = len(x) if x is not y else 0
-    shared = np.zeros((len(x), len(y)), np.float64)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
-        a, b = np.searchsorted(column, [start, start + CHUNK])
-        block = np.zeros((len(rows), CHUNK), np.float32)
-        block[owner[a:b], column[a:b] - start] = 1
-        shared += block[: len(x)] @ block[first:].T
-    n = [np.array([len(r[2]) for r in z], np.float64) for z in (x, y)]
-    i, j = np.nonzero(apart(x, y) & (100 * shared >= percent * (n[0][:, None] + n[1] - shared)))
-    return i, j, shared[i, j]
+    old = np.unique(comp, return_inverse=True)[1]
+    label, one, two = old.copy(), role == 1, role == 2
+    for i in np.flatnonzero(~one):
+        other = label != label[i]
+        if not other.any():
+            if not (label != label[0]).any():
+                break
+            continue
+        if role[i] == 2:
+            other &= two
+            other[: i + 1] = False
+        else:
+            other &= one
+        j = survivors(i, np.flatnonzero(other), n, places, threshold)
+        if len(j) and confirm:
+            j = confirm(i, j)
+        if len(j):
+            label[np.isin(label, label[j])] = label[i]
+    first = np.unique(old, return_index=True)[1]  # a row of each old component
+    _, lead, group = np.unique(label[first], return_index=True, return_inverse=True)
+    target = first[lead][group]
+    moved = target != first
+    return ident[first[moved]], ident[target[moved]]
 
 
 def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -180,17 +219,19 @@ def whole_runs(batches):
         yield np.array([0, len(rest[0])]), rest[2:]
 
 
-@lru_cache(2 * RUN)
+@lru_cache(2 * FEW)
 def _all_pairs(n: int):
     return np.triu_indices(n, 1)
 
 
 def pairs_of(bounds: np.ndarray, role: np.ndarray):
-    """Places (i, j) of the pairs to compare, some runs at a time."""
+    """Places (i, j) of the pairs to compare in runs of FEW rows at most, some runs at a time."""
     sizes = np.diff(bounds)
     two = bounds[:-1][(sizes == 2) & (role[bounds[:-1]] == 2)]
     out, n = [(two, two + 1)], len(two)
     for start, size in zip(bounds[:-1].tolist(), sizes.tolist(), strict=True):
+        if size > FEW:
+            continue
         if role[start] == 2:
             if size < 3:
                 continue
@@ -207,11 +248,19 @@ def pairs_of(bounds: np.ndarray, role: np.ndarray):
         yield tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
+def _links(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def links_by_signature(threshold: float):
     """Links that join the classes of each run which no batch of signature places has ruled out."""
 
     def run(batches):
         for bounds, (role, ident, comp, n, places) in whole_runs(batches):
+            large = np.diff(bounds) > FEW
+            for start, end in zip(bounds[:-1][large], bounds[1:][large], strict=True):
+                at = slice(start, end)
+                yield _links(*join_run(role[at], ident[at], comp[at], n[at], places[at], threshold))
             left, right = [], []
             for i, j in pairs_of(bounds, role):
                 keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= (threshold - 1e-9) * np.maximum(n[i], n[j]))
@@ -229,29 +278,30 @@ def links_by_signature(threshold: float):
             label = components(len(ident), np.concatenate(left), np.concatenate(right))
             moved = np.flatnonzero(label != np.arange(len(label)))
             if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(ident[moved]), pa.array(ident[label[moved]])], names=["a", "b"])
+                yield _links(ident[moved], ident[label[moved]])
 
     return run
 
 
 def links_by_sets(k: int, percent: int):
-    """Links that join the classes of each run whose full sets are alike."""
+    """Links that join the classes of each run whose signatures survive and whose full sets are alike."""
 
     def run(batches):
         word = Remembered(word_hash)
-        for group in runs_of(batches, 6):
-            sides: list[list] = [[], [], []]
-            for role, ident, comp, text in group:
-                sides[role].append((ident, comp, shingles(text, k, word)))
-            for x, y in ((sides[0], sides[1]), (sides[2], sides[2])):
-                if not x or not y or (x is y and len(x) < 2):
-                    continue
-                i, j, _ = verified(x, y, percent)
-                ident = np.array([r[0] for r in (x if x is y else x + y)], np.int64)
-                label = components(len(ident), i, j if x is y else j + len(x))
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(ident[moved]), pa.array(ident[label[moved]])], names=["a", "b"])
+        for rows in runs_of(batches, 7, lambda text: shingles(text, k, word)):
+            if len(rows) < 2:
+                continue
+            role, ident, comp, sig, sets = zip(*rows, strict=True)
+            index: list[Index] = []
+
+            def confirm(i, j, index=index, sets=sets):
+                if not index:
+                    index.append(Index(list(sets)))
+                return index[0].alike(i, j, percent)
+
+            columns = (np.array(x, np.int64) for x in (role, ident, comp, [len(s) for s in sets]))
+            places = np.frombuffer(b"".join(sig), "<u2").reshape(-1, _PLACES)
+            yield _links(*join_run(*columns, places, percent / 100, confirm))
 
     return run
 
@@ -260,30 +310,29 @@ def links(rows: DataFrame, payload: list[str], run) -> DataFrame:
     """Links (a, b) that run finds in the runs of rows (bucket, part, role, id, comp, *payload)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("bucket", "part", "role", "id", "comp", *payload).repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part")
-    return materialize(dealt.mapInArrow(run, "a long, b long"), "links")
+    return materialize(dealt.mapInArrow(freed(run), "a long, b long"), "links")
 
 
 def deal(members: DataFrame, labels: DataFrame, exact: bool) -> DataFrame:
-    """Runs (bucket, part, role, id, comp) of the buckets of members (bucket, size, id).
+    """Runs (bucket, part, role, id, comp) of the buckets of members (bucket, size, blocks, id).
 
-    At first, small buckets are one run each, and large ones are dealt into runs that share a few
+    At first, buckets of one block are one run each, and larger ones are dealt into runs that share a few
     hubs. Exact runs bring every class outside a large bucket's largest component together with all others.
     """
     rows = members.join(labels, "id")
     if not exact:
-        small = rows.where(F.col("size") <= RUN).select("bucket", F.lit(0).cast("long").alias("part"), F.lit(2).alias("role"), "id", "comp")
-        blocks = F.ceil(F.col("size") / RUN)
-        large = rows.where(F.col("size") > RUN)
+        small = rows.where("blocks = 1").select("bucket", F.lit(0).cast("long").alias("part"), F.lit(2).alias("role"), "id", "comp")
+        large = rows.where("blocks > 1")
         picks = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", "comp")).alias(f"h{i}") for i in range(HUBS)]
-        hubs = large.groupBy("bucket").agg(F.max("size").alias("size"), *picks)
-        hubs = hubs.select("bucket", "size", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.id", f"h{i}.comp") for i in range(HUBS)]))).alias("h"))
-        hubs = hubs.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("part"), F.lit(2).alias("role"), "h.id", "h.comp")
-        return small.union(large.select("bucket", F.pmod(F.xxhash64("id", "bucket"), blocks).alias("part"), F.lit(2).alias("role"), "id", "comp")).union(hubs)
-    rows = materialize(rows.select("bucket", "size", "id", "comp"), "rows")
+        hubs = large.groupBy("bucket").agg(F.max("blocks").alias("blocks"), *picks)
+        hubs = hubs.select("bucket", "blocks", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.id", f"h{i}.comp") for i in range(HUBS)]))).alias("h"))
+        hubs = hubs.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.lit(2).alias("role"), "h.id", "h.comp")
+        return small.union(large.select("bucket", F.pmod(F.xxhash64("id", "bucket"), "blocks").alias("part"), F.lit(2).alias("role"), "id", "comp")).union(hubs)
+    rows = materialize(rows.select("bucket", "size", "blocks", "id", "comp"), "rows")
     most = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
     most = materialize(most.agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("c"), F.count("*").alias("comps")).where("comps > 1"), "most")
     rows = rows.join(most, "bucket")
-    few, blocks = F.ceil((F.col("size") - F.col("c")) / RUN), F.ceil(F.col("size") / RUN)
+    few, blocks = F.ceil((F.col("size") - F.col("c")) * F.col("blocks") / F.col("size")), F.col("blocks")
     few_block, block = F.pmod(F.xxhash64("bucket", "id"), few), F.pmod(F.xxhash64("id", "bucket"), blocks)
     all_parts = F.transform(F.sequence(F.lit(0).cast("long"), few - 1), lambda i: i * blocks + block)
     few_parts = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: few_block * blocks + j)
@@ -297,7 +346,7 @@ def joined(members: DataFrame, find) -> DataFrame:
     found = find(deal(members, labels, exact=False))
     labels = merge(labels, found)
     drop_scratch(found)
-    large = members.where(F.col("size") > RUN)
+    large = members.where("blocks > 1")
     if not large.isEmpty():
         found = find(deal(large, labels, exact=True))
         labels = merge(labels, found)
@@ -314,27 +363,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     banded = classes.select("id", F.posexplode("bands").alias("band", "bkey")).select("id", F.xxhash64("band", "bkey").alias("bucket"))
     same = (F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), *same).where("size > 1")
-    buckets = materialize(buckets.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
-    members = materialize(banded.join(buckets, "bucket").select("bucket", "size", "id"), "members")
+    blocks = F.ceil(F.col("size") / RUN).alias("blocks")
+    buckets = materialize(buckets.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size", blocks), "buckets")
+    members = materialize(banded.join(buckets, "bucket").select("bucket", "size", "blocks", "id"), "members")
+    drop_scratch(buckets)
 
     def by_signature(runs: DataFrame) -> DataFrame:
         rows = runs.join(classes.select("id", "n", "sig"), "id")
         return links(rows, ["n", "sig"], links_by_signature(threshold))
 
     def by_sets(runs: DataFrame) -> DataFrame:
-        runs = materialize(runs, "runs")
+        runs = materialize(runs.join(classes.select("id", "sig"), "id"), "runs")
         side = F.broadcast(runs) if runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else runs
         texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("t"))
-
-        found = links(texts.join(side, "id"), ["t"], links_by_sets(k, percent))
+        found = links(texts.join(side, "id"), ["sig", "t"], links_by_sets(k, percent))
         drop_scratch(runs)
         return found
 
     clusters = joined(members, by_signature)
-    sized = materialize(clusters.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1"), "sized")
+    sized = clusters.join(classes.select("id", "n"), "id").groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / RUN), F.ceil(F.col("shingles") / RUN_SHINGLES)).alias("blocks")
+    sized = materialize(sized.select("comp", "size", blocks), "sized")
     drop_scratch(members)
-    members = materialize(clusters.join(sized, "comp").select(F.col("comp").alias("bucket"), "size", "id"), "members")
+    members = materialize(clusters.join(sized, "comp").select(F.col("comp").alias("bucket"), "size", "blocks", "id"), "members")
+    for used in (sized, clusters):
+        drop_scratch(used)
     labels = joined(members, by_sets)
+    drop_scratch(members)
     comps = labels.where("id <> comp").select(F.col("id").alias("rep"), "comp")
     reps = classes.select("d1", "d2", F.col("id").alias("rep")).join(comps, "rep", "left")
     reps = materialize(reps.select("d1", "d2", F.coalesce("comp", "rep").alias("component")), "components")

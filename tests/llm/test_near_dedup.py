@@ -64,14 +64,59 @@ def test_odd_inputs(odd_docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
-def test_verified_equals_sets():
+def test_index_equals_sets():
     rng = np.random.default_rng(3)
-    x = [(i, i, np.unique(rng.integers(0, 40, 30).astype(np.uint64))) for i in range(12)]
-    y = [(i + 20, i + 20, np.unique(rng.integers(0, 40, 30).astype(np.uint64))) for i in range(9)]
-    i, j, shared = near_dedup.verified(x, y, 40)
-    want = {(a, b) for a, r in enumerate(x) for b, s in enumerate(y) if 100 * len(set(r[2]) & set(s[2])) >= 40 * len(set(r[2]) | set(s[2]))}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
-    assert all(n == len(set(x[a][2]) & set(y[b][2])) for a, b, n in zip(i, j, shared, strict=True))
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(15)]
+    index = near_dedup.Index(sets)
+    for i, s in enumerate(sets):
+        assert index.shared(i).tolist() == [len(set(s) & set(t)) for t in sets]
+        want = [j for j, t in enumerate(sets) if 100 * len(set(s) & set(t)) >= 40 * len(set(s) | set(t))]
+        assert index.alike(i, np.arange(15), 40).tolist() == want
+
+
+def near_but_apart(n):
+    """n texts of which any two have an index of about 0.78, and every tenth a copy that is linked to it."""
+    base, texts = [f"b{i}" for i in range(400)], []
+    for i in range(n):
+        words = list(base)
+        at = (i * 7) % 12
+        for j in range(12):
+            words[at + j * 32] = f"own{i}x{j}"
+        texts.append(" ".join(words))
+        if i % 10 == 0:
+            texts.append(" ".join([*words[:200], f"new{i}", *words[200:]]))
+    return texts
+
+
+def test_large_cluster_of_unlinked_texts(spark, monkeypatch):
+    """Rows grow with the classes, every linked pair is found and no other."""
+    sizes = {}
+    for n in (60, 240):
+        rows = []
+        links = near_dedup.links
+        monkeypatch.setattr(near_dedup, "links", lambda r, *a, rows=rows, links=links: rows.append(r.count()) or links(r, *a))
+        texts = near_but_apart(n)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, k=4).collect())
+        assert got == brute(texts, 4, 80)
+        monkeypatch.undo()
+        sizes[n] = rows[-1]
+    assert sizes[240] <= 4.2 * sizes[60]
+
+
+def test_planted_copies_are_found(spark):
+    """Pairs just over the threshold among many texts: at least nine in ten are linked."""
+    rng, texts = random.Random(8), []
+    for i in range(120):
+        words = [f"v{rng.randrange(5000)}" for _ in range(150)]
+        copy = list(words)
+        for at in rng.sample(range(10, 140, 12), 4):
+            copy[at] = f"z{i}"
+        texts += [" ".join(words), " ".join(copy)]
+    want = {i for i, _, c in brute(texts, 4, 80) if i != c}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id for r in near_dedup.near_duplicates(docs, k=4).collect() if r.doc_id != r.component_id}
+    assert len(want) > 100 and found <= want and len(found) >= 0.9 * len(want)
 
 
 def test_fewest_matches_grow():
