@@ -1,7 +1,9 @@
 """Encoding, HTML, languages, fingerprints, quality and toxicity."""
 
 import hashlib
+import html
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -154,6 +156,54 @@ def test_unequal_containers(page):
     assert [lines[0], lines[1], lines[-1]] == ["Title", LEAD, TAIL] and len(lines) == 15
 
 
+WRAPPED = f"<h1>Title</h1><p>{LEAD}</p>{LONG}<p>{TAIL}</p>"
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-comments", "has-header-image", "search-results", "post-content"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_are_no_boilerplate(name, tag):
+    page = f'<body><nav><a href=a>Home</a></nav><div class="{name}"><{tag}>{WRAPPED}</{tag}><div class=sidebar><p>{LEAD}</p></div></div><footer>{TAIL}</footer></body>'
+    lines = html_text.main_text(page).split("\n")
+    assert [lines[0], lines[1], lines[-1]] == ["Title", LEAD, TAIL] and len(lines) == 15
+
+
+def test_parts_of_an_article_stay():
+    page = f"<article><header><h1>Title</h1></header><p>{LEAD}</p>{LONG}<p>Of <math>x + y</math>, <button>press</button> <label>a label</label>.</p></article><form><label>Mail</label></form>"
+    lines = html_text.main_text(page).split("\n")
+    assert lines[0] == "Title" and lines[-1] == "Of x + y, press a label."
+
+
+PLAIN_MENU = "<div>" + "".join(f"<span><a href=a{i}>Item {i}</a></span><br><p>" for i in range(9)) + "</div>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_ratios_decide(spark, small, tag):
+    """A menu that no tag or name marks goes by its ratio alone; without ratios it would stay."""
+    page = f"<body>{PLAIN_MENU}<{tag}>{WRAPPED}</{tag}>{PLAIN_MENU}</body>"
+    lines = html_text.main_text(page).split("\n")
+    assert [lines[0], lines[1], lines[-1]] == ["Title", LEAD, TAIL] and len(lines) == 15
+    every = lambda scores: np.ones(len(scores), bool)
+    assert html_text.main_text(page, every) != html_text.main_text(page)
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    assert all(html_text.main_text(h, every) != html_text.main_text(h) for h in pages)
+
+
+def test_clusters():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x = np.round(rng.random(rng.integers(2, 12)), 1)
+        error = lambda c: sum(((x[m] - x[m].mean()) ** 2).sum() for m in (x > c, x <= c) if m.any())
+        if len(set(x)) > 1:
+            best = min(error(c) for c in x[x < x.max()])
+            up = html_text.upper_cluster(x)
+            assert error(x[~up].max()) == pytest.approx(best) and up.any() and not up.all()
+
+
+def test_long_page_is_read():
+    page = f"<nav><a href=a>Home</a></nav><article>{'<p>' + 'word ' * 400_000 + '</p>'}{'<p>some words of the story</p>' * 20_000}</article>"
+    assert len(html_text.main_text(page).split("\n")) == 20_001
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<article>", "</article>", "<ul><li>", "a b", " ", "&amp;", "<", ">", "<!--", "<script>", "<br/>", "<b>", "</b>"]), max_size=30).map("".join))
 def test_any_page_is_read(page):
@@ -163,6 +213,10 @@ def test_any_page_is_read(page):
 def test_articles_of_pages(spark, small):
     got = html_text.op2_html_text(spark, small).collect()
     assert len(got) == 50 and all(r.n_chars == len(r.text) > 0 for r in got)
+    articles = {r.page_id: re.search("<article>(.*)</article>", r.html, re.DOTALL)[1] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    for r in got:
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", re.sub("<br>", " ", b))).split()) for b in re.split("</?(?:p|h1|li|ul|div)>", articles[r.page_id])]
+        assert r.text == "\n".join(b for b in blocks if b)
     odd = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(odd).collect()) == ["", "", "x"]
 
