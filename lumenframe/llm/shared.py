@@ -10,13 +10,16 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from lumenframe.sources.ship import ship
 
-__all__ = ["ascii_lower", "drop_scratch", "freed", "materialize", "only", "quoted", "scratch_root", "ship"]
+__all__ = ["ascii_lower", "drop_scratch", "freed", "materialize", "only", "quoted", "scratch_root", "ship", "small"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Tables that are broadcast have at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -61,6 +64,21 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its rows and bytes are few enough; else joins shuffle it."""
+
+    def width(name: str, kind) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+        if isinstance(kind, ArrayType):
+            of = F.octet_length if isinstance(kind.elementType, (StringType, BinaryType)) else (lambda _: F.lit(8))
+            return F.coalesce(F.aggregate(F.col(name), F.lit(16), lambda n, x: n + F.coalesce(of(x), F.lit(0)) + 16), F.lit(0))
+        return F.lit(8)
+
+    size = df.agg(F.count("*").alias("n"), F.sum(sum((width(f.name, f.dataType) for f in df.schema), F.lit(0)).cast("long")).alias("bytes")).first()
+    return F.broadcast(df) if size.n <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
+
+
 def quoted(name: str) -> str:
     """A column's name as it stands in a schema text."""
     return "`" + name.replace("`", "``") + "`"

@@ -1,12 +1,13 @@
 """URL filters by host-suffix and path-prefix expressions.
 
-Every URL is expanded into (host suffix, path prefix) expressions; these meet the rules in an
-equi-join on a short prefix of their digests, and a candidate counts only after the full digests
-and the strings agree. The longest rule wins; at equal length the longer host, then block.
+Every URL is expanded into expressions of a host suffix and a path prefix: of all that there are, those whose number of host
+labels, number of slashes, and characters after the last slash occur together in some rule. They meet the rules in an
+equi-join on a short prefix of their digests, and a candidate counts only after the full digests and the
+strings agree. The longest rule wins; at equal length the longer host, then block.
 
 Edge cases: a null url or one without ``://`` has empty host and path and takes the default
-verdict; repeated rows come back as often as they went in; an empty table gives an empty result;
-extra columns of either input are ignored.
+verdict; very long urls have no more expressions than there are kinds of rules; repeated rows come back as often as they
+went in; an empty table gives an empty result, and no rules the default verdict; extra columns of either input are ignored.
 """
 
 from __future__ import annotations
@@ -14,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import ascii_lower, only
+from lumenframe.llm.shared import ascii_lower, only, small
 
 #: Hex digits of the digest prefix that the join uses.
 PREFIX = 8
-#: Rules are broadcast up to this many rows; more are joined by a shuffle.
-BROADCAST_RULES = 100_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -31,70 +30,63 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and all its parent domains."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def count_of(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def path_anchors(path: Column) -> Column:
-    """The empty prefix and every prefix of the path that ends with a slash."""
-    parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.when(i == 1, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i - 1), "/"), F.lit("/"))),
-    )
+def suffix_of(host: Column, labels: Column) -> Column:
+    """The last so many labels of a host."""
+    return F.call_function("substring_index", host, F.lit("."), -labels)
+
+
+def prefix_of(path: Column, slashes: Column, tail: Column) -> Column:
+    """The path up to so many slashes, and so many characters after that."""
+    upto = F.length(F.call_function("substring_index", path, F.lit("/"), slashes)) + F.when(slashes > 0, 1).otherwise(0)
+    return F.substring(path, F.lit(1), upto + tail)
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """One row for each short prefix: the rules whose anchor digest starts with it (block wins over allow)."""
+    """One row for each host and path (block wins over allow), with its kind and digest."""
     host, path = ascii_lower(F.coalesce("host", F.lit(""))), F.coalesce("path", F.lit(""))
     one = rules.select(host.alias("r_host"), path.alias("r_path"), F.col("verdict")).groupBy("r_host", "r_path")
     one = one.agg(F.max("verdict").alias("r_verdict"))  # "block" sorts after "allow"
-    anchor = F.sha2(F.concat("r_host", F.regexp_extract("r_path", r"^(.*/)?", 0)), 256)
-    rule = F.struct(
-        anchor.alias("anchor"),
-        F.sha2(F.concat("r_host", "r_path"), 256).alias("digest"),
-        F.col("r_host").alias("host"), F.col("r_path").alias("path"), F.col("r_verdict").alias("verdict"),
+    digest = F.sha2(F.concat("r_host", "r_path"), 256)
+    return one.select(
+        "*",
+        (count_of(F.col("r_host"), ".") + 1).alias("labels"), count_of(F.col("r_path"), "/").alias("slashes"),
+        F.length(F.regexp_extract("r_path", "[^/]*$", 0)).alias("tail"),
+        digest.alias("r_digest"), F.substring(digest, 1, PREFIX).alias("short"),
     )
-    return one.groupBy(F.substring(anchor, 1, PREFIX).alias("short")).agg(F.collect_list(rule).alias("rules"))
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """Judge every url: (key, host, path, rule, verdict).
 
-    rules has host, path and verdict (allow or block). Rows that share key, host and path are
-    merged with a count before the shuffle and spread out again after it.
+    rules has host, path and verdict (allow or block). Rows are told apart by their place in urls, whose scan must give the
+    same rows in the same order again, as files do; their expressions are merged before the shuffle.
     """
-    host, path = url_parts(F.col(url))
-    parts = only(urls, key, url).select(key, host.alias("host"), path.alias("path"))
-    one = parts.select("*", F.posexplode(host_suffixes(F.col("host"))).alias("at", "suffix"))
-    every = one.select("*", F.posexplode(path_anchors(F.col("path"))).alias("at2", "anchor"))
-    digest = F.sha2(F.concat("suffix", "anchor"), 256)
-    every = every.select(key, "host", "path", "suffix", (F.col("at") + F.col("at2") == 0).alias("own"), digest.alias("digest"))
-    every = every.withColumn("short", F.substring("digest", 1, PREFIX))
     ready = prepare_rules(rules)
-    if ready.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        ready = F.broadcast(ready)
-    hit = every.join(ready, "short", "left")
-    sure = F.filter(
-        F.coalesce("rules", F.array().cast(ready.schema["rules"].dataType)),
-        lambda r: (r.anchor == F.col("digest"))
-        & (r.host == F.col("suffix"))
-        & F.startswith(F.col("path"), r.path)
-        & (F.sha2(F.concat("suffix", F.substr("path", F.lit(1), F.length(r.path))), 256) == r.digest),
+    kinds = [tuple(r) for r in ready.select("labels", "slashes", "tail").distinct().collect()]  # as many as there are shapes of rules
+    ready = small(ready.drop("labels", "slashes", "tail"))
+    host, path = url_parts(F.col(url))
+    rows = only(urls, key, url).select(F.monotonically_increasing_id().alias("at"), key, host.alias("host"), path.alias("path"))
+    given = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("labels", "slashes", "tail"), k, strict=True)]) for k in kinds])
+    if not kinds:
+        return rows.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    dots, slashes = count_of(F.col("host"), "."), count_of(F.col("path"), "/")
+    rows = rows.select("*", dots.alias("dots"), slashes.alias("slashes"))
+    made = F.transform(
+        F.filter(given, lambda k: (F.col("dots") + 1 >= k.labels) & (F.col("slashes") >= k.slashes)),
+        lambda k: F.struct(suffix_of(F.col("host"), k.labels).alias("suffix"), prefix_of(F.col("path"), k.slashes, k.tail).alias("prefix")),
     )
-    best = F.array_max(
-        F.transform(
-            sure,
-            lambda r: F.struct(
-                (F.length(r.host) + F.length(r.path)).alias("n"), F.length(r.host).alias("h"),
-                r.verdict.alias("verdict"), F.concat(r.host, r.path).alias("rule"),
-            ),
-        )
+    every = rows.select("at", key, "host", "path", F.explode_outer(F.array_distinct(made)).alias("x")).select("at", key, "host", "path", "x.suffix", "x.prefix")
+    every = every.withColumn("digest", F.sha2(F.concat("suffix", "prefix"), 256)).withColumn("short", F.substring("digest", 1, PREFIX))
+    hit = every.join(ready, "short", "left")
+    sure = (F.col("digest") == F.col("r_digest")) & (F.col("suffix") == F.col("r_host")) & (F.col("prefix") == F.col("r_path"))
+    rule = F.struct(
+        (F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.col("r_verdict").alias("verdict"), F.concat("r_host", "r_path").alias("rule"),
     )
-    best = hit.groupBy(key, "host", "path").agg(F.max(best).alias("best"), F.sum(F.col("own").cast("int")).alias("copies"))
-    best = best.select(key, "host", "path", "best", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    best = hit.groupBy("at", key, "host", "path").agg(F.max(F.when(sure, rule)).alias("best"))
     return best.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
