@@ -2,12 +2,12 @@
 
 Of the k-gram hashes of a text, the least of every run of ``window - k + 1`` is kept. Any span of
 ``window`` words that a text shares with a benchmark item then has a kept hash in both, so the
-join of kept hashes finds every pair of text and item that shares a span, and only such pairs are
-extended: each of the item's windows is looked up in the whole text and confirmed word by word.
-Equal texts are judged once. All of it is built-in functions.
+join of kept hashes finds every text that shares a span. Hits are extended: of the texts found, all windows around
+a shared hash are looked up among the items' windows, word by word. Items with fewer words than a window are one
+window of all their words; their hashes are looked up at every place, apart from the others.
 
-Items with fewer words than a window are one window of all their words. The runs are shortened
-to the shortest item, and items of fewer than k words have all their n-grams looked up.
+A text's hashes that no item has are mostly dropped before the join, by a table of fixed size that holds the places
+of the items' hashes. Equal texts are judged once. All of it is built-in functions.
 
 Edge cases: null and wordless texts have no words and no hits; repeated documents come back as
 often as they went in; repeated items count once by id; a null item id counts as ''; an empty
@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import ascii_lower, drop_scratch, materialize, only
+from lumenframe.llm.shared import ascii_lower, drop_scratch, materialize, only, small
 
 #: Whatever ends a word: the ASCII characters that are neither letters nor digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Tables that are broadcast have at most so many rows; beyond it, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Places of the table that tells which hashes items have.
+PLACES = 1 << 18
 
 
 def let(value: Column, body) -> Column:
@@ -36,35 +36,29 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def grams(words: Column, k: Column | int) -> Column:
-    """The hash of every run of k words."""
-    k = F.lit(k) if isinstance(k, int) else k
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))
-    return F.when(F.size(words) >= k, each).otherwise(F.array().cast("array<bigint>"))
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def winnowed(words: Column, k: int, run: int) -> Column:
+def grams(hashes: Column, k: int) -> Column:
+    """The hash of every run of k words, given the words' hashes."""
+    each = F.transform(F.sequence(F.lit(0), F.size(hashes) - k), lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + j) for j in range(k)]))
+    return F.when(F.size(hashes) >= k, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def winnowed(hashes: Column, k: int, run: int) -> Column:
     """The distinct least hashes of all runs of so many k-grams."""
-    if run == 1:
-        return F.array_distinct(grams(words, k))
 
     def least(h: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(h) - run + 1), lambda i: F.array_min(F.slice(h, i, run)))
         return F.when(F.size(h) >= run, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(grams(words, k), least)
-
+    return let(grams(hashes, k), least)
 
-def fingerprints(words: Column, lengths: list[int], k: int) -> Column:
-    """Kept hashes for windows of these lengths: winnowed where they hold a k-gram, else all n-grams."""
-    parts = [winnowed(words, k, min(m for m in lengths if m >= k) - k + 1)] if any(m >= k for m in lengths) else []
-    parts += [winnowed(words, m, 1) for m in lengths if m < k]
-    return F.array_distinct(F.concat(*parts)) if len(parts) > 1 else parts[0]
 
-
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def has_place(table: Column, h: Column) -> Column:
+    """Whether the table marks a hash's place."""
+    return F.substring(table, F.pmod(h, F.lit(PLACES)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
 
 def hit_words(spans: Column) -> Column:
@@ -79,47 +73,62 @@ def hit_words(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, n_words, n_hit, items): the words inside occurring windows, and the sorted ids of their items."""
+    run = window - k + 1
     bench = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words_of(F.col(item_text)).alias("w"))
-    bench = bench.where(F.size("w") > 0).withColumn("m", F.least(F.lit(window), F.size("w")))
-    bench = materialize(bench, "bench")
-    lengths = sorted(r.m for r in bench.select("m").distinct().collect()) or [window]
+    bench = materialize(bench.where(F.size("w") > 0).withColumn("m", F.least(F.lit(window), F.size("w"))), "bench")
+    short = sorted(r.m for r in bench.where(F.col("m") < window).select("m").distinct().collect())  # fewer than a window of numbers
+
+    long_prints = bench.where(F.col("m") == window).select(F.explode(winnowed(hashed(F.col("w")), k, run)).alias("print"))
+    prints = [long_prints, *(bench.where(F.col("m") == m).select(F.explode(grams(hashed(F.col("w")), m)).alias("print")) for m in short)]
+    for other in prints[1:]:
+        long_prints = long_prints.union(other)
+    prints = materialize(long_prints.distinct(), "prints")
+    marked = bytearray(PLACES)
+    for r in prints.select(F.pmod("print", F.lit(PLACES)).alias("place")).distinct().collect():
+        marked[r.place] = 1
+    table = F.lit(marked)
+
+    def kept_of(w: Column) -> Column:
+        parts = lambda h: [F.filter(p, lambda x: has_place(table, x)) for p in (winnowed(h, k, run), *(grams(h, m) for m in short))]
+        return let(hashed(w), lambda h: F.array_distinct(F.concat(*parts(h))))
 
     body = F.coalesce(F.col(text), F.lit(""))
-    pair = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), fingerprints(w, lengths, k).alias("kept")))
+    pair = let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), kept_of(w).alias("kept")))
     kept = only(docs, key, text).select(F.col(key).alias("id"), F.unhex(F.md5(body)).alias("same"), pair.alias("p"))
     kept = materialize(kept.select("id", "same", F.col("p.n").alias("n_words"), F.col("p.kept").alias("kept")), "kept")
-
-    prints = bench.select("item", F.explode(fingerprints(F.col("w"), lengths, k)).alias("print")).distinct()
-    met = kept.select("same", F.explode("kept").alias("print")).join(small(materialize(prints, "prints")), "print").select("same", "item").distinct()
-    met = materialize(met, "met")
-
-    n = F.col("m")
-    windows = bench.select("item", "m", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"), "w").select("item", "m", F.slice("w", F.col("i"), n).alias("win"))
-    windows = windows.groupBy("item", "m").agg(F.collect_set(F.struct(F.xxhash64("win").alias("h"), F.array_join("win", " ").alias("s"))).alias("wins"))
-    wanted = met.join(small(materialize(windows, "windows")), "item")
-    wanted = materialize(wanted.groupBy("same").agg(F.collect_list(F.struct("item", "m", "wins")).alias("wanted")), "wanted")
-
-    texts = docs.select(F.unhex(F.md5(body)).alias("same"), body.alias("body"))
-    texts = texts.join(small(wanted.select("same")), "same", "left_semi").groupBy("same").agg(F.first("body").alias("body"))
-
-    def found(w: Column, x: Column) -> Column:
-        hashes, strings = x.wins.h, x.wins.s
-        at = F.filter(
-            F.sequence(F.lit(1), F.size(w) - x.m + 1),
-            lambda i: F.array_contains(hashes, F.xxhash64(F.slice(w, i, x.m))) & F.array_contains(strings, F.array_join(F.slice(w, i, x.m), " ")),
-        )
-        return F.when(F.size(w) >= x.m, at).otherwise(F.array().cast("array<int>"))
-
-    spans = let(
-        words_of(F.col("body")),
-        lambda w: F.filter(F.transform("wanted", lambda x: F.struct(x["item"].alias("item"), F.transform(found(w, x), lambda i: F.struct(i.alias("start"), (i + x.m).alias("end"))).alias("at"))), lambda x: F.size(x.at) > 0),
-    )
-    hits = texts.join(wanted, "same").select("same", spans.alias("spans"))
-    hits = hits.select("same", hit_words(F.flatten("spans.at")).alias("n_hit"), F.array_sort(F.array_distinct("spans.item")).alias("items"))
-    hits = materialize(hits.where("n_hit > 0"), "hits")
-    for used in (met, wanted):
+    met = kept.select("same", F.explode("kept").alias("print")).join(small(prints), "print", "left_semi")
+    met = materialize(met.groupBy("same").agg(F.collect_set("print").alias("met")), "met")  # of one text's own hashes
+
+    texts = docs.select(F.unhex(F.md5(body)).alias("same"), body.alias("body")).join(small(met.select("same")), "same", "left_semi")
+    texts = texts.groupBy("same").agg(F.first("body").alias("body")).join(small(met), "same")
+
+    def places(h: Column, n: int) -> Column:
+        """Where an n-gram begins whose hash was met."""
+        at = let(grams(h, n), lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(F.col("met"), F.get(g, i))))
+        return F.when(F.size(h) >= n, at).otherwise(F.array().cast("array<int>"))
+
+    def windows_at(w: Column, starts: Column, m: int) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), (i + m).alias("end"), F.array_join(F.slice(w, i + 1, m), " ").alias("win")))
+
+    def around(h: Column) -> Column:
+        """Where the windows begin that hold a k-gram that was met."""
+        last = F.size(h) - window
+        each = F.transform(places(h, k), lambda p: F.when(p - run + 1 <= last, F.sequence(F.greatest(F.lit(0), p - run + 1), F.least(p, last))).otherwise(F.array().cast("array<int>")))
+        return F.when(last >= 0, F.array_distinct(F.flatten(each))).otherwise(F.array().cast("array<int>"))
+
+    tried = let(words_of(F.col("body")), lambda w: let(hashed(w), lambda h: F.concat(windows_at(w, around(h), window), *(windows_at(w, places(h, m), m) for m in short))))
+    tried = texts.select("same", F.explode(tried).alias("x")).select("same", "x.start", "x.end", "x.win")
+
+    m = F.col("m")
+    owned = bench.select("item", "m", F.explode(F.sequence(F.lit(1), F.size("w") - m + 1)).alias("i"), "w").select("item", F.array_join(F.slice("w", F.col("i"), m), " ").alias("win"))
+    owned = materialize(owned.distinct(), "owned")
+    hits = materialize(tried.join(small(owned.select("win").distinct()), "win", "left_semi"), "found")
+    spans = hits.groupBy("same").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select("same", hit_words(F.col("spans")).alias("n_hit"))
+    of_items = hits.select("same", "win").distinct().join(small(owned), "win").groupBy("same").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = materialize(spans.join(of_items, "same"), "hits")
+    for used in (bench, prints, met, owned, hits):
         drop_scratch(used)
-    out = kept.select("id", "same", "n_words").join(small(hits), "same", "left")
+    out = kept.select("id", "same", "n_words").join(small(found), "same", "left")
     return out.select(
         F.col("id").alias(key), "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
