@@ -108,6 +108,46 @@ def test_shards_odd_inputs(odd_docs, no_docs):
     assert {r.shard for r in sharding.kd_shards(odd_docs, sharding.document_dims(odd_docs), target_bytes=10**9).collect()} == {0}
 
 
+def test_shards_do_not_depend_on_partitions(spark, small, odd_docs):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source")
+    many = docs.union(docs.where("doc_id < 20")).union(docs.where("doc_id = 3")).union(docs.where("doc_id = 3"))
+    results = [sorted(map(str, map(tuple, sharding.kd_shards(d, sharding.document_dims(d), n_shards=7).collect()))) for d in (many.coalesce(1), many.repartition(5), many.repartition(3, "lang"))]
+    assert results[0] == results[1] == results[2]
+
+
+def brute_tree(rows, keys, leaves, first):
+    """A k-d tree by sorting: rows are (id, size, keys), cut where the weight is nearest to the target."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    widths = [max(r[2][i] for r in rows) - min(r[2][i] for r in rows) for i in range(keys)]
+    dim, half, below = widths.index(max(widths)), leaves // 2, 0
+    rows = sorted(rows, key=lambda r: (r[2][dim], r[3]))
+    target, at = sum(r[1] for r in rows) * half / leaves, 0
+    while at < len(rows) and below + rows[at][1] < target:
+        below += rows[at][1]
+        at += 1
+    at += at < len(rows) and below + rows[at][1] - target <= target - below
+    return brute_tree(rows[:at], keys, half, first) | brute_tree(rows[at:], keys, leaves - half, first + half)
+
+
+def test_shards_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLACK", 0)
+    rng = random.Random(6)
+    data = [(i, "x" * rng.randrange(1, 90), rng.randrange(1 << sharding.DIM_BITS), rng.choice([5, 6, 900_000])) for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, a long, b long")
+    tie = F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32("text"), (F.octet_length("text") + 8).cast("long"), F.col("a").cast("double"), F.col("b").cast("double"), F.lit(0).cast("long")), 64 - sharding.TIE_BITS)
+    ties = {r.doc_id: r.t for r in docs.select("doc_id", tie.alias("t")).collect()}
+
+    def quantised(values):
+        lo, hi = min(values), max(values)
+        return [int((v - lo) / (hi - lo) * ((1 << sharding.DIM_BITS) - 2)) + 1 for v in values]
+
+    a, b = quantised([r[2] for r in data]), quantised([r[3] for r in data])
+    want = brute_tree([(r[0], len(r[1]) + 8, (x, y), ties[r[0]]) for r, x, y in zip(data, a, b, strict=True)], 2, 6, 0)
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, {"a": F.col("a"), "b": F.col("b")}, n_shards=6).collect()}
+    assert got == want
+
+
 def brute_contamination(text, items, window=13):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hit, found = set(), set()
