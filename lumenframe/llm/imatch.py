@@ -1,93 +1,132 @@
 """Document fingerprints by I-Match.
 
 A document's terms are its distinct lower-cased words whose inverse document frequency lies within
-a band. They are sorted, and those of each of several randomised lexicon subsets are hashed (the
-terms' mixed hashes are summed, so that long lists need no memory of their own), so that a
+a band. They are sorted, and those of each of several randomised lexicon subsets are hashed in that order, so that a
 change of a few terms leaves many of the hashes. Subsets keep from a quarter to a
 thousandth of all terms, so that short and long documents both have hashes that outlast an edit.
-Document frequencies count every document, in a table of fixed size that terms share by hash.
+
+Document frequencies are exact counts over every document. The terms of the band go to the workers; each is in at least
+exp(-BAND[1]) of the documents, so there are at most exp(BAND[1]) times as many of them as terms in a document of mean size,
+however many documents there are.
 
 Edge cases: null counts as the empty text, whose fingerprint is all blank; a document without terms in the
 band uses all its terms; equal texts have equal fingerprints; hashes of empty subsets are blank
 and count for nothing, but equal fingerprints have likeness 1; repeated rows come back as often as they
-went in and follow each other; null keys come last; extra columns are ignored; empty tables give
-empty results.
+went in and follow each other; keys are integers, null keys come last; rows of one key stay in one range, in the order of
+their texts; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.hashing import Remembered, mix, seeds, word_hash
-from lumenframe.llm.shared import only
+from lumenframe.llm.hashing import MIX_A, Remembered, mix, seeds, word_hash
+from lumenframe.llm.shared import freed, only, quoted, small
 
-#: Slots of the table of document frequencies.
-SLOTS = 1 << 20
 #: The band of inverse document frequencies, in nats.
-BAND = (1.5, 14.0)
+BAND = (1.5, 8.0)
 #: Randomised subsets, and the shares of terms that each keeps, as powers of a half.
 SUBSETS, LEVELS = 32, (2, 4, 6, 8, 10)
-#: Hashes that a level must have to be compared; terms that are hashed at once.
-LEAST, CHUNK = 8, 4_096
+#: Hashes that a level must have to be compared; terms that are hashed at once; terms that a task counts before they go out.
+LEAST, CHUNK, COUNTED = 8, 4_096, 400_000
+#: Bytes of text of a range of keys, about.
+RANGE_BYTES = 64_000_000
 SEED = 11
 BLANK = "...."
 
 
 def terms(text: str, word: Remembered) -> np.ndarray:
     """The sorted hashes of the distinct lower-cased words."""
-    return np.sort(word.array(list(set(text.lower().split()))))
+    return np.unique(word.array(list(set(text.lower().split()))))
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """How many documents hold a term of each slot, and how many documents there are."""
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): how many documents hold a term, by its hash; term 0 counts all documents."""
 
     def run(batches):
-        word, counts = Remembered(word_hash), np.zeros(SLOTS + 1, np.int64)
+        word, held, size = Remembered(word_hash), [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_pydict({"term": found.view(np.int64), "n": n})
+
         for batch in batches:
             for t in batch.column(0):
-                counts[np.unique(terms(t.as_py() or "", word) & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
-                counts[SLOTS] += 1
-        at = np.flatnonzero(counts)
-        for k in range(0, len(at), 100_000):
-            some = at[k : k + 100_000]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(some, pa.int32()), "n": pa.array(counts[some], pa.int64())})
+                held.append(np.append(terms(t.as_py() or "", word), np.uint64(0)))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
 
-    found = only(docs, text).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS + 1, np.int64)
-    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return counts[:SLOTS].astype(np.int32), int(counts[SLOTS])
+    return only(docs, text).mapInArrow(freed(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
+    """The sorted hashes of the terms within the band."""
+    counts = document_frequencies(docs, text).persist()
+    try:
+        n = counts.where("term = 0").agg(F.sum("n").alias("n")).first().n or 0
+        inside = counts.where(F.col("term") != 0).where((F.col("n") >= n * exp(-band[1])) & (F.col("n") <= n * exp(-band[0])))
+        return np.sort(inside.select("term").toArrow()["term"].to_numpy().view(np.uint64))
+    finally:
+        counts.unpersist()
 
 
 class Fingerprinter:
-    def __init__(self, frequency: np.ndarray, n: int, band: tuple[float, float] = BAND):
-        with np.errstate(divide="ignore"):
-            idf = np.log(max(1, n) / np.maximum(frequency, 1))
-        self.inside = (idf >= band[0]) & (idf <= band[1])
+    def __init__(self, kept: np.ndarray):
+        self.kept = kept
         self.word = Remembered(word_hash)
         self.seeds, self.salt = seeds(SUBSETS, SEED), seeds(1, SEED + 1)[0]
 
     def __call__(self, text: str) -> str:
         every = terms(text, self.word)
-        kept = every[self.inside[(every & np.uint64(SLOTS - 1)).astype(np.int64)]]
-        kept = kept if len(kept) else every
-        if not len(kept):
+        inside = every[self.holds(every)] if len(self.kept) else every
+        inside = inside if len(inside) else every
+        if not len(inside):
             return BLANK * (SUBSETS * len(LEVELS))
-        sums, sizes = np.zeros((len(LEVELS), SUBSETS), np.uint64), np.zeros((len(LEVELS), SUBSETS), np.int64)
-        for k in range(0, len(kept), CHUNK):
-            some = kept[k : k + CHUNK]
+        hashes, sizes = np.zeros((len(LEVELS), SUBSETS), np.uint64), np.zeros((len(LEVELS), SUBSETS), np.int64)
+        for k in range(0, len(inside), CHUNK):
+            some = inside[k : k + CHUNK]
             place, value = mix(some * self.seeds[:, None]), mix(some ^ self.salt)
+            subset, term = np.nonzero(place < np.uint64(1 << (64 - LEVELS[0])))  # subsets of higher levels lie within these
+            place = place[subset, term]
             for i, level in enumerate(LEVELS):
-                inside = place < np.uint64(1 << (64 - level))
-                sums[i] += np.where(inside, value, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-                sizes[i] += inside.sum(axis=1)
-        digests = mix(sums + sizes.astype(np.uint64)) >> np.uint64(48)
+                within = place < np.uint64(1 << (64 - level))
+                subset, term, place = subset[within], term[within], place[within]
+                if not len(subset):
+                    break
+                first = np.flatnonzero(np.concatenate([[True], subset[1:] != subset[:-1]]))
+                at, n = subset[first], np.diff(np.append(first, len(subset)))
+                rank = np.arange(len(subset)) - np.repeat(first, n) + np.repeat(sizes[i, at], n)
+                # the terms of a subset are digits of a number, in their order
+                hashes[i, at] += np.add.reduceat(value[term] * powers(int(rank.max()) + 1)[rank], first)
+                sizes[i, at] += n
+        digests = mix(hashes + sizes.astype(np.uint64)) >> np.uint64(48)
         return "".join(f"{d:04x}" if n else BLANK for d, n in zip(digests.ravel().tolist(), sizes.ravel().tolist(), strict=True))
 
+    def holds(self, every: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.kept, every), len(self.kept) - 1)
+        return self.kept[at] == every
+
+
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> np.ndarray:
+    """At least n powers of a fixed odd number."""
+    while len(_POWERS[0]) < n:
+        have = _POWERS[0]
+        _POWERS[0] = np.concatenate([have, have * have[-1] * MIX_A])
+    return _POWERS[0]
+
 
 def likeness(a: str, b: str) -> float:
     """The greatest share of agreeing hashes over the levels, of those that either has.
@@ -106,26 +145,40 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     """Rows dealt and sorted so that the next document, by descending key, is the next row.
 
     Each range of keys ends with a copy of the row that begins the next one that isn't empty, and the
-    last with a copy of the very first: columns at, ghost, id, text. Only keys are looked at
-    to find the ranges; texts are dealt out once.
+    last with a copy of the very first: columns at, ghost, id, text. There are as many ranges as the texts' bytes need, each
+    in a partition of its own. Only keys are looked at to find the ranges; texts are dealt out once. A row's range is looked
+    up in a table of equal steps of the key, each with the ranges that begin in it.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ident = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    size = docs.agg(F.sum(F.octet_length(F.coalesce(text, F.lit("")))).alias("bytes"), F.min(ident).alias("lo"), F.max(ident).alias("hi")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil((size["bytes"] or 0) / RANGE_BYTES))
     ids = docs.select(ident.alias("id"))
-    bounds = sorted({int(x) for x in ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    at = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b > F.col("id"))) if bounds else F.lit(0)
-    tops = {r["at"]: r["top"] for r in ids.select("id", at.alias("at")).groupBy("at").agg(F.max("id").alias("top")).collect()}
+    bounds = sorted({int(x) for x in ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)}, reverse=True) if n > 1 else []
+    lo, width = size.lo or 0, max(1.0, (float(size.hi or 0) - float(size.lo or 0)) / n)
+    inner: dict[int, list[int]] = {}
+    for b in bounds:
+        inner.setdefault(int((float(b) - float(lo)) / width), []).append(b)
+    steps, passed = [], 0
+    for step in range(n + 1, -1, -1):  # keys come in descending order
+        steps.append((step, passed, inner.get(step, [])))
+        passed += len(inner.get(step, []))
+    table = spark.createDataFrame(steps, "step long, passed int, inner array<bigint>")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        step = F.least(F.lit(n + 1), F.floor((F.col("id").cast("double") - float(lo)) / width)).cast("long")
+        rows = rows.withColumn("step", step).join(F.broadcast(table) if n <= 1_000_000 else table, "step")
+        return rows.withColumn("at", F.col("passed") + F.size(F.filter("inner", lambda b: b > F.col("id")))).drop("step", "passed", "inner")
+
+    tops = {r["at"]: r["top"] for r in ranged(ids).groupBy("at").agg(F.max("id").alias("top")).collect()}  # one row for each range
     order = sorted(tops)
-    before = {k: order[i - 1] for i, k in enumerate(order)}  # the very first follows the last
-
-    def looked_up(values: dict) -> Column:
-        return F.get(F.lit([values.get(i, -1) for i in range(max(order, default=0) + 1)]).cast("array<bigint>"), F.col("at"))
-
-    rows = docs.select(ident.alias("id"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("at", at)
-    own = F.struct(F.col("at").cast("long").alias("at"), F.lit(False).alias("ghost"))
-    ghost = F.struct(looked_up(before).alias("at"), F.lit(True).alias("ghost"))
-    rows = rows.select("id", "key", "text", F.explode(F.when(F.col("id") == looked_up(tops), F.array(own, ghost)).otherwise(F.array(own))).alias("to"))
+    found = spark.range(max(64, 40 * n)).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("code"))
+    codes = {r.p: r.code for r in found.collect()}  # a number for each partition that is dealt to it
+    places = [(k, tops[k], codes.get(k, k), codes.get(order[i - 1], order[i - 1])) for i, k in enumerate(order)]  # the very first follows the last
+    places = spark.createDataFrame(places, "at int, top long, own long, before long")
+    rows = ranged(docs.select(ident.alias("id"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))).join(small(places), "at")
+    own, ghost = F.struct(F.col("own").alias("at"), F.lit(False).alias("ghost")), F.struct(F.col("before").alias("at"), F.lit(True).alias("ghost"))
+    rows = rows.select("id", "key", "text", F.explode(F.when(F.col("id") == F.col("top"), F.array(own, ghost)).otherwise(F.array(own))).alias("to"))
     rows = rows.select("to.at", "to.ghost", "id", "key", "text").repartition(n, "at").sortWithinPartitions("at", "ghost", F.desc("id"), "text")
     return rows.select("at", "ghost", "key", "text"), docs.schema[key].dataType.simpleString()
 
@@ -135,13 +188,12 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     (key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)
     """
-    frequency, n = document_frequencies(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast((frequency, n))
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text, band))
     rows, kind = with_next(docs, key, text)
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
-        mark, held, done = Fingerprinter(*shared.value, band), None, None
+        mark, held, done = Fingerprinter(shared.value), None, None
         for batch in batches:
             out, keys = [], []
             for i, (at, ghost) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -161,7 +213,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(2).type), *map(pa.array, zip(*out, strict=True))], names=names)
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(freed(run), f"{quoted(key)} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

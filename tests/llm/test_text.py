@@ -261,6 +261,38 @@ def test_edits_against_brute_force(spark, odd_docs, no_docs):
     assert imatch.fingerprint_edits(no_docs).count() == 0 and imatch.fingerprint_edits(odd_docs).count() == odd_docs.count()
 
 
+def test_fingerprints_against_brute_force(spark, monkeypatch):
+    """Terms of the band by plain counting, sorted, and each subset's digits hashed in that order."""
+    from lumenframe.llm.hashing import MIX_A, mix, seeds, word_hash
+
+    monkeypatch.setattr(imatch, "CHUNK", 16)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    words = [sorted({word_hash(w) for w in (t or "").lower().split()}) for _, t in rows]
+    count, n = Counter(w for ws in words for w in ws), len(rows)
+    band = {w for w, c in count.items() if imatch.BAND[0] <= np.log(n / c) <= imatch.BAND[1]}
+    got = imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(got.tolist()) == band and len(band) < len(count)
+    mark, (salt,) = imatch.Fingerprinter(got), seeds(1, imatch.SEED + 1)
+    one = lambda x: int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+    found = {}
+    for (k, t), ws in list(zip(rows, words, strict=True))[:12]:
+        kept, want = [w for w in ws if w in band] or ws, []
+        for level in imatch.LEVELS:
+            for seed in seeds(imatch.SUBSETS, imatch.SEED):
+                terms = [w for w in kept if one(w * int(seed)) < 1 << (64 - level)]
+                digits = sum(one(w ^ int(salt)) * pow(int(MIX_A), i, 1 << 64) for i, w in enumerate(terms))
+                want.append(f"{one(digits + len(terms)) >> 48:04x}" if terms else imatch.BLANK)
+        found[k] = mark(t or "")
+        assert found[k] == "".join(want)
+    a, b = list(found.values())[:2]
+    parts = lambda s, i: [s[4 * j : 4 * j + 4] for j in range(32 * i, 32 * i + 32)]
+    likes = []
+    for i in range(len(imatch.LEVELS)):
+        pairs = list(zip(parts(a, i), parts(b, i), strict=True))
+        likes.append(sum(x == y != imatch.BLANK for x, y in pairs) / max(imatch.LEAST, sum((x, y) != (imatch.BLANK,) * 2 for x, y in pairs)))
+    assert imatch.likeness(a, b) == pytest.approx(max(likes))
+
+
 def test_fingerprints_separate(spark):
     rows = imatch.op5_fingerprints(spark, "/root/testdata/sf0.01").collect()
     assert np.mean([r.near_edited > r.near_next for r in rows if r.n_chars > 200]) > 0.95
