@@ -73,7 +73,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     return least
 
 
-@lru_cache(4)
+@lru_cache(64)
 def fewest_matches(threshold: float, places: int) -> int:
     """Matches among so many places below which a pair is dropped."""
     j = np.linspace(0, 1, 20_001)[1:-1]
