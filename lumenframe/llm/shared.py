@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from functools import wraps
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
+from lumenframe.sources.scratch import scratch_root
 from lumenframe.sources.ship import ship
 
 __all__ = ["ascii_lower", "drop_scratch", "freed", "materialize", "only", "quoted", "scratch_root", "ship", "small"]
@@ -23,18 +23,6 @@ LOWER = UPPER.lower()
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) is one made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back, which cuts lineage.
 
