@@ -19,8 +19,14 @@ SEEN = [
     "event_id", "ts", "user_id AS track", "event_type AS category", f"{_Q} AS quality", "(event_id % 40) / 100.0 AS margin_in",
     "(event_id div 13) % 4 = 1 AS has", "event_id % 5 <> 0 AS visible", "event_id % 7 <> 0 AS evidence", "event_id % 11 = 0 AS blank", "event_id % 17 = 0 AS switched",
 ]
-ROLL = Window.partitionBy("track").orderBy("ts", "event_id").rowsBetween(1 - LAST, 0)
-EVER = Window.partitionBy("track").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _roll():
+    return Window.partitionBy("track").orderBy("ts", "event_id").rowsBetween(1 - LAST, 0)
+
+
+def _ever():
+    return Window.partitionBy("track").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _seen(spark, d):
@@ -47,14 +53,14 @@ def two_class_life(spark, d):
     w = F.greatest(F.col("quality"), F.lit(0.1)) * F.least(F.greatest(F.col("margin_in") / 0.30, F.lit(0.25)), F.lit(1.0))
     a, b = F.when(F.col("category") == "click", F.col("quality")).otherwise(0.0), F.when(F.col("category") == "error", F.col("quality")).otherwise(0.0)
     o = _seen(spark, d).withColumns({"w": F.when(ok, w), "a": F.when(ok, a), "b": F.when(ok, b)})
-    total = F.sum("w").over(ROLL)
+    total = F.sum("w").over(_roll())
     o = o.withColumns({
-        "n": F.count("w").over(ROLL), "ma": F.sum(F.col("a") * F.col("w")).over(ROLL) / total, "mb": F.sum(F.col("b") * F.col("w")).over(ROLL) / total,
-        "va": F.count_if(F.col("a") > F.col("b")).over(ROLL), "pooled": F.coalesce(F.bool_or(F.col("has") & (F.col("quality") >= POOL)).over(EVER), F.lit(False)),
+        "n": F.count("w").over(_roll()), "ma": F.sum(F.col("a") * F.col("w")).over(_roll()) / total, "mb": F.sum(F.col("b") * F.col("w")).over(_roll()) / total,
+        "va": F.count_if(F.col("a") > F.col("b")).over(_roll()), "pooled": F.coalesce(F.bool_or(F.col("has") & (F.col("quality") >= POOL)).over(_ever()), F.lit(False)),
     })
     o = o.withColumns({"margin": F.round(F.abs(F.col("ma") - F.col("mb")), 9), "consensus": F.round(F.when(F.col("ma") > F.col("mb"), F.col("va")).otherwise(F.col("n") - F.col("va")) / F.nullif("n", F.lit(0)), 9)})
     o = o.withColumn("state", rules.first_match(TWO_STATES, "Stable"))
-    state = F.coalesce(F.last(F.expr(KEPT), ignorenulls=True).over(EVER), F.lit("Analyzing"))
+    state = F.coalesce(F.last(F.expr(KEPT), ignorenulls=True).over(_ever()), F.lit("Analyzing"))
     return o.select("event_id", F.col("n").cast("long").alias("n"), F.round("consensus", 4).alias("consensus"), F.when(F.col("n") > 0, F.when(F.col("ma") > F.col("mb"), "click").otherwise("error")).alias("winner"), state.alias("state"))
 
 
@@ -72,16 +78,16 @@ def category_life(spark, d):
     """A category over the last observations: those with an empty score map weigh in the total, and count for the consensus."""
     w = F.greatest(F.col("quality"), F.lit(0.1)) * F.least(F.greatest(F.col("margin_in") / 0.25, F.lit(0.25)), F.lit(1.0))
     o = _seen(spark, d).withColumn("w", F.when(F.col("has"), w))
-    held = F.filter(F.collect_list(F.struct("has", "blank", "category", "quality", "w")).over(ROLL), lambda x: x.has)
+    held = F.filter(F.collect_list(F.struct("has", "blank", "category", "quality", "w")).over(_roll()), lambda x: x.has)
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda t, x: t + f(x))
-    o = o.withColumns({"held": held, "pooled": F.coalesce(F.bool_or(F.col("has") & (F.col("quality") >= POOL)).over(EVER), F.lit(False))})
+    o = o.withColumns({"held": held, "pooled": F.coalesce(F.bool_or(F.col("has") & (F.col("quality") >= POOL)).over(_ever()), F.lit(False))})
     o = o.withColumns({"n": F.size("held"), "total": total(F.col("held"), lambda x: x.w), "scored": F.filter("held", lambda x: ~x.blank)})
     cats = F.transform(F.array_distinct("scored.category"), lambda c: F.struct(F.round(-total(F.filter("scored", lambda x: x.category == c), lambda x: x.quality * x.w), 9).alias("neg"), c.alias("category"), F.size(F.filter("scored", lambda x: x.category == c)).alias("votes")))
     o = o.withColumn("cats", F.array_sort(cats))
     top, second = F.get("cats", F.lit(0)), F.get("cats", F.lit(1))
     o = o.withColumns({"share": F.round(F.coalesce(-top.neg, F.lit(0.0)) / F.nullif("total", F.lit(0.0)), 9), "margin": F.round((F.coalesce(-top.neg, F.lit(0.0)) - F.coalesce(-second.neg, F.lit(0.0))) / F.nullif("total", F.lit(0.0)), 9), "consensus": F.round(F.coalesce(top.votes, F.lit(0)) / F.nullif(F.col("n").cast("double"), F.lit(0.0)), 9)})
     o = o.withColumn("state", rules.first_match(TYPE_STATES, "Stable"))
-    state = F.coalesce(F.last(F.expr(KEPT), ignorenulls=True).over(EVER), F.lit("Analyzing"))
+    state = F.coalesce(F.last(F.expr(KEPT), ignorenulls=True).over(_ever()), F.lit("Analyzing"))
     return o.select("event_id", F.col("n").cast("long").alias("n"), top.category.alias("top"), F.round("share", 4).alias("share"), F.round("margin", 4).alias("margin"), F.round("consensus", 4).alias("consensus"), state.alias("state"))
 
 
@@ -116,7 +122,7 @@ ADMISSION = f"WITH {SEEN_SQL} SELECT track, count(*) AS confirmed, count(*) FILT
 
 def frozen_updates(spark, d):
     """Updates that count: none of a possible switch, and none after the track was finalised (its first best score)."""
-    done = F.coalesce(F.bool_or((F.col("quality") >= 0.98) & ~F.col("switched")).over(EVER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    done = F.coalesce(F.bool_or((F.col("quality") >= 0.98) & ~F.col("switched")).over(_ever().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     o = _seen(spark, d).withColumn("finalised", done)
     return o.groupBy("track").agg(F.count("*").alias("n"), F.count_if(~F.col("switched") & ~F.col("finalised")).alias("used"), F.round(F.max(F.when(~F.col("switched") & ~F.col("finalised"), F.col("quality"))), 4).alias("best"))
 

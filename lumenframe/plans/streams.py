@@ -7,15 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.sources.scratch import scratch_root
 from lumenframe.streaming.tracker import rolling_mean, track_stream
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over all that is there now, into the shared scratch folder."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-    base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("checkpointLocation", f"{base}-checkpoint").trigger(availableNow=True).start(base).awaitTermination()
     return spark.read.schema(stream.schema).parquet(base)
 
@@ -43,6 +41,10 @@ def windowed_stream(spark, d):
     return out
 
 
+WINDOWED = """WITH h AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM h WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 SECOND"""
+
+
 def tracker_stream(spark, d):
     """Tracks of boxes drawn from events: a source for each type, a frame for each event."""
     e = _source(spark, d, "events")
@@ -52,6 +54,6 @@ def tracker_stream(spark, d):
 
 QUERIES = {
     "rolling_stream": (rolling_stream, ROLLING),
-    "windowed_stream": (windowed_stream, None),
+    "windowed_stream": (windowed_stream, WINDOWED),
     "tracker_stream": (tracker_stream, None),
 }

@@ -66,3 +66,26 @@ def load_bank(spark: SparkSession, path: str, model_sha: str, content_sha: str,
         if found != wanted:
             return None, f"{what} differs"
     return spark.read.parquet(f"{path}/vectors"), "ok"
+
+
+def media_union(spark: SparkSession, folders: list[str], pattern: str = "*.{jpg,jpeg,jfif,png}", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Files of several folders."""
+    found = media_files(spark, folders[0], pattern, exclude)
+    for folder in folders[1:]:
+        found = found.union(media_files(spark, folder, pattern, exclude))
+    return found
+
+
+def gallery_files(spark: SparkSession, folder: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(file, brand, content): exemplar images; the brand is the name before the first mark, or its alias."""
+    name = F.element_at(F.split("path", "/"), -1)
+    raw = F.lower(F.regexp_extract(name, r"^([^_\-.\d]+)", 1))
+    known = F.create_map(*[F.lit(x) for pair in (aliases or {}).items() for x in pair]) if aliases else F.lit(None).cast("map<string,string>")
+    return media_files(spark, folder, "*.png").select(name.alias("file"), F.coalesce(F.try_element_at(known, raw), F.initcap(raw)).alias("brand"), "content")
+
+
+def labelled_files(labels: DataFrame, first: DataFrame, second: DataFrame, key: str = "file") -> DataFrame:
+    """Labelled rows whose file is in the first folder, or else in the second, with the path; the others go."""
+    names = lambda files, at: files.select(F.element_at(F.split("path", "/"), -1).alias(key), F.col("path").alias(at)).dropDuplicates([key])
+    found = labels.join(names(first, "_a"), key, "left").join(names(second, "_b"), key, "left")
+    return found.withColumn("path", F.coalesce("_a", "_b")).where("path IS NOT NULL").drop("_a", "_b")

@@ -1,11 +1,14 @@
 """Stateful streams: rolling aggregates of a track, and a multi-object tracker for each source.
 
 The tracker couples all boxes of a frame, so its state is keyed by source. Frames come in event-time
-order within a source; frames older than the last seen are dropped. Public ids only grow.
+order within a source; frames older than the last seen are dropped. Every track has an id of its own that only grows;
+a confirmed one also has a public id, which grows too, or is the smallest free one with ``reuse_ids``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,9 +16,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenframe.operators.assign import greedy_pairs, iou_matrix
 
-#: Least overlap, displacement limit, frames a track may miss, hits that confirm it, seconds until it ends.
-MATCH_IOU, LIMIT, MISSES, CONFIRM, TIMEOUT_S = 0.25, 0.35, 10, 2, 5.0
-TRACK_SCHEMA = "source string, frame long, track_id long, state string, x double, y double, w double, h double"
+
+@dataclass(frozen=True)
+class Options:
+    """Gates of a match, frames that a track may miss, hits that confirm it, seconds of silence that end it."""
+
+    iou: float = 0.25
+    displacement: float = 0.35
+    area: float = 2.2
+    aspect: float = 0.40
+    missed: int = 10
+    video_missed: int = 4
+    proximity: int = 2
+    confirm: int = 2
+    timeout_s: float = 5.0
+    more_in_motion: int = 3
+    video: bool = False
+    reuse_ids: bool = False
+
+
+@dataclass(frozen=True)
+class Motion:
+    """How the camera moved since the frame before."""
+
+    dx: float = 0.0
+    dy: float = 0.0
+    reliable: bool = False
+    high: bool = False
+
+
+STILL = Motion()
+TRACK_SCHEMA = "source string, frame long, track_id long, person_id long, state string, x double, y double, w double, h double"
 
 
 def rolling_mean(events: DataFrame, key: str, order: str, value: str, last: int = 10) -> DataFrame:
@@ -35,66 +66,150 @@ def rolling_mean(events: DataFrame, key: str, order: str, value: str, last: int
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, mean double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+@dataclass
+class Track:
+    track_id: int
+    person_id: int
+    hits: int
+    misses: int
+    box: list
+    seen_s: float
+
+    @property
+    def confirmed(self) -> bool:
+        return self.person_id > 0
+
+
 class Tracker:
     """Tracks of one source: matches each frame's boxes, ages the rest."""
 
-    def __init__(self, tracks: list | None = None, next_id: int = 1, last_frame: int = -1):
-        self.tracks, self.next_id, self.last_frame = tracks or [], next_id, last_frame  # track: id, hits, misses, box, confirmed
-
-    def advance(self, frame: int, boxes: np.ndarray) -> list[tuple]:
-        """Rows (track_id, state, box) of the frame; an empty frame ages tracks."""
+    def __init__(self, options: Options = Options(), tracks: list[Track] | None = None, next_id: int = 1, next_person: int = 1, last_frame: int = -1):
+        self.options, self.tracks = options, tracks or []
+        self.next_id, self.next_person, self.last_frame = next_id, next_person, last_frame
+        self.finalised: list[Track] = []
+
+    def active(self) -> list[Track]:
+        """Confirmed tracks that have not ended."""
+        return [t for t in self.tracks if t.confirmed]
+
+    def reset(self) -> None:
+        self.__init__(self.options)
+
+    def person(self) -> int:
+        """The next public id."""
+        if self.options.reuse_ids:
+            used = {t.person_id for t in self.tracks}
+            return next(i for i in range(1, len(used) + 2) if i not in used)
+        self.next_person += 1
+        return self.next_person - 1
+
+    def scores(self, boxes: np.ndarray, motion: Motion) -> np.ndarray:
+        """The score of each track with each box, negative where they may not be matched or might switch ids."""
+        o = self.options
+        old = np.array([t.box for t in self.tracks], float)
+        missed = np.array([t.misses for t in self.tracks])[:, None]
+        if motion.reliable:
+            old[:, :2] += (motion.dx, motion.dy)
+        size, new = np.maximum(old[:, 2:], 1), np.maximum(boxes[:, 2:], 1)
+        moved = np.linalg.norm((old[:, :2] + size / 2)[:, None] - (boxes[:, :2] + new / 2)[None], axis=2) / size[:, 1:]
+        limit = o.displacement * np.where(missed > 0, np.maximum(0.5, 1 - 0.2 * missed), 1.0)
+        areas = size.prod(axis=1)[:, None], new.prod(axis=1)[None]
+        ratio = np.maximum(*areas) / np.minimum(*areas)
+        alike = (ratio <= o.area) & (np.abs((size[:, 0] / size[:, 1])[:, None] - (new[:, 0] / new[:, 1])[None]) <= o.aspect)
+        overlap = iou_matrix(old, boxes)
+        by_overlap = (overlap >= o.iou) & alike & (moved <= 1.5 * limit)
+        near = (overlap < o.iou) & (missed <= o.proximity + (2 if motion.high else 0)) & alike & (moved <= limit)
+        score = np.where(by_overlap, 0.7 * overlap + 0.3 * np.clip(1 - moved, 0, None), np.where(near, 0.6 * np.clip(1 - moved / limit, 0, None) + 0.4 * overlap, -1.0))
+        risky = ((overlap < 0.15) & (moved > 0.28)) | ((ratio > 1.9) & (overlap < 0.2)) | ((missed >= 2) & (moved > 0.2) & (not motion.reliable))
+        return np.where(risky, -1.0, score)
+
+    def advance(self, frame: int, boxes: np.ndarray, seen_s: float | None = None, motion: Motion = STILL) -> list[tuple]:
+        """Rows (track_id, person_id, state, box) of the frame; an empty frame ages tracks.
+
+        seen_s is the frame's time in seconds; without it, silence ends no track.
+        """
         if frame <= self.last_frame:
             return []
-        self.last_frame, out, free = frame, [], np.ones(len(boxes), bool)
+        o, self.last_frame = self.options, frame
+        out, free, matched = self.expire(seen_s), np.ones(len(boxes), bool), {}
         if self.tracks and len(boxes):
-            old = np.array([t[3] for t in self.tracks], float)
-            overlap = iou_matrix(old, boxes)
-            moved = np.linalg.norm((old[:, :2] + old[:, 2:] / 2)[:, None] - (boxes[:, :2] + boxes[:, 2:] / 2)[None], axis=2) / np.maximum(np.linalg.norm(old[:, 2:], axis=1), 1)[:, None]
-            near = np.clip(1 - moved / LIMIT, 0, None)
-            score = np.where(overlap >= MATCH_IOU, 0.7 * overlap + 0.3 * near, np.where(moved <= LIMIT, 0.6 * near + 0.4 * overlap, -1.0))
+            score = self.scores(boxes, motion)
             i, j = np.nonzero(score >= 0)
             taken = greedy_pairs(i, j, score[i, j])
-            matched = dict(zip(i[taken], j[taken], strict=True))
-        else:
-            matched = {}
+            matched = dict(zip(i[taken].tolist(), j[taken].tolist(), strict=True))
+        most = (o.video_missed if o.video else o.missed) + (o.more_in_motion if motion.high else 0)
         kept = []
-        for k, (track, hits, misses, box, confirmed) in enumerate(self.tracks):
+        for k, t in enumerate(self.tracks):
             if k in matched:
                 free[matched[k]] = False
-                hits, misses, box = hits + 1, 0, boxes[matched[k]].tolist()
-                confirmed = confirmed or hits >= CONFIRM
-                kept.append((track, hits, misses, box, confirmed))
-                out.append((track, "Confirmed" if confirmed else "Tentative", box))
-            elif misses + 1 > (MISSES if confirmed else CONFIRM - 1):
-                out.append((track, "Retired" if confirmed else "Discarded", box))
+                t.hits, t.misses, t.box, t.seen_s = t.hits + 1, 0, boxes[matched[k]].tolist(), seen_s or 0.0
+                if not t.confirmed and t.hits >= o.confirm:
+                    t.person_id = self.person()
+                state = "Confirmed" if t.confirmed else "Tentative"
             else:
-                kept.append((track, hits, misses + 1, box, confirmed))
-                out.append((track, "TemporarilyLost" if confirmed else "Tentative", box))
+                t.misses += 1
+                if t.confirmed:
+                    state = "Retired" if t.misses > most else "TemporarilyLost" if motion.high else "Missed"
+                else:
+                    state = "Discarded" if t.misses >= 2 else "Tentative"
+            if state == "Retired":
+                self.finalised.append(t)
+            if state not in ("Retired", "Discarded"):
+                kept.append(t)
+            out.append((t.track_id, t.person_id, state, t.box))
+        self.tracks = kept
         for box in boxes[free].tolist():
-            kept.append((self.next_id, 1, 0, box, False))
-            out.append((self.next_id, "Tentative", box))
+            at_once = frame == 0 and not o.video
+            t = Track(self.next_id, self.person() if at_once else 0, 1, 0, box, seen_s or 0.0)
             self.next_id += 1
-        self.tracks = kept
+            self.tracks.append(t)
+            out.append((t.track_id, t.person_id, "Confirmed" if at_once else "Tentative", box))
         return out
 
+    def expire(self, now_s: float | None) -> list[tuple]:
+        """Rows of the tracks that have not been seen for longer than the timeout (not in video)."""
+        if now_s is None or self.options.video:
+            return []
+        gone = [t for t in self.tracks if now_s - t.seen_s > self.options.timeout_s]
+        self.tracks = [t for t in self.tracks if now_s - t.seen_s <= self.options.timeout_s]
+        self.finalised += [t for t in gone if t.confirmed]
+        return [(t.track_id, t.person_id, "Retired" if t.confirmed else "Discarded", t.box) for t in gone]
+
 
-def track_stream(detections: DataFrame) -> DataFrame:
-    """Track rows of a stream (source, frame, x, y, w, h); a frame without boxes has one row with null x."""
+def track_stream(detections: DataFrame, options: Options = Options(), event_time: str | None = None) -> DataFrame:
+    """Track rows of a stream (source, frame, x, y, w, h); a frame without boxes has one row with null x.
+
+    Columns dx, dy, reliable and high may tell how the camera moved. With event_time, a timestamp column under a watermark,
+    tracks of a source that falls silent end after the timeout, when the watermark of the whole stream has passed it.
+    """
+    boxes, moves = ["x", "y", "w", "h"], [c for c in ("dx", "dy", "reliable", "high") if c in detections.columns]
 
     def run(key, batches, state: GroupState):
-        tracker = Tracker()
+        tracker = Tracker(options)
         if state.exists:
-            packed, next_id, last = state.get
-            tracker = Tracker([(int(p[0]), int(p[1]), int(p[2]), list(p[3:7]), bool(p[7])) for p in packed], next_id, last)
-        rows = pd.concat(list(batches)).sort_values(["frame", "x", "y", "w", "h"], kind="stable")
-        out = []
-        for frame, group in rows.groupby("frame", sort=True):
-            boxes = group[["x", "y", "w", "h"]].dropna().to_numpy(float)
-            out += [(key[0], int(frame), t, s, *b) for t, s, b in tracker.advance(int(frame), boxes)]
-        state.update(([[float(t), float(h), float(m), *map(float, b), float(c)] for t, h, m, b, c in tracker.tracks], tracker.next_id, tracker.last_frame))
-        yield pd.DataFrame(out, columns=["source", "frame", "track_id", "state", "x", "y", "w", "h"])
-
-    return detections.groupBy("source").applyInPandasWithState(run, TRACK_SCHEMA, "tracks array<array<double>>, next_id long, last_frame long", "append", GroupStateTimeout.NoTimeout)
+            packed, next_id, next_person, last = state.get
+            tracker = Tracker(options, [Track(int(p[0]), int(p[1]), int(p[2]), int(p[3]), list(p[4:8]), float(p[8])) for p in packed], next_id, next_person, last)
+        out, last_s = [], 0.0
+        if state.hasTimedOut:
+            out = [(key[0], tracker.last_frame, t, p, s, *b) for t, p, s, b in tracker.expire(float("inf"))]
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["frame", *boxes], kind="stable")
+            for frame, group in rows.groupby("frame", sort=True):
+                seen_s = pd.Timestamp(group[event_time].max()).timestamp() if event_time else None
+                last_s = max(last_s, seen_s or 0.0)
+                motion = Motion(**group[moves].iloc[0].to_dict()) if moves else STILL
+                found = tracker.advance(int(frame), group[boxes].dropna().to_numpy(float), seen_s, motion)
+                out += [(key[0], int(frame), t, p, s, *b) for t, p, s, b in found]
+            packed = [[float(t.track_id), float(t.person_id), float(t.hits), float(t.misses), *map(float, t.box), t.seen_s] for t in tracker.tracks]
+            state.update((packed, tracker.next_id, tracker.next_person, tracker.last_frame))
+            if event_time:
+                silent_ms = int((max([last_s, *(t.seen_s for t in tracker.tracks)]) + options.timeout_s) * 1000)
+                state.setTimeoutTimestamp(max(silent_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["source", "frame", "track_id", "person_id", "state", *boxes])
+
+    timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+    return detections.groupBy("source").applyInPandasWithState(run, TRACK_SCHEMA, "tracks array<array<double>>, next_id long, next_person long, last_frame long", "append", timeout)
 
 
 def latest_state(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on small literal inputs, and against brute force."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,7 +12,7 @@ from lumenframe.functions import text as T
 from lumenframe.functions import vector as V
 from lumenframe.operators import assign, metrics, votes
 from lumenframe.sources import tables
-from lumenframe.streaming.tracker import Tracker, latest_state
+from lumenframe.streaming.tracker import Motion, Options, Tracker, latest_state, track_stream
 
 
 def box(*v):
@@ -54,15 +56,16 @@ def test_greedy_assignment(spark):
     assert got == {(1, 1, 1, 0.9), (1, 2, 2, 0.1), (2, 1, 1, 0.5)}
 
 
-def follow(frames):
-    tracker, seen = Tracker(), []
+def follow(frames, options=Options(video=True), **more):
+    tracker, seen = Tracker(options), []
     for i, boxes in enumerate(frames):
-        seen.append(tracker.advance(i, np.array(boxes, float).reshape(-1, 4)))
+        seen.append(tracker.advance(i, np.array(boxes, float).reshape(-1, 4), **more))
+    follow.last = tracker
     return seen
 
 
 def ids(seen, *states):
-    return {t for rows in seen for t, s, _ in rows if s in states}
+    return {p or -t for rows in seen for t, p, s, _ in rows if s in states}
 
 
 def test_tracker_stay():
@@ -74,18 +77,35 @@ def test_tracker_crossing():
     assert len(ids(seen, "Confirmed")) == 2
 
 
+GONE = [[(150, 200, 80, 200)]] * 5 + [[]] * 15 + [[(155, 205, 80, 200)]] * 2
+
+
 def test_tracker_leaves_and_returns():
-    gone = [[(150, 200, 80, 200)]] * 5 + [[]] * 15 + [[(155, 205, 80, 200)]] * 2
-    assert ids(follow(gone), "Confirmed") == {1, 2}
+    assert ids(follow(GONE), "Confirmed") == {1, 2}
+    assert ids(follow(GONE, Options(video=True, reuse_ids=True)), "Confirmed") == {1}
 
 
 def test_tracker_occluded():
     assert ids(follow([[(100 + 5 * f, 200, 70, 190)] for f in range(3)] + [[], [], [(120, 200, 70, 190)]]), "Confirmed") == {1}
 
 
+def test_tracker_ends_a_track_that_left():
+    seen = follow([[(100, 200, 70, 190)]] * 3 + [[]] * 6)
+    assert ids(seen, "Retired") == {1} and len(follow.last.finalised) == 1 and not follow.last.active()
+
+
+def test_tracker_new_person_at_the_exit():
+    assert ids(follow([[(500, 200, 70, 190)]] * 3 + [[]] * 6 + [[(500, 200, 70, 190)]] * 2), "Confirmed") == {1, 2}
+
+
+def test_tracker_two_apart():
+    follow([[(100, 200, 60, 180), (400, 200, 60, 180)]] * 10)
+    assert {t.person_id for t in follow.last.active()} == {1, 2}
+
+
 def test_tracker_noise_is_never_confirmed():
     seen = follow([[(100, 100, 80, 200)]] + [[]] * 5)
-    assert not ids(seen, "Confirmed") and ids(seen, "Discarded") == {1}
+    assert not ids(seen, "Confirmed") and ids(seen, "Discarded") == {-1}
 
 
 def test_tracker_growth():
@@ -96,6 +116,62 @@ def test_tracker_growth():
     assert ids(follow(frames), "Confirmed") == {1}
 
 
+def test_tracker_first_frame_confirms_at_once_when_live():
+    still = [[(100, 200, 80, 200)]] * 2
+    assert [r[0][2] for r in follow(still, Options())] == ["Confirmed", "Confirmed"]
+    assert [r[0][2] for r in follow(still)] == ["Tentative", "Confirmed"]
+
+
+def test_tracker_follows_the_camera():
+    """A jump of 120 pixels loses the track unless the camera's motion is known."""
+    frames = [np.array([[100, 200, 80, 200]], float)] * 3 + [np.array([[220, 200, 80, 200]], float)] * 2
+    for motion, people in ((Motion(), 2), (Motion(120, 0, reliable=True), 1)):
+        tracker = Tracker(Options(video=True))
+        for i, boxes in enumerate(frames):
+            tracker.advance(i, boxes, motion=motion if i == 3 else Motion())
+        assert tracker.next_person == people + 1
+
+
+def test_tracker_is_patient_in_motion():
+    frames = [[(100, 200, 70, 190)]] * 3 + [[]] * 6
+    assert "Retired" in {s for rows in follow(frames) for *_, s, _ in rows}
+    seen = follow(frames, motion=Motion(high=True))
+    assert {s for rows in seen[3:] for *_, s, _ in rows} == {"TemporarilyLost"}
+
+
+def test_tracker_skips_risky_matches():
+    """Low overlap and a far move may be another person: a new track begins."""
+    seen = follow([[(100, 200, 50, 200)]] * 3 + [[(163, 200, 50, 200)]])
+    assert len({t for t, *_ in seen[3]}) == 2
+
+
+def test_tracker_timeout_and_reset():
+    tracker = Tracker(Options())
+    for i, s in enumerate((0.0, 1.0, 2.0)):
+        tracker.advance(i, np.array([[100, 200, 80, 200]], float), s)
+    rows = tracker.advance(3, np.zeros((0, 4)), 7.5)
+    assert [(p, s) for _, p, s, _ in rows] == [(1, "Retired")] and not tracker.tracks
+    tracker.reset()
+    assert (tracker.next_id, tracker.next_person, tracker.finalised) == (1, 1, [])
+
+
+def test_silent_source_ends_its_tracks(spark, tmp_path):
+    """With event time, a source that falls silent gives its closing rows once the stream has moved on."""
+    schema = "source string, frame long, ts timestamp, x double, y double, w double, h double"
+    make = lambda rows, name: spark.createDataFrame([(s, f, datetime(2024, 1, 1) + timedelta(seconds=t), 100.0, 200.0, 80.0, 200.0) for s, f, t in rows], schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    make([("a", i, i) for i in range(3)] + [("b", i, i) for i in range(3)], "1")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 second")
+        track_stream(stream, event_time="ts").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+
+    run()
+    make([("b", i, 10 * i) for i in range(3, 8)], "2")
+    run()
+    ended = spark.read.parquet(str(tmp_path / "out")).where("state = 'Retired'").collect()
+    assert ("a", 1) in {(r.source, r.person_id) for r in ended}
+
+
 def test_majority_ties_and_weights(spark):
     rows = spark.createDataFrame([(1, "b", 1.0), (1, "a", 1.0), (2, "x", 5.0), (2, "y", 1.0), (2, "y", 1.0)], "g int, v string, w double")
     assert {tuple(r) for r in votes.majority(rows, ["g"], "v").collect()} == {(1, "a", 1), (2, "y", 2)}
