@@ -33,3 +33,9 @@ def clock(seconds: Column) -> Column:
 def extension(c: Column) -> Column:
     """The lower-cased file extension with its dot, or ''."""
     return F.lower(F.regexp_extract(c, r"(\.[A-Za-z0-9]+)$", 1))
+
+
+def ascii_lower(c: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(c, upper, upper.lower())

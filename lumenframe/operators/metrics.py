@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,24 +23,43 @@ def accuracy(rows: DataFrame, by: list[str], expected: str, predicted: str) -> D
     return out.withColumn("accuracy", F.round(F.coalesce(F.try_divide(F.col("correct") * 100.0, F.col("evaluated")), F.lit(0.0)), 4))
 
 
-def nearest_rank(values: str, q: float) -> Column:
-    """sorted[int(n * q)], the last value at most. For groups of bounded size; see quantile_by_rank for others."""
-    return F.expr(f"element_at(array_sort(collect_list({values})), least(cast(floor(count({values}) * {q}D) as int) + 1, cast(count({values}) as int)))")
+#: Steps into which a group's range of values is cut to find where a rank lies.
+STEPS = 1_024
 
 
-def quantiles_by_rank(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """sorted[int(n * q)] of each group from counts of distinct values.
+def values_at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The values at given places (from 0, as functions of a group's count) of each group's sorted values, with the count n.
 
-    Values are pre-aggregated, so a group is as large as its distinct values and no list is gathered.
+    A first pass counts values by equal steps of the group's range, which tells the step of each rank. Only the distinct
+    values of these steps are then looked at, so no list is gathered, and no task sorts a group.
     """
-    from pyspark.sql import Window
-
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"n": F.sum("c").over(w), "upto": upto})
-    place = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
-    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > place(q), F.col(value))).alias(name) for name, q in qs.items()])
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wide = (F.col("_hi") - F.col("_lo")).cast("double")
+    step = F.when(wide > 0, F.floor((F.col("_v") - F.col("_lo")).cast("double") / wide * (STEPS - 1))).otherwise(F.lit(0))
+    stepped = rows.join(ends, by).select(*by, "_v", "_n", step.cast("int").alias("_s"))
+    order = Window.partitionBy(*by).orderBy("_s")  # of STEPS rows at most
+    steps = stepped.groupBy(*by, "_n", "_s").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("long").alias("place")) for name, place in ranks.items()]))
+    steps = steps.withColumn("_r", wanted).where("_r.place < _upto AND _r.place >= _upto - _c")
+    steps = steps.select(*by, "_s", F.col("_r.name").alias("_name"), (F.col("_r.place") - (F.col("_upto") - F.col("_c"))).alias("_left"))
+    inner = stepped.groupBy(*by, "_n", "_s", "_v").agg(F.count("*").alias("_c")).join(steps, [*by, "_s"])
+    inner = inner.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_name").orderBy("_v")))
+    return inner.groupBy(*by, F.col("_n").alias("n")).agg(*[F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_left")), F.col("_v"))).alias(name) for name in ranks])
+
+
+def quantiles_by_rank(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """sorted[int(n * q)] of each group, the last value at most."""
+    place = lambda q: lambda n: F.least(F.floor(n * q), n - 1)
+    return values_at_ranks(rows, by, value, {name: place(q) for name, q in qs.items()}).drop("n")
+
+
+def percentile(rows: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
+    """The percentile between two neighbouring values, as far as q lies between them; the median at 0.5."""
+    at = lambda n: (n - 1) * F.lit(q)
+    found = values_at_ranks(rows, by, value, {"_below": lambda n: F.floor(at(n)), "_above": lambda n: F.ceil(at(n))})
+    part = at(F.col("n")) - F.floor(at(F.col("n")))
+    return found.select(*by, (F.col("_below") + (F.col("_above") - F.col("_below")) * part).alias(name))
 
 
 def confusion(rows: DataFrame, expected: str, predicted: str, labels: list[str]) -> DataFrame:

@@ -70,16 +70,21 @@ SELECT frame, det, x, y, x1 - x AS w, y1 - y AS h FROM c"""
 
 
 def letterbox_roundtrip(spark, d):
-    """Into a 640 square and back: how far boxes come out from where they went in."""
+    """Into whole pixels of a 640 square and back: boxes and their centres (as a keypoint) come out within half a pixel."""
     x = detections(spark, d).select("frame", "det", "box", (F.col("box.w") * 8).alias("fw"), (F.col("box.h") * 8).alias("fh"))
     scale, px, py = G.letterbox(F.col("fw"), F.col("fh"), 640.0)
     x = x.select("*", scale.alias("s"), px.alias("px"), py.alias("py"))
-    gap = F.abs((F.col("box.x") * F.col("s") + F.col("px") - F.col("px")) / F.col("s") - F.col("box.x"))
-    return x.select("frame", "det", F.round("s", 4).alias("scale"), F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), (gap < 1e-6).alias("exact"))
+    back = lambda v, pad: (F.bround(F.col(v) * F.col("s") + F.col(pad)) - F.col(pad)) / F.col("s")
+    x = x.withColumns({"kx": F.col("box.x") + F.col("box.w") / 2, "ky": F.col("box.y") + F.col("box.h") / 2}).withColumns({"bx": back("box.x", "px"), "by": back("box.y", "py"), "cx": back("kx", "px"), "cy": back("ky", "py")})
+    near = (F.abs(F.col("cx") - F.col("kx")) <= 0.5 / F.col("s") + 1e-9) & (F.abs(F.col("cy") - F.col("ky")) <= 0.5 / F.col("s") + 1e-9)
+    return x.select("frame", "det", F.round("s", 4).alias("scale"), F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), *[_round(F.col(c)).alias(c) for c in ("bx", "by", "cx", "cy")], near.alias("near"))
 
 
-LETTERBOX = f"""WITH {DETECTIONS_SQL}, s AS (SELECT *, least(640.0::DOUBLE / (w * 8), 640.0::DOUBLE / (h * 8)) AS s FROM det)
-SELECT frame, det, round(s, 4) AS scale, CAST(floor((640 - round_even(w * 8 * s, 0)) / 2) AS BIGINT) AS px, CAST(floor((640 - round_even(h * 8 * s, 0)) / 2) AS BIGINT) AS py, true AS exact FROM s"""
+LETTERBOX = f"""WITH {DETECTIONS_SQL}, s AS (SELECT *, least(640.0::DOUBLE / (w * 8), 640.0::DOUBLE / (h * 8)) AS s FROM det),
+p AS (SELECT *, floor((640 - round_even(w * 8 * s, 0)) / 2) AS px, floor((640 - round_even(h * 8 * s, 0)) / 2) AS py, x + w / 2 AS kx, y + h / 2 AS ky FROM s),
+b AS (SELECT *, (round_even(x * s + px, 0) - px) / s AS bx, (round_even(y * s + py, 0) - py) / s AS by_, (round_even(kx * s + px, 0) - px) / s AS cx, (round_even(ky * s + py, 0) - py) / s AS cy FROM p)
+SELECT frame, det, round(s, 4) AS scale, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, round(bx + 1e-9, 4) AS bx, round(by_ + 1e-9, 4) AS "by", round(cx + 1e-9, 4) AS cx, round(cy + 1e-9, 4) AS cy,
+ abs(cx - kx) <= 0.5::DOUBLE / s + 1e-9 AND abs(cy - ky) <= 0.5::DOUBLE / s + 1e-9 AS near FROM b"""
 
 
 def candidate_rules(spark, d):

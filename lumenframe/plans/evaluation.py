@@ -175,8 +175,9 @@ RANKS = "SELECT l_returnflag, s[CAST(floor(n * 0.5) AS BIGINT) + 1] AS p50, s[le
 
 def medians(spark, d):
     """The upper median sorted[n / 2] beside the true one."""
-    upper = metrics.quantiles_by_rank(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", {"upper": 0.5})
-    return upper.join(table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 4).alias("median")), "o_orderpriority")
+    orders = table(spark, d, "orders")
+    upper = metrics.quantiles_by_rank(orders, ["o_orderpriority"], "o_totalprice", {"upper": 0.5})
+    return upper.join(metrics.percentile(orders, ["o_orderpriority"], "o_totalprice", 0.5, "median"), "o_orderpriority").withColumn("median", F.round("median", 4))
 
 
 MEDIANS = "SELECT o_orderpriority, s[n // 2 + 1] AS upper, round(m, 4) AS median FROM (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS s, count(*) AS n, median(o_totalprice) AS m FROM orders GROUP BY 1)"
@@ -196,7 +197,10 @@ SELECT l_linestatus, p05, p25, p50, p75, p95, sd, low_clip, high_clip, p95 - p05
 
 
 def deviations(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 2).alias("mean"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.round(F.stddev_pop("o_totalprice"), 2).alias("pop"), F.round(F.stddev_samp("o_totalprice"), 2).alias("samp"), F.round(F.percentile("o_totalprice", 0.95), 2).alias("p95"))
+    """Moments and the interpolated 95th percentile."""
+    orders = table(spark, d, "orders")
+    moments = orders.groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 2).alias("mean"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.round(F.stddev_pop("o_totalprice"), 2).alias("pop"), F.round(F.stddev_samp("o_totalprice"), 2).alias("samp"))
+    return moments.join(metrics.percentile(orders, ["o_orderstatus"], "o_totalprice", 0.95, "p95"), "o_orderstatus").withColumn("p95", F.round("p95", 2))
 
 
 DEVIATIONS = "SELECT o_orderstatus, round(avg(o_totalprice), 2) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high, round(stddev_pop(o_totalprice), 2) AS pop, round(stddev_samp(o_totalprice), 2) AS samp, round(quantile_cont(o_totalprice, 0.95), 2) AS p95 FROM orders GROUP BY 1"

@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as T
+from lumenframe.functions.text import ascii_lower
 from lumenframe.sources.tables import IMAGE_TYPES, VIDEO_TYPES, table
 
 
+def _texts(spark, d):
+    """(source, id, text) of documents and benchmark items."""
+    docs, items = table(spark, d, "documents").select(F.lit("d").alias("source"), F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark")
+    return docs.union(items.select(F.lit("b"), F.col("item_id"), "text")).where("text IS NOT NULL")
+
+
+TEXTS = "t AS (SELECT 'd' AS source, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE text IS NOT NULL)"
+
+
 def text_clean(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", T.clean(F.concat(F.lit("  \t"), "text", F.lit("\n  x "))).alias("c"))
-    return b.select("item_id", F.sha2("c", 256).alias("sha"), F.char_length("c").cast("long").alias("n"))
+    """Documents and benchmark items with their white space cleaned."""
+    rows = _texts(spark, d).select("source", "id", T.clean(F.concat(F.lit("  \t"), "text", F.lit("\n  x "))).alias("c"))
+    return rows.select("source", "id", F.sha2("c", 256).alias("sha"), F.char_length("c").cast("long").alias("n"))
 
 
-CLEAN = r"""WITH c AS (SELECT item_id, trim(regexp_replace('  ' || chr(9) || text || chr(10) || '  x ', '[ \t\n\r\f\v]+', ' ', 'g')) AS c FROM benchmark) SELECT item_id, sha256(c) AS sha, length(c) AS n FROM c"""
+CLEAN = rf"""WITH {TEXTS}, c AS (SELECT source, id, trim(regexp_replace('  ' || chr(9) || text || chr(10) || '  x ', '[ \t\n\r\f\v]+', ' ', 'g')) AS c FROM t) SELECT source, id, sha256(c) AS sha, length(c) AS n FROM c"""
 
 #: Fixed pattern of word pieces: runs of letters, single digits, runs of other marks.
 PIECES = r"[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+"
@@ -21,19 +32,41 @@ PIECES = r"[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+"
 
 def word_tokenize(spark, d):
     """Pieces of lower-cased texts, counted by piece; the vocabulary stage of a tokenizer."""
-    docs = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(PIECES), F.lit(0))).alias("piece"))
+    docs = _texts(spark, d).select(F.explode(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(PIECES), F.lit(0))).alias("piece"))
     return docs.groupBy("piece").agg(F.count("*").alias("n"))
 
 
-TOKENS = r"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+')) AS piece FROM benchmark) GROUP BY 1"
+TOKENS = rf"WITH {TEXTS} SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+')) AS piece FROM t) GROUP BY 1"
+
+#: Ids of the frame's ends and of the commonest words; other words get an id from their digest.
+FRAME, KNOWN = (49406, 49407, 77), {"the": 518, "of": 539, "and": 537, "to": 531, "in": 530, "is": 533, "a": 320}
+
+
+def word_ids(spark, d):
+    """Ids of whole words, framed by a start and an end and filled with zeros to a fixed length; words beyond it are left out."""
+    words = F.filter(F.split(ascii_lower(F.col("text")), "[ ,.;!?]"), lambda w: w != "")
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    other = lambda w: (F.lit(1000) + F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % 40000).cast("long")
+    ids = F.transform(F.slice(words, 1, FRAME[2] - 2), lambda w: F.coalesce(F.try_element_at(known, w).cast("long"), other(w)))
+    ids = F.concat(F.array(F.lit(FRAME[0]).cast("long")), ids, F.array(F.lit(FRAME[1]).cast("long")))
+    filled = F.concat(ids, F.array_repeat(F.lit(0).cast("long"), FRAME[2] - F.size(ids)))
+    return table(spark, d, "benchmark").select("item_id", filled.alias("ids")).select("item_id", F.size("ids").cast("long").alias("n"), F.array_join("ids", " ").alias("ids"))
+
+
+WORD_IDS = f"""WITH w AS (SELECT item_id, list_slice(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ ,.;!?]'), lambda x: x <> ''), 1, {FRAME[2] - 2}) AS w FROM benchmark),
+i AS (SELECT item_id, list_concat([{FRAME[0]}::BIGINT], list_transform(w, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN {v}" for k, v in KNOWN.items())} ELSE 1000 + CAST('0x' || substr(md5(x), 1, 7) AS BIGINT) % 40000 END), [{FRAME[1]}::BIGINT]) AS i FROM w)
+SELECT item_id, {FRAME[2]}::BIGINT AS n, array_to_string(list_concat(i, list_transform(range({FRAME[2]} - len(i)), lambda x: 0)), ' ') AS ids FROM i"""
 
 
 def checksum(spark, d):
-    """A digest of each brand's sorted part names: what guards a cache against changed content."""
-    return table(spark, d, "part").groupBy("p_brand").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p_name", F.col("p_size").cast("string")))), "|"), 256).alias("sha"))
+    """A checksum of each brand's part names in any order, from sums of digests: what guards a cache against changed content."""
+    digest = F.md5(F.concat_ws(":", "p_name", F.col("p_size").cast("string")))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 8), 16, 10).cast("long"))
+    return table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), half(1).alias("low"), half(9).alias("high"))
 
 
-CHECKSUM = "SELECT p_brand, sha256(array_to_string(list_sort(list(p_name || ':' || p_size)), '|')) AS sha FROM part GROUP BY 1"
+CHECKSUM = """WITH m AS (SELECT p_brand, md5(p_name || ':' || p_size) AS m FROM part)
+SELECT p_brand, count(*) AS n, CAST(sum(CAST('0x' || substr(m, 1, 8) AS BIGINT)) AS BIGINT) AS low, CAST(sum(CAST('0x' || substr(m, 9, 8) AS BIGINT)) AS BIGINT) AS high FROM m GROUP BY 1"""
 
 #: Fixed templates of prompts.
 TEMPLATES = ["a photo of a person wearing {0}", "a close-up of {0}", "an image of {0} clothing"]
@@ -57,10 +90,19 @@ def split_first_token(spark, d):
 SPLIT = "SELECT p_partkey, string_split(p_name, ' ')[1] AS first, array_to_string(list_slice(string_split(p_name, ' '), 2, 99), ' ') AS rest FROM part"
 
 
+#: Brands that go by another name than their files.
+BRAND_ALIASES = {"small": "House Small", "large": "House Large", "economy": "Eco"}
+
+
 def brand_prefix(spark, d):
-    """The brand before the first mark of a file name, with aliases."""
-    raw = F.lower(F.get(F.split(F.concat("p_brand", F.lit("_"), "p_name", F.lit(".png")), "#"), F.lit(0)))
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(F.create_map(F.lit("brand"), F.lit("House Brand")), raw), raw).alias("brand"))
+    """The brand before the first mark of an exemplar's file name, or its alias."""
+    file = F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".png"))
+    raw = F.lower(F.regexp_extract(file, r"^([^_.\-]+)", 1))
+    known = F.create_map(*[F.lit(x) for pair in BRAND_ALIASES.items() for x in pair])
+    return table(spark, d, "part").select("p_partkey", F.coalesce(F.try_element_at(known, raw), raw).alias("brand"))
+
+
+BRANDS = "SELECT p_partkey, CASE b " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BRAND_ALIASES.items()) + r" ELSE b END AS brand FROM (SELECT p_partkey, lower(regexp_extract(replace(p_type, ' ', '_') || '_' || p_partkey || '.png', '^([^_.\-]+)', 1)) AS b FROM part)"
 
 
 def ext_mime_rules(spark, d):
@@ -78,14 +120,16 @@ SELECT page_id, CASE WHEN size = 0 THEN 'empty' WHEN size > 20000 THEN 'too larg
 
 
 def magic_byte_validate(spark, d):
-    """Content by its first bytes."""
-    heads = F.array(F.lit("ffd8ffe0"), F.lit("89504e47"), F.lit("47494638"), F.lit("00000000"))
-    p = table(spark, d, "pages").select("page_id", F.unhex(F.get(heads, (F.col("page_id") % 4).cast("int"))).alias("content"))
-    start = F.lower(F.hex("content"))
-    return p.select("page_id", F.when(start.startswith("ffd8ff"), "jpeg").when(start == "89504e47", "png").otherwise("invalid").alias("kind"), F.base64("content").alias("data_url"))
+    """Uploads by their first bytes, and a preview as text; uploads are the pages, some behind the head of an image."""
+    heads = F.array(F.lit("ffd8ffe0"), F.lit("89504e47"), F.lit("47494638"), F.lit(""))
+    p = table(spark, d, "pages").select("page_id", F.concat(F.unhex(F.get(heads, (F.col("page_id") % 4).cast("int"))), F.col("html").cast("binary")).alias("content"))
+    head = F.substring("content", 1, 4)
+    kind = F.when(F.substring("content", 1, 3) == F.unhex(F.lit("ffd8ff")), "jpeg").when(head == F.unhex(F.lit("89504e47")), "png").otherwise("invalid")
+    return p.select("page_id", kind.alias("kind"), F.base64(F.substring("content", 1, 12)).alias("preview"), F.octet_length("content").cast("long").alias("size"))
 
 
-MAGIC = "SELECT page_id, ['jpeg', 'png', 'invalid', 'invalid'][(page_id % 4)::INT + 1] AS kind, ['/9j/4A==', 'iVBORw==', 'R0lGOA==', 'AAAAAA=='][(page_id % 4)::INT + 1] AS data_url FROM pages"
+MAGIC = r"""WITH p AS (SELECT page_id, (CASE page_id % 4 WHEN 0 THEN '\xFF\xD8\xFF\xE0'::BLOB WHEN 1 THEN '\x89PNG'::BLOB WHEN 2 THEN 'GIF8'::BLOB ELSE ''::BLOB END) || encode(html) AS c FROM pages)
+SELECT page_id, CASE WHEN hex(c)[1:6] = 'FFD8FF' THEN 'jpeg' WHEN hex(c)[1:8] = '89504E47' THEN 'png' ELSE 'invalid' END AS kind, to_base64(unhex(hex(c)[1:24])) AS preview, octet_length(c) AS size FROM p"""
 
 
 def mmss_format(spark, d):
@@ -106,10 +150,11 @@ FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'STANDARD' ELSE 'PROMO' END AS y F
 QUERIES = {
     "text_clean": (text_clean, CLEAN),
     "word_tokenize": (word_tokenize, TOKENS),
+    "word_ids": (word_ids, WORD_IDS),
     "checksum": (checksum, CHECKSUM),
     "prompt_expand": (prompt_expand, PROMPTS),
     "split_first_token": (split_first_token, SPLIT),
-    "brand_prefix": (brand_prefix, "SELECT p_partkey, 'House Brand' AS brand FROM part"),
+    "brand_prefix": (brand_prefix, BRANDS),
     "ext_mime_rules": (ext_mime_rules, MIME),
     "magic_byte_validate": (magic_byte_validate, MAGIC),
     "mmss_format": (mmss_format, "SELECT o_orderkey, printf('%02d:%02d.%d', (t // 600) % 60, (t // 10) % 60, t % 10) AS shown FROM (SELECT o_orderkey, CAST(floor(o_orderkey * 0.25::DOUBLE * 10) AS BIGINT) AS t FROM orders)"),

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.text import clock
-from lumenframe.operators import votes
+from lumenframe.operators import metrics, votes
 from lumenframe.sources.tables import table
 
 ORDER = ["ts", "event_id"]
@@ -221,7 +221,7 @@ def delete_anti(spark, d):
 def flow_consensus(spark, d):
     """Median motion of each track, share of points within 2 of it, and whether that is reliable."""
     o = _obs(spark, d).select("track", (F.col("value") % 17).alias("dx"), (F.col("value") % 11).alias("dy"))
-    med = o.groupBy("track").agg(F.median("dx").alias("mx"), F.median("dy").alias("my"), F.count("*").alias("n"))
+    med = metrics.percentile(o, ["track"], "dx", 0.5, "mx").join(metrics.percentile(o, ["track"], "dy", 0.5, "my"), "track").join(o.groupBy("track").agg(F.count("*").alias("n")), "track")
     near = F.sqrt(F.pow(F.col("dx") - F.col("mx"), 2) + F.pow(F.col("dy") - F.col("my"), 2)) <= 2
     out = o.join(med, "track").groupBy("track", "mx", "my", "n").agg(F.count_if(near).alias("inliers"))
     share = F.col("inliers") / F.col("n")
