@@ -9,6 +9,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from test_native import brute_contamination  # noqa: E402
 from test_near_dedup import brute  # noqa: E402
+from test_text import brute_weights  # noqa: E402
 
 from lumenframe.llm import bpe, langid, quality  # noqa: E402
 
@@ -20,8 +21,13 @@ def test_stages_against_brute_force(spark):
 
     docs = spark.read.parquet(f"{D}/documents.parquet")
     rows, labels = docs.collect(), spark.read.parquet(f"{D}/labels.parquet")
-    drawn = {r.doc_id for r in quality.resample(docs, labels).where("selected").collect()}
-    assert len(drawn) == round(len(rows) * quality.target_share(labels))
+    marks: dict = {}
+    for r in labels.collect():
+        marks[r.doc_id] = min(r.quality, marks.get(r.doc_id, 1))
+    weights = brute_weights([r.text for r in rows], [marks.get(r.doc_id) == 1 for r in rows])
+    noisy = quality.gumbel(spark.createDataFrame([(r.doc_id, float(w)) for r, w in zip(rows, weights, strict=True)], "doc_id long, log_weight double"), "doc_id", quality.SEED)
+    wanted = round(len(rows) * np.mean([r.quality for r in labels.collect() if r.quality is not None]))
+    drawn = {r.doc_id for r in sorted(noisy.collect(), key=lambda r: -r.gumbel_key)[:wanted]}
     kept = corpus_pipeline.quality_stage(spark, docs, D)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == drawn
     found = langid.identify(kept, langid.train(kept)).collect()

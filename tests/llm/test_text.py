@@ -400,6 +400,59 @@ def test_gradients_of_the_network():
             assert grads[k].reshape(-1)[at] == pytest.approx((up - down) / (2 * step), abs=2e-3)
 
 
+def plain_logits(net, text):
+    """The logit of every window of a text, one word and one state at a time."""
+    words, out, s = toxicity.words_of(text), [], toxicity.STATES
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for start in toxicity.windows_of(len(words)).tolist():
+        window, states = words[start : start + toxicity.WINDOW], []
+        inputs = []
+        for w in window:
+            word, _, grams = toxicity.buckets([w])
+            chars = np.concatenate([net.p["char"][g] for g in grams])
+            inputs.append(np.concatenate([net.p["word"][word[0]], chars.mean(axis=0)]))
+        for d in "fb":
+            h, read = np.zeros(s), []
+            for x in inputs if d == "f" else inputs[::-1]:
+                g, a = x @ net.p[f"x{d}"] + net.p[f"c{d}"], h @ net.p[f"h{d}"]
+                z, r = sig(g[:s] + a[:s]), sig(g[s : 2 * s] + a[s : 2 * s])
+                h = z * h + (1 - z) * np.tanh(g[2 * s :] + r * a[2 * s :])
+                read.append(h)
+            states.append(read if d == "f" else read[::-1])
+        if not window:
+            out.append(float(net.p["bias"][0]))
+            continue
+        both = [np.concatenate(pair) for pair in zip(*states, strict=True)]
+        e = np.exp([b @ net.p["look"] for b in both])
+        pooled = sum(w * b for w, b in zip(e / e.sum(), both, strict=True))
+        out.append(float(pooled @ net.p["out"] + net.p["bias"][0]))
+    return out
+
+
+def test_windows_are_scored_as_by_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(toxicity, "BATCH", 3)
+    net, rng = toxicity.Network(), random.Random(1)
+    texts = [None, "", "one", "Éß 日本 word!", *(" ".join(rng.choice(["ab", "cde", "fghij", "k"]) for _ in range(n)) for n in (15, 16, 17, 70))]
+    scorer = toxicity.Scorer(net, np.array([1.0, 0.5, 0.1, -1.0]))
+    for text, logits in zip(texts, scorer.window_logits(texts), strict=True):
+        assert logits == pytest.approx(plain_logits(net, text), abs=1e-4)
+    for text, score in zip(texts, scorer(texts), strict=True):
+        x = sorted(plain_logits(net, text))[::-1]
+        top = x[: toxicity.TOP]
+        assert score == pytest.approx(float(toxicity.sigmoid(top[0] + 0.5 * np.mean(top) + 0.1 * np.log(len(x)) - 1)), abs=1e-4)
+
+
+def test_toxicity_of_documents_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    marks = {}
+    for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic IS NOT NULL").collect():
+        marks[r.doc_id] = max(r.toxic, marks.get(r.doc_id, 0))
+    rows = [r for r in toxicity.op4_toxicity(spark, d).collect() if r.held_out and r.doc_id in marks]
+    bad, good = ([r.score for r in rows if marks[r.doc_id] == y] for y in (1, 0))
+    # 33 toxic documents to learn from
+    assert np.mean(np.array(bad) >= 0.7) > 0.6 and np.mean(np.array(good) >= 0.7) < 0.05 and all(r.predicted == (r.score >= 0.7) for r in rows)
+
+
 def test_toxicity_held_out_and_odd_inputs(spark, odd_docs, no_docs):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["an", "he", "to", "ri", "el"]) for _ in range(3))
