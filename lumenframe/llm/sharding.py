@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm.shared import drop_scratch, materialize, small
+from lumenframe.llm.shared import BROADCAST_ROWS, drop_scratch, materialize, small
 
 #: Bits of a quantised dimension and of the hash that breaks its ties.
 DIM_BITS, TIE_BITS = 20, 42
 #: Buckets of a round of a search; the share of a shard by which a cut may miss its target.
-BUCKETS, SLACK = 2_048, 1e-4
+BUCKETS, SLACK = 1 << 15, 1e-4
+#: Rows of a partition of the tables that searches make.
+PART_ROWS = 100_000
 #: Bytes that each document weighs besides its text.
 OVERHEAD = 8
 #: Rows of one slot cell, about, and the fewest cells of a shard; equal rows that are numbered at a time.
@@ -41,14 +43,21 @@ def numbered(meta: DataFrame) -> DataFrame:
     return few.union(many.select(*names, F.explode(F.sequence(start, F.least(start + CHUNK, F.col("copies")) - 1)).alias("copy")))
 
 
-def cuts_of(tree: DataFrame, key: Column, spans: DataFrame, slack: float) -> DataFrame:
-    """(first, dim, cut) of each node in spans (first, dim, lo, hi, target): the weight of keys below the cut is as near
-    to the target as the slack demands, or the keys allow."""
-    state = materialize(spans.select("first", "dim", "lo", "hi", "target", F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("cut")), "cuts")
-    while not (left := state.where("cut IS NULL")).isEmpty():
-        at = small(left.withColumn("width", F.greatest(F.lit(1).cast("long"), F.ceil((F.col("hi") - F.col("lo")) / BUCKETS))))
+def few_parts(rows: DataFrame, n: int) -> DataFrame:
+    """rows, of which there are n at most, in no more partitions than they need."""
+    return rows.coalesce(max(1, min(rows.sparkSession.sparkContext.defaultParallelism, n // PART_ROWS)))
+
+
+def cuts_of(tree: DataFrame, key: Column, spans: DataFrame, nodes: int, slack: float) -> DataFrame:
+    """(first, dim, cut) of each of so many nodes in spans (first, dim, lo, hi, target): the weight of keys below the cut is as
+    near to the target as the slack demands, or the keys allow."""
+    state = spans.select("first", "dim", "lo", "hi", "target", F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("cut"))
+    state = materialize(few_parts(state, nodes), "cuts")
+    while left := state.where("cut IS NULL").count():
+        at = state.where("cut IS NULL").withColumn("width", F.greatest(F.lit(1).cast("long"), F.ceil((F.col("hi") - F.col("lo")) / BUCKETS)))
+        at = F.broadcast(at) if left <= BROADCAST_ROWS else at  # its rows are eight numbers each
         rows = tree.join(at, "first").withColumn("key", key).where("key >= lo AND key < hi")
-        found = rows.groupBy("first", F.expr("(key - lo) div width").alias("b")).agg(F.sum("size").alias("w"))
+        found = few_parts(rows.groupBy("first", F.expr("(key - lo) div width").alias("b")).agg(F.sum("size").alias("w")), left * BUCKETS)
         order = Window.partitionBy("first").orderBy("b")  # of BUCKETS rows at most
         sums = found.withColumns({"upto": F.sum("w").over(order), "last": F.lead("b").over(order).isNull()}).join(at, "first")
         pick = sums.where("below + upto >= target OR last").groupBy("first").agg(F.min(F.struct("b", "w", "upto")).alias("p"))
@@ -57,7 +66,7 @@ def cuts_of(tree: DataFrame, key: Column, spans: DataFrame, slack: float) -> Dat
         over, under = after - F.col("target"), F.col("target") - (after - F.col("p.w"))
         cut = F.when((F.col("width") == 1) | (F.col("p.w") <= slack), F.when(over <= under, end).otherwise(start))
         new = at.join(pick, "first").select("first", "dim", start.alias("lo"), end.alias("hi"), "target", (after - F.col("p.w")).alias("below"), cut.alias("cut"))
-        narrowed = materialize(state.where("cut IS NOT NULL").union(new), "cuts")
+        narrowed = materialize(few_parts(state.where("cut IS NOT NULL").union(new), nodes), "cuts")
         drop_scratch(state)
         state = narrowed
     return state.select("first", "dim", "cut")
@@ -97,14 +106,14 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], n_shards: int | None = N
     tree = meta.select("id", "size", "crc", "copy", "tie", *[quantised(i).alias(k) for i, k in enumerate(keys)], F.lit(0).alias("first"), F.lit(n_shards).alias("leaves"))
     chosen = F.shiftleft(F.get(F.array(*keys), F.col("dim")), TIE_BITS) + F.col("tie")
     old = meta
-    for _ in range((n_shards - 1).bit_length() if ends.rows else 0):
+    for level in range((n_shards - 1).bit_length() if ends.rows else 0):
         inner = tree.where("leaves > 1")
         widths = F.array(*[F.max(k) - F.min(k) for k in keys])
         spans = inner.groupBy("first", "leaves").agg(F.sum("size").alias("w"), widths.alias("widths"), F.array(*[F.min(k) for k in keys]).alias("low"), F.array(*[F.max(k) for k in keys]).alias("high"))
         spans = spans.withColumn("dim", (F.array_position("widths", F.array_max("widths")) - 1).cast("int"))
         lo, hi = F.shiftleft(F.get("low", F.col("dim")), TIE_BITS), F.shiftleft(F.get("high", F.col("dim")) + 1, TIE_BITS)
         spans = spans.select("first", "dim", lo.alias("lo"), hi.alias("hi"), (F.col("w") * F.expr("leaves div 2") / F.col("leaves")).alias("target"))
-        cuts = cuts_of(inner, chosen, spans, SLACK * ends.bytes / n_shards)
+        cuts = cuts_of(inner, chosen, spans, 1 << level, SLACK * ends.bytes / n_shards)
         half = F.expr("leaves div 2").cast("int")
         right = chosen >= F.col("cut")
         split = tree.join(small(cuts), "first", "left").select(
