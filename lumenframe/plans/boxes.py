@@ -166,6 +166,36 @@ def nms(spark, d):
     return assign.nms(x, ["frame"], "confidence", 0.3).select("frame", "det", "confidence")
 
 
+def _recursive_nms(source: str) -> str:
+    """Boxes one after the other, best first, each against the list of those kept."""
+    overlap = "greatest(0, least(p.x + p.w, o.x + o.w) - greatest(p.x, o.x)) * greatest(0, least(p.y + p.h, o.y + o.h) - greatest(p.y, o.y))"
+    hit = f"len(list_filter(r.kept, lambda p: {overlap} / (p.w * p.h + o.w * o.h - {overlap}) > 0.3)) > 0"
+    box = "{'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}"
+    return f"""{source}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY confidence DESC, x, y, w, h) AS k FROM det),
+r AS (SELECT o.frame, o.k, o.det, o.confidence, true AS keep, [{box}] AS kept FROM o WHERE k = 1
+ UNION ALL SELECT o.frame, o.k, o.det, o.confidence, NOT ({hit}), CASE WHEN {hit} THEN r.kept ELSE list_append(r.kept, {box}) END FROM r JOIN o ON o.frame = r.frame AND o.k = r.k + 1)
+SELECT frame, det, confidence FROM r WHERE keep"""
+
+
+NMS = f"WITH RECURSIVE {_recursive_nms(DETECTIONS_SQL)}"
+
+
+def nms_whole_pixels(spark, d):
+    """Suppression of marks on boxes whose sides are cut down to whole pixels first."""
+    x = detections(spark, d).select("frame", "det", "confidence", *[F.floor(F.col(f"box.{c}") * 0.37).cast("double").alias(c) for c in "xywh"])
+    return assign.nms(x, ["frame"], "confidence", 0.3).select("frame", "det", "confidence")
+
+
+WHOLE = "WITH RECURSIVE " + _recursive_nms(DETECTIONS_SQL.replace("det AS (", "det0 AS (") + ", det AS (SELECT frame, det, confidence, " + ", ".join(f"floor({c} * 0.37::DOUBLE) AS {c}" for c in "xywh") + " FROM det0)")
+GREEDY = f"""WITH RECURSIVE {PAIRS_SQL}, c AS (SELECT frame, CASE WHEN a_det % 2 = 1 THEN a_det ELSE b_det END AS track, CASE WHEN a_det % 2 = 1 THEN b_det ELSE a_det END AS det, iou AS score FROM io WHERE iou >= 0.15 AND a_det % 2 <> b_det % 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, track, det) AS k FROM c),
+r AS (SELECT frame, k, track, det, score, true AS taken, [track] AS tracks, [det] AS dets FROM o WHERE k = 1
+ UNION ALL SELECT o.frame, o.k, o.track, o.det, o.score, NOT (list_contains(r.tracks, o.track) OR list_contains(r.dets, o.det)),
+ CASE WHEN list_contains(r.tracks, o.track) OR list_contains(r.dets, o.det) THEN r.tracks ELSE list_append(r.tracks, o.track) END, CASE WHEN list_contains(r.tracks, o.track) OR list_contains(r.dets, o.det) THEN r.dets ELSE list_append(r.dets, o.det) END
+ FROM r JOIN o ON o.frame = r.frame AND o.k = r.k + 1)
+SELECT frame, track, det, round(score, 4) AS score FROM r WHERE taken"""
+
+
 def anchor_grid(spark, d):
     """Anchors of five levels with nine shapes each, summed up by level and shape."""
     levels = spark.range(5).select((F.col("id") + 3).alias("level"), F.pow(F.lit(2.0), F.col("id") + 3).alias("stride"))
@@ -204,8 +234,9 @@ QUERIES = {
     "quality_gate": (quality_gate, QUALITY),
     "evidence_gate": (evidence_gate, EVIDENCE),
     "unmatched_detections": (unmatched_detections, UNMATCHED),
-    "greedy_assignment": (greedy_assignment, None),
-    "nms": (nms, None),
+    "greedy_assignment": (greedy_assignment, GREEDY),
+    "nms": (nms, NMS),
+    "nms_whole_pixels": (nms_whole_pixels, WHOLE),
     "anchor_grid": (anchor_grid, ANCHORS),
     "anchor_decode": (anchor_decode, DECODE),
 }
