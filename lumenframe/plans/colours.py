@@ -113,6 +113,29 @@ o AS (SELECT sample, k, count(*) AS n, round(avg(L), 4) AS mean_l FROM k GROUP B
 SELECT * FROM s WHERE share >= 0.08"""
 
 
+#: Black must be darker and greyer for a cluster than for a pixel.
+ROBUST = [("Black", "L < 22 AND C < 3.8"), ("Grey", "name = 'Black'")]
+
+
+def robust_lab_vote(spark, d):
+    """The named means of a sample's clusters vote by their shares."""
+    gap = [F.pow(F.col("L") - x, 2) + F.pow(F.col("a") - y, 2) + F.pow(F.col("b") - z, 2) for x, y, z in CENTRES]
+    px = _pixels(spark, d).withColumn("k", F.array_min(F.array(*[F.struct(g.alias("g"), F.lit(i).alias("i")) for i, g in enumerate(gap)])).i)
+    c = px.groupBy("sample", "k").agg(F.count("*").alias("n"), F.avg("L").alias("L"), F.avg("a").alias("a"), F.avg("b").alias("b"))
+    c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sample"))).where("share >= 0.08").withColumns({"C": rules.chroma(F.col("a"), F.col("b")), "H": rules.hue(F.col("a"), F.col("b"))})
+    c = c.withColumn("name", rules.first_match(rules.COLOUR_RULES, "Grey")).withColumn("vote", F.when(F.expr(ROBUST[0][1]), "Black").when(F.expr(ROBUST[1][1]), "Grey").otherwise(F.col("name")))
+    v = c.groupBy("sample", "vote").agg(F.sum("share").alias("share")).groupBy("sample").agg(F.min(F.struct(F.round(-F.col("share"), 9).alias("neg"), "vote")).alias("v"))
+    return v.select("sample", F.col("v.vote").alias("vote"), F.round(-F.col("v.neg"), 4).alias("share"))
+
+
+ROBUST_VOTE = f"""WITH {PIXELS}, g AS (SELECT *, {GAPS[0]} AS g0, {GAPS[1]} AS g1, {GAPS[2]} AS g2 FROM px),
+c0 AS (SELECT sample, CASE WHEN g0 <= g1 AND g0 <= g2 THEN 0 WHEN g1 <= g2 THEN 1 ELSE 2 END AS k, count(*) AS n, avg(L) AS L, avg(a) AS a, avg(b) AS b FROM g GROUP BY 1, 2),
+c AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY sample) AS share, sqrt(a * a + b * b) AS C, (degrees(atan2(b, a)) + 360) % 360 AS H FROM c0),
+n AS (SELECT *, {NAME} AS name FROM c WHERE share >= 0.08), v AS (SELECT sample, CASE WHEN {ROBUST[0][1]} THEN 'Black' WHEN {ROBUST[1][1]} THEN 'Grey' ELSE name END AS vote, sum(share) AS share FROM n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(-share, 9), vote) AS k FROM v)
+SELECT sample, vote, round(share, 4) AS share FROM r WHERE k = 1"""
+
+
 def color_vote_decision(spark, d):
     """Primary, secondary or multicoloured from the two greatest shares of names."""
     named = _pixels(spark, d).select("sample", rules.first_match(rules.COLOUR_RULES, "Grey").alias("name"))
@@ -198,6 +221,7 @@ def kmeans(spark, d, k: int = 3, turns: int = 10):
 
 
 QUERIES = {
+    "robust_lab_vote": (robust_lab_vote, ROBUST_VOTE),
     "color_rules": (color_rules, f"WITH {PIXELS} SELECT {NAME} AS name, count(*) AS n FROM px GROUP BY 1"),
     "simplified_rules": (simplified_rules, f"WITH {PIXELS} SELECT string_split({SIMPLE}, '/')[1] AS shade, string_split({SIMPLE}, '/')[2] AS family, count(*) AS n FROM px GROUP BY 1, 2"),
     "hsv_rules": (hsv_rules, HSV),
