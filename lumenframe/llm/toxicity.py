@@ -8,7 +8,8 @@ A document's score is a calibrated logistic function of its greatest window logi
 Labels belong to documents, so training picks windows: of a toxic document those that score
 highest so far, of others the highest and a random one, over several turns. The vectors start from
 smoothed log odds of the training documents. Training reads at most about ``PER_CLASS`` documents of
-each label (a bound on the sample; texts are read whole), of which a third only calibrate.
+each label, each of at most ``FIT_BYTES`` (bounds on the sample; what it reads it reads whole, and scoring reads every whole text), of
+which a third only calibrate. Where labelled documents are repeated, the repeated rows are cut to twice that number.
 
 Edge cases: null, empty and wordless texts have one window without words; contradicting labels count as toxic; with one
 class or no labels every score is the smoothed share of toxic labels; repeated rows come back as often as they went in;
@@ -38,6 +39,8 @@ GRAMS = (4, 5)
 WINDOW, STRIDE = 16, 8
 #: Training documents of each label, about; turns of picking windows, passes over them, windows of a step.
 PER_CLASS, TURNS, EPOCHS, STEP, RATE = 2_000, 4, 5, 128, 0.01
+#: Bytes of a training document at most.
+FIT_BYTES = 200_000
 #: Greatest logits that the calibration sees, and the score from which a document counts as toxic.
 TOP, THRESHOLD = 3, 0.7
 #: Words whose inputs are remembered, and windows that are scored at once.
@@ -383,7 +386,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for y, n in counts.items():
         share = F.when(F.col("y") == y, per_class / n).otherwise(share)
     judged = judged.where(F.pmod(F.xxhash64("t_key"), F.lit(1_000_000)) / 1e6 < share)
-    rows = docs.select(F.col(key).alias("t_key"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(judged), "t_key").select("t", "y")
+    rows = docs.select(F.col(key).alias("t_key"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= FIT_BYTES).join(F.broadcast(judged), "t_key")
+    met = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    for y, n in met.items():  # an id may have any number of rows
+        if n > 2 * per_class:
+            rows = rows.where((F.col("y") != y) | (F.pmod(F.xxhash64("t_key", "t"), F.lit(1_000_000)) / 1e6 < 2 * per_class / n))
+    rows = rows.select("t", "y").dropDuplicates(["t", "y"]) if any(n > 2 * per_class for n in met.values()) else rows.select("t", "y")
     found = sorted((crc32(r.t.encode("utf-8", "surrogatepass")), r.t, int(r.y > 0)) for r in rows.collect())
     return fit([t for _, t, _ in found], [y for *_, y in found])
 

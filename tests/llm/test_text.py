@@ -442,6 +442,19 @@ def test_windows_are_scored_as_by_a_plain_loop(monkeypatch):
         assert score == pytest.approx(float(toxicity.sigmoid(top[0] + 0.5 * np.mean(top) + 0.1 * np.log(len(x)) - 1)), abs=1e-4)
 
 
+def test_toxicity_training_is_bounded(spark, monkeypatch):
+    """Null, missing and contradicting labels, long texts, and one id with very many rows."""
+    read = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: read.append(list(zip(texts, y, strict=True))))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (4, 0), (9, 1)], "doc_id long, toxic int")
+    docs = [(1, "bad"), (2, "good"), (3, "unmarked"), (4, "long " * 50_000), (5, "no label"), (None, "x")]
+    toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert sorted(read.pop()) == [("bad", 1), ("good", 0)]
+    many = spark.range(3_000).selectExpr("2L AS doc_id", "concat('text ', id) AS text").union(spark.range(3_000).selectExpr("1L", "'bad'"))
+    toxicity.train(many, labels, per_class=100)
+    assert 50 < sum(y == 0 for _, y in read[0]) < 400 and [t for t, y in read.pop() if y] in (["bad"], [])
+
+
 def test_toxicity_of_documents_held_out(spark):
     d = "/root/testdata/sf0.01"
     marks = {}
