@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.hashing import MIX_A, Remembered, mix, seeds, word_hash
+from lumenframe.llm.hashing import MIX_A, mix, seeds
 from lumenframe.llm.shared import freed, only, quoted, small
 
 #: The band of inverse document frequencies, in nats.
@@ -41,16 +41,31 @@ SEED = 11
 BLANK = "...."
 
 
-def terms(text: str, word: Remembered) -> np.ndarray:
-    """The sorted hashes of the distinct lower-cased words."""
-    return np.unique(word.array(list(set(text.lower().split()))))
+#: A fixed random number for each byte.
+_BYTES = mix(seeds(256, SEED + 2))
+_BYTES[ord(" ")] = 0
+
+
+def terms(text: str) -> np.ndarray:
+    """The sorted hashes of the distinct lower-cased words.
+
+    All words are hashed at once: each is a number whose digits are its bytes' random numbers.
+    """
+    words = set(text.lower().split())
+    if not words:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+    start = np.concatenate([[0], np.flatnonzero(data == ord(" ")) + 1])
+    size = np.diff(np.append(start, len(data)))
+    place = np.arange(len(data)) - np.repeat(start, size)
+    return np.unique(mix(np.add.reduceat(_BYTES[data] * powers(int(size.max()))[place], start)))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): how many documents hold a term, by its hash; term 0 counts all documents."""
 
     def run(batches):
-        word, held, size = Remembered(word_hash), [], 0
+        held, size = [], 0
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -58,7 +73,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0):
-                held.append(np.append(terms(t.as_py() or "", word), np.uint64(0)))
+                held.append(np.append(terms(t.as_py() or ""), np.uint64(0)))
                 size += len(held[-1])
                 if size >= COUNTED:
                     yield counted()
@@ -83,11 +98,10 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
 class Fingerprinter:
     def __init__(self, kept: np.ndarray):
         self.kept = kept
-        self.word = Remembered(word_hash)
         self.seeds, self.salt = seeds(SUBSETS, SEED), seeds(1, SEED + 1)[0]
 
     def __call__(self, text: str) -> str:
-        every = terms(text, self.word)
+        every = terms(text)
         inside = every[self.holds(every)] if len(self.kept) else every
         inside = inside if len(inside) else every
         if not len(inside):
@@ -109,8 +123,10 @@ class Fingerprinter:
                 # the terms of a subset are digits of a number, in their order
                 hashes[i, at] += np.add.reduceat(value[term] * powers(int(rank.max()) + 1)[rank], first)
                 sizes[i, at] += n
-        digests = mix(hashes + sizes.astype(np.uint64)) >> np.uint64(48)
-        return "".join(f"{d:04x}" if n else BLANK for d, n in zip(digests.ravel().tolist(), sizes.ravel().tolist(), strict=True))
+        digests = (mix(hashes + sizes.astype(np.uint64)) >> np.uint64(48)).astype(">u2")
+        out = np.frombuffer(digests.tobytes().hex().encode(), "S4").copy()
+        out[sizes.ravel() == 0] = BLANK
+        return out.tobytes().decode()
 
     def holds(self, every: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.kept, every), len(self.kept) - 1)

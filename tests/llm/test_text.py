@@ -263,9 +263,12 @@ def test_edits_against_brute_force(spark, odd_docs, no_docs):
 
 def test_fingerprints_against_brute_force(spark, monkeypatch):
     """Terms of the band by plain counting, sorted, and each subset's digits hashed in that order."""
-    from lumenframe.llm.hashing import MIX_A, mix, seeds, word_hash
+    from lumenframe.llm.hashing import MIX_A, mix, seeds
 
     monkeypatch.setattr(imatch, "CHUNK", 16)
+    one = lambda x: int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+    random_of = [one(int(x)) for x in seeds(256, imatch.SEED + 2)]
+    word_hash = lambda w: one(sum(random_of[b] * pow(int(MIX_A), i, 1 << 64) for i, b in enumerate(w.encode())))
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     words = [sorted({word_hash(w) for w in (t or "").lower().split()}) for _, t in rows]
     count, n = Counter(w for ws in words for w in ws), len(rows)
@@ -273,7 +276,6 @@ def test_fingerprints_against_brute_force(spark, monkeypatch):
     got = imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string"))
     assert set(got.tolist()) == band and len(band) < len(count)
     mark, (salt,) = imatch.Fingerprinter(got), seeds(1, imatch.SEED + 1)
-    one = lambda x: int(mix(np.array([x % (1 << 64)], np.uint64))[0])
     found = {}
     for (k, t), ws in list(zip(rows, words, strict=True))[:12]:
         kept, want = [w for w in ws if w in band] or ws, []
