@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.components import merge
 from lumenframe.llm.hashing import MIX_A, Remembered, mix, seeds, word_hash
-from lumenframe.llm.shared import drop_scratch, freed, materialize, only, quoted
+from lumenframe.llm.shared import drop_scratch, freed, materialize, only
 
 #: Rows of a band, bands, and signature places that are compared at a time.
 ROWS, BANDS, BATCH = 4, 20, 16
