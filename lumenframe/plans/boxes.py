@@ -110,7 +110,7 @@ CROP = [("LowConfidence", "confidence < 0.45"), ("Narrow", "w < 50"), ("Short",
 
 
 def quality_gate(spark, d):
-    """Reject reason, or a weighted score of confidence, size and sharpness, and its weight."""
+    """Reject reason, or a weighted score of confidence, size and sharpness, and its weight (fixed values)."""
     x = detections(spark, d).select("frame", "det", "confidence", F.col("box.w").alias("w"), F.col("box.h").alias("h"), (F.col("quantity") * 4).alias("sharp"))
     conf, size, sharp = G.clamp(F.col("confidence"), 0.4, 1.0), G.clamp(F.col("w") * F.col("h") / 40000, 0.2, 1.0), G.clamp(F.col("sharp") / 150, 0.2, 1.0)
     score = conf * 0.45 + size * 0.30 + sharp * 0.25
@@ -125,7 +125,7 @@ SELECT frame, det, verdict, round(CASE WHEN verdict = 'Accepted' THEN sc END + 1
 
 
 def evidence_gate(spark, d):
-    """Evidence of head, upper, lower and feet from keypoint confidence, sharpness, area and clipping."""
+    """Evidence of head, upper, lower and feet from keypoint confidence, sharpness, area and clipping (fixed values)."""
     x = detections(spark, d).select("frame", "det", F.col("confidence").alias("kp"), G.clamp(F.col("quantity") * 4 / 120, 0.3, 1.0).alias("sharp"), G.clamp(F.col("box.w") * F.col("box.h") / 5000, 0.4, 1.0).alias("area"),
                                     (F.col("box.x") <= 3).alias("clipped"), F.when(F.col("part") % 4 == 0, 1.0).when(F.col("part") % 4 == 1, 0.9).when(F.col("part") % 4 == 2, 0.55).otherwise(0.45).alias("facing"))
     cut = lambda f: F.when(F.col("clipped"), f).otherwise(1.0)
