@@ -19,6 +19,9 @@ MODULES = {
     "op8_sharding": "sharding",
     "op9_quality": "quality",
     "op10_decontamination": "decontaminate",
+    "op11_chat_format": "chat",
+    "op12_token_alignment": "align",
+    "op13_vector_codes": "annular",
 }
 
 
