@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens by their bytes, in relational steps.
 
-Documents are dealt out by a row number before anything grows, so all steps up to a document's links keep its
-rows in one partition and no token is ever shuffled. Both tokenizers' tokens are exploded with their positions; windowed
+Documents' ids are dealt out by a row number before they are exploded, so a token is shuffled as two bytes of an array (four for
+larger vocabularies), and all steps up to a document's links keep its rows in one partition. Both tokenizers' tokens are exploded with their positions; windowed
 cumulative lengths give the byte at which each token ends. The equi-join on document and end is a merge of both sides in order of
 their ends: a row that has the other side's end before it is a cut, because on each side every end occurs once. The
 running count of cuts is the number of a token's group. Tokens meet in a group join: the different ids of both sides, each with
@@ -17,7 +17,6 @@ tokens; repeated rows and keys are documents of their own, null keys too; empty
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.bpe import PATTERN, byte_letters
-from lumenframe.llm.shared import materialize, only, small
+from lumenframe.llm.shared import freed, materialize, only, small
 
 #: Characters of texts whose tokens are held at a time in a worker.
 BLOCK_CHARS = 1_000_000
-TOKENS = "struct<n_a: int, ids: array<int>, lens: array<int>>"
+#: Vocabularies of up to so many tokens have ids of two bytes, less half of it.
+SHORT_IDS = 1 << 16
 
 
 class Pair:
@@ -58,15 +58,19 @@ class Pair:
         text = model.id_to_piece(i)
         return bytes([int(text[3:5], 16)]) if model.is_byte(i) else text.replace("▁", " ").encode()
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Ids and lengths in bytes of both sides; nothing where either side's bytes are not those of space+text."""
+    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Ids of both sides; nothing where either side's bytes are not those of space+text."""
         if not text:
-            return [], [], [], []
-        a, b = self.encode_a(" " + text), self.encode_b(text)
-        some_a, some_b, want = [*map(self.bytes_a.__getitem__, a)], [*map(self.bytes_b.__getitem__, b)], (" " + text).encode()
-        if b"".join(some_a) != want or b"".join(some_b) != want:
-            return [], [], [], []
-        return a, [*map(len, some_a)], b, [*map(len, some_b)]
+            return [], []
+        a, b, want = self.encode_a(" " + text), self.encode_b(text), (" " + text).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
+            return [], []
+        return a, b
+
+    def lengths(self) -> tuple[int, list[tuple[int, int]]]:
+        """How far A's ids go, and (code, length in bytes) of every token; codes are A's ids, and B's behind them."""
+        most = max(self.bytes_a, default=-1) + 1
+        return most, [*((i, len(b)) for i, b in self.bytes_a.items()), *((most + i, len(b)) for i, b in enumerate(self.bytes_b))]
 
 
 @lru_cache(1)
@@ -74,44 +78,46 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def tokens(text: Column, a_path: str, b_path: str) -> Column:
-    """n_a, and the ids and lengths of A's and then B's tokens."""
+def encoded(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(row, key, n_a, ids): A's and then B's ids of (row, key, text)."""
+    a_size, codes = pair(a_path, b_path).lengths()
+    short = max(a_size, len(codes) - a_size) <= SHORT_IDS
+    kind, less = (np.int16, SHORT_IDS // 2) if short else (np.int32, 0)
 
-    def block(some: list[str | None]) -> pa.Array:
-        n_a, sizes, ids, lens = [], [], [], []
-        for t in some:
-            a, len_a, b, len_b = pair(a_path, b_path).tokens(t)
-            n_a.append(len(a))
-            sizes.append(len(a) + len(b))
-            ids += [np.array(a, np.int32), np.array(b, np.int32)]
-            lens += [np.array(len_a, np.int32), np.array(len_b, np.int32)]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*x, np.empty(0, np.int32)]))) for x in (ids, lens)]
-        return pa.StructArray.from_arrays([pa.array(n_a, pa.int32()), *lists], ["n_a", "ids", "lens"])
+    def block(row, key, some: list[str | None]) -> pa.RecordBatch:
+        found = [pair(a_path, b_path).tokens(t) for t in some]
+        ids = np.concatenate([np.empty(0, kind), *[(np.array(x, np.int32) - less).astype(kind) for ab in found for x in ab]])
+        ends = np.cumsum([0, *[len(a) + len(b) for a, b in found]]).astype(np.int32)
+        n_a = pa.array([len(a) for a, _ in found], pa.int32())
+        return pa.RecordBatch.from_arrays([row, key, n_a, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["row", "key", "n_a", "ids"])
 
-    @F.arrow_udf(TOKENS)
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches):
         for batch in batches:
+            row, key, text = batch.columns
             some, held = [], 0
-            for value in batch:
+            for i, value in enumerate(text):
                 some.append(value.as_py())
                 held += len(some[-1] or "")
-                if held >= BLOCK_CHARS:
-                    yield block(some)
+                if held >= BLOCK_CHARS or i == len(text) - 1:
+                    start = i + 1 - len(some)
+                    yield block(row.slice(start, len(some)), key.slice(start, len(some)), some)
                     some, held = [], 0
-            if some or not len(batch):
-                yield block(some)
 
-    return of(text)
+    schema = f"row long, key {rows.schema['key'].dataType.simpleString()}, n_a int, ids array<{'smallint' if short else 'int'}>"
+    told = rows.mapInArrow(freed(run), schema)
+    return told.repartition("row").withColumn("less", F.lit(less))
 
 
 def grouped(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, key, g, a, b): the ids of both sides' tokens of every group, in order. A document without tokens has one row with empty lists."""
-    rows = only(docs, key, text).toDF("key", "text").withColumn("row", F.monotonically_increasing_id()).repartition("row")
-    told = rows.select("row", "key", tokens(F.col("text"), a_path, b_path).alias("t"))
-    each = told.select("row", "key", "t.n_a", "t.lens", F.posexplode_outer("t.ids").alias("pos", "id"))
-    each = each.select("row", "key", (F.col("pos") >= F.col("n_a")).alias("is_b"), "pos", "id", F.get("lens", "pos").alias("len"))
-    ends = each.withColumn("end", F.sum("len").over(Window.partitionBy("row", "is_b").orderBy("pos"))).drop("pos", "len")
+    rows = only(docs, key, text).toDF("key", "text").select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    a_size, codes = pair(a_path, b_path).lengths()
+    lengths = F.broadcast(docs.sparkSession.createDataFrame(codes, "code int, len int"))  # a row for each token of the vocabularies
+    each = encoded(rows, a_path, b_path).select("row", "key", "n_a", "less", F.posexplode_outer("ids").alias("pos", "id"))
+    each = each.select("row", "key", (F.col("pos") >= F.col("n_a")).alias("is_b"), "pos", (F.col("id").cast("int") + F.col("less")).alias("id"))
+    each = each.withColumn("code", F.col("id") + F.when(F.col("is_b"), a_size).otherwise(0)).join(lengths, "code", "left")
+    before = Window.partitionBy("row", "is_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = each.select("row", "key", "is_b", "id", F.sum("len").over(before).alias("end"))
     merged = Window.partitionBy("row").orderBy("end", "is_b")
     cuts = ends.withColumn("cut", F.coalesce(F.col("end") == F.lag("end").over(merged), F.lit(False)).cast("int"))
     found = cuts.withColumn("g", F.sum("cut").over(merged.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cut"))
@@ -123,7 +129,7 @@ def grouped(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
 
 
 def linked(a: Column, b: Column) -> Column:
-    """A group's links as (pair, n): both ids in one integer, and how many pairs of occurrences there are."""
+    """A group's links as (a, b, n): both ids, and how many pairs of occurrences there are."""
 
     def times(ids: Column, x: Column) -> Column:
         return (F.size(ids) - F.size(F.array_remove(ids, x))).cast("long")
@@ -131,13 +137,13 @@ def linked(a: Column, b: Column) -> Column:
     return F.flatten(
         F.transform(
             F.array_distinct(a),
-            lambda x: F.transform(F.array_distinct(b), lambda y: F.struct((F.shiftleft(x.cast("long"), 32) + y).alias("pair"), (times(a, x) * times(b, y)).alias("n"))),
+            lambda x: F.transform(F.array_distinct(b), lambda y: F.struct(x.alias("a"), y.alias("b"), (times(a, x) * times(b, y)).alias("n"))),
         )
     )
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, n_a, n_b, n_groups, n_links, groups, links) of every document; groups is its text, links are (pair, n)."""
+    """(row, key, n_a, n_b, n_groups, n_links, groups, links) of every document; groups is its text, links are (a, b, n)."""
     told = F.concat_ws("|", F.array_join("a", ","), F.array_join("b", ","))
     each = grouped(docs, a_path, b_path, key, text).select(
         "row", "g", "key", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.when(F.size("a") > 0, told).alias("told"), linked(F.col("a"), F.col("b")).alias("links")
@@ -153,16 +159,22 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     )
 
 
+def packed(a: Column, b: Column) -> Column:
+    """Both ids in one integer."""
+    return F.shiftleft(a.cast("long"), 32) + b
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, docs, best): in how many documents each id pair is linked, and whether no other pair of its A id is in more."""
-    counts = aligned.select(F.explode(F.array_distinct(F.transform("links", lambda x: x["pair"]))).alias("pair")).groupBy("pair").agg(F.count("*").alias("docs"))
+    pairs = F.array_distinct(F.transform("links", lambda x: packed(x["a"], x["b"])))
+    counts = aligned.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("docs"))
     most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     return counts.select("pair", "docs", (F.col("docs") == most).alias("best"))
 
 
 def scored(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     """aligned with n_best and count_sum in place of links."""
-    links = aligned.select("row", F.explode("links").alias("x")).select("row", "x.pair", "x.n")
+    links = aligned.select("row", F.explode("links").alias("x")).select("row", packed(F.col("x.a"), F.col("x.b")).alias("pair"), "x.n")
     sums = links.join(small(counts), "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
     return aligned.drop("links").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
 

@@ -70,7 +70,8 @@ def test_no_chats(spark):
 def brute_align(texts):
     pair, told, held = align.pair(*align.default_paths()), [], Counter()
     for t in texts:
-        a, la, b, lb = pair.tokens(t)
+        a, b = pair.tokens(t)
+        la, lb = [len(pair.bytes_a[x]) for x in a], [len(pair.bytes_b[x]) for x in b]
         ends_a, ends_b = np.cumsum(la).tolist(), np.cumsum(lb).tolist()
         cuts = sorted(set(ends_a) & set(ends_b))
         groups = [([], []) for _ in cuts]
@@ -103,6 +104,7 @@ def test_alignment_of_odd_documents(spark, odd_docs, no_docs, few, monkeypatch):
     if not few:
         monkeypatch.setattr(align, "small", lambda df: df)
         monkeypatch.setattr(align, "BLOCK_CHARS", 50)
+        monkeypatch.setattr(align, "SHORT_IDS", 1_000)
     hard = [(70, " two  spaces \n\t x"), (71, "▁ is no space"), (72, "<|endoftext|> <s> </s> <0x41>"), (73, "\U0001f600é日本 x"), (74, "a" * 5_000), (74, "a" * 5_000), (75, "ab" * 3_000), (76, "\x00")]
     docs = odd_docs.select("doc_id", "text", "score", "at", "n").union(spark.createDataFrame([(k, t, "s", "a", "n") for k, t in hard], "doc_id long, text string, score string, at string, n string"))
     aligned = align.align(docs, *align.default_paths()).withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).checkpoint()
