@@ -31,6 +31,8 @@ from lumenframe.llm.shared import freed, materialize, only, small
 BLOCK_CHARS = 1_000_000
 #: Vocabularies of up to so many tokens have ids of two bytes, less half of it.
 SHORT_IDS = 1 << 16
+#: Bytes of text whose tokens one task sorts, about, so that they fit into its memory; partitions at most, beyond which sorts spill.
+TASK_BYTES, MOST_TASKS = 4_000_000, 100_000
 
 
 class Pair:
@@ -104,8 +106,9 @@ def encoded(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     some, held = [], 0
 
     schema = f"row long, key {rows.schema['key'].dataType.simpleString()}, n_a int, ids array<{'smallint' if short else 'int'}>"
-    told = rows.mapInArrow(freed(run), schema)
-    return told.repartition("row").withColumn("less", F.lit(less))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = min(max(-(-size // TASK_BYTES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
+    return rows.mapInArrow(freed(run), schema).repartition(tasks, "row").withColumn("less", F.lit(less))
 
 
 def grouped(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
