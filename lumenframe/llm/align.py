@@ -32,7 +32,7 @@ BLOCK_CHARS = 1_000_000
 #: Vocabularies of up to so many tokens have ids of two bytes, less half of it.
 SHORT_IDS = 1 << 16
 #: Bytes of text whose tokens one task sorts, about, so that they fit into its memory; partitions at most, beyond which sorts spill.
-TASK_BYTES, MOST_TASKS = 4_000_000, 100_000
+TASK_BYTES, MOST_TASKS = 1_000_000, 100_000
 
 
 class Pair:
