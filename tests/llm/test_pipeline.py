@@ -53,9 +53,24 @@ def test_stages_take_odd_documents(odd_docs, no_docs, spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, D)
             assert out.columns == docs.columns and out.count() <= docs.count()
-    kept = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, odd_docs, D).collect()]
-    texts = sorted({(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id is not None}, key=lambda r: r[0])
-    assert sorted(k for k in kept if k is not None) == [texts[i][0] for i, _, c in brute([t for _, t in texts], 5, 80) if i == c]
+    rows = sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in odd_docs.collect())
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in corpus_pipeline.near_dedup_stage(spark, odd_docs, D).collect())
+    assert got == [rows[i] for i, _, c in brute([t for _, t in rows], 5, 80) if i == c]
+
+
+def test_rows_are_judged_and_not_ids(spark):
+    """Unlike texts under one id all stay, rows without an id are judged, and of near texts the least id stays."""
+    kind = "doc_id long, text string, lang string"
+    texts = ["one two three four five six seven", "a b c d e f g h", "red green blue white black grey", "up down left right near far"]
+    docs = spark.createDataFrame([(1, texts[0], "en"), (1, texts[1], "en"), (2, texts[2], "en"), (2, texts[2], "de"), (3, texts[3], "en")], kind)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, D).collect()]
+    assert sorted(got) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3])])
+    nulls = spark.createDataFrame([(None, texts[0], "en"), (None, texts[0], "en"), (None, texts[1], "en"), (9, texts[1], "en"), (4, None, "en"), (4, None, "en"), (4, "", "en")], kind)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, nulls.repartition(3), D).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, texts[0]), (9, texts[1]), (4, None), (4, None), (4, "")]))
+    item = spark.read.parquet(f"{D}/benchmark.parquet").where("text IS NOT NULL").first().text
+    docs = spark.createDataFrame([(None, item, "en"), (5, item, "en"), (5, "clean words only", "en")], kind)
+    assert [r.text for r in corpus_pipeline.decontaminate_stage(spark, docs, D).collect()] == ["clean words only"]
 
 
 def test_language_stage_drops_unlearned_texts(spark):
