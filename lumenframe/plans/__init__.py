@@ -9,7 +9,7 @@ from lumenframe.sources.ship import ship
 
 FLAGSHIP = "gallery_dual_gate"
 #: Modules with QUERIES: name -> (query, SQL or None).
-FAMILIES = ("vectors", "tracks", "evaluation", "boxes", "colours", "texts", "streams", "poses", "regions", "brands", "decoders", "motion", "life")
+FAMILIES = ("vectors", "tracks", "evaluation", "boxes", "colours", "texts", "streams", "poses", "regions", "brands", "decoders", "motion", "life", "live")
 
 
 def _all() -> dict:

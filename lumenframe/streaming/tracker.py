@@ -179,7 +179,8 @@ class Tracker:
 def track_stream(detections: DataFrame, options: Options = Options(), event_time: str | None = None) -> DataFrame:
     """Track rows of a stream (source, frame, x, y, w, h); a frame without boxes has one row with null x.
 
-    Columns dx, dy, reliable and high may tell how the camera moved. With event_time, a timestamp column under a watermark,
+    Columns dx, dy, reliable and high may tell how the camera moved. Where a boolean column reset is true, the source's tracks and
+    ids are forgotten before that frame. With event_time, a timestamp column under a watermark,
     tracks of a source that falls silent end after the timeout, when the watermark of the whole stream has passed it.
     """
     boxes, moves = ["x", "y", "w", "h"], [c for c in ("dx", "dy", "reliable", "high") if c in detections.columns]
@@ -199,6 +200,8 @@ def track_stream(detections: DataFrame, options: Options = Options(), event_time
                 seen_s = pd.Timestamp(group[event_time].max()).timestamp() if event_time else None
                 last_s = max(last_s, seen_s or 0.0)
                 motion = Motion(**group[moves].iloc[0].to_dict()) if moves else STILL
+                if "reset" in group and group["reset"].any():
+                    tracker = Tracker(options, last_frame=int(frame) - 1)
                 found = tracker.advance(int(frame), group[boxes].dropna().to_numpy(float), seen_s, motion)
                 out += [(key[0], int(frame), t, p, s, *b) for t, p, s, b in found]
             packed = [[float(t.track_id), float(t.person_id), float(t.hits), float(t.misses), *map(float, t.box), t.seen_s] for t in tracker.tracks]
