@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A match may switch ids if it moved far with little overlap, changed its size with little overlap, or
+#: was missed for some frames and moved while the camera's motion is not known.
+SWITCH_IOU, SWITCH_MOVED, SWITCH_AREA, SWITCH_AREA_IOU, SWITCH_MISSED, SWITCH_LOST_MOVED = 0.15, 0.28, 1.90, 0.20, 2, 0.20
+
 
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), h.cast("double").alias("h"))
@@ -27,13 +31,9 @@ def centre_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.pow(a.x + a.w / 2 - b.x - b.w / 2, 2) + F.pow(a.y + a.h / 2 - b.y - b.h / 2, 2))
 
 
-def diagonal(a: Column) -> Column:
-    return F.greatest(F.sqrt(a.w * a.w + a.h * a.h), F.lit(1.0))
-
-
 def displacement(a: Column, b: Column) -> Column:
-    """Distance of the centres in diagonals of the first box."""
-    return centre_distance(a, b) / diagonal(a)
+    """Distance of the centres in heights of the first box."""
+    return centre_distance(a, b) / F.greatest(a.h, F.lit(1.0))
 
 
 def area_ratio(a: Column, b: Column) -> Column:
@@ -64,7 +64,18 @@ def shifted(a: Column, dx: Column, dy: Column) -> Column:
     return box(a.x + dx, a.y + dy, a.w, a.h)
 
 
-def match_score(overlap: Column, moved: Column, limit: float, least_iou: float) -> Column:
-    """Overlap path: .7 overlap, .3 nearness; else, within the limit, .6 nearness and .4 overlap; else null."""
-    near = F.greatest(F.lit(0.0), 1 - moved / limit)
-    return F.when(overlap >= least_iou, 0.7 * overlap + 0.3 * near).when(moved <= limit, 0.6 * near + 0.4 * overlap)
+def moved_limit(limit: float, missed: Column) -> Column:
+    """How far a track may move: less for each frame that it was missed, down to half."""
+    return limit * F.when(missed > 0, F.greatest(F.lit(0.5), 1 - 0.2 * missed)).otherwise(1.0)
+
+
+def match_score(overlap: Column, moved: Column, alike: Column, missed: Column, limit: Column, least_iou: float, proximity: int) -> Column:
+    """Overlap path: .7 overlap, .3 nearness; else, for what was not missed for long, .6 nearness within the limit and .4 overlap; else null."""
+    by_overlap, near = alike & (moved <= 1.5 * limit), alike & (missed <= proximity) & (moved <= limit)
+    score = F.when(by_overlap, 0.7 * overlap + 0.3 * F.greatest(F.lit(0.0), 1 - moved))
+    return F.when(overlap >= least_iou, score).when(near, 0.6 * F.greatest(F.lit(0.0), 1 - moved / limit) + 0.4 * overlap)
+
+
+def may_switch(overlap: Column, moved: Column, ratio: Column, missed: Column, known_motion: Column) -> Column:
+    far = (overlap < SWITCH_IOU) & (moved > SWITCH_MOVED)
+    return far | ((ratio > SWITCH_AREA) & (overlap < SWITCH_AREA_IOU)) | ((missed >= SWITCH_MISSED) & (moved > SWITCH_LOST_MOVED) & ~known_motion)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Observations of a rolling window, least count, margin and consensus of a stable state.
-WINDOW, LEAST_COUNT, LEAST_MARGIN, LEAST_CONSENSUS = 10, 5, 0.08, 0.65
+WINDOW, LEAST_COUNT, LEAST_MARGIN, LEAST_CONSENSUS = 10, 5, 0.12, 0.65
 
 
 def reliability(quality: Column, margin: Column, scale: float) -> Column:
@@ -66,15 +66,19 @@ def top_k(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def running_evidence(obs: DataFrame, track: str, order: list[str], positive: Column, negative: Column, confidence: Column, need_positive: int, need_negative: int) -> DataFrame:
-    """Running counts of evidence for and against, the greatest confidence so far, and the state they give."""
+def running_evidence(obs: DataFrame, track: str, order: list[str], positive: Column, negative: Column, confidence: Column, need_positive: int, need_negative: int, visible: Column | None = None) -> DataFrame:
+    """Running counts of evidence for and against, the greatest confidence so far, and the state they give.
+
+    Without any evidence, what is not visible is told apart from what was seen too badly.
+    """
     w = Window.partitionBy(track).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = obs.withColumns({
         "positives": F.sum(positive.cast("int")).over(w), "negatives": F.sum(negative.cast("int")).over(w),
         "best": F.coalesce(F.max(F.when(positive, confidence)).over(w), F.lit(0.0)),
     })
     p, n = F.col("positives"), F.col("negatives")
-    state = F.when(p >= need_positive, "Detected").when(n >= need_negative, "NotDetected").when(p > 0, "Candidate").when(n > 0, "Analyzing").otherwise("InsufficientEvidence")
+    state = F.when(p >= need_positive, "Detected").when(n >= need_negative, "NotDetected").when(p > 0, "Candidate").when(n > 0, "Analyzing")
+    state = state.otherwise("InsufficientEvidence") if visible is None else state.when(~visible, "NotVisible").otherwise("InsufficientEvidence")
     return rows.withColumn("state", state)
 
 

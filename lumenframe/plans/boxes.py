@@ -11,6 +11,7 @@ from lumenframe.functions import geometry as G
 from lumenframe.functions import rules
 from lumenframe.operators import assign
 from lumenframe.sources.tables import DETECTIONS_SQL, detections
+from lumenframe.streaming.tracker import Options
 
 IOU_SQL = """CASE WHEN iw > 0 AND ih > 0 THEN iw * ih / (a.w * a.h + b.w * b.h - iw * ih) ELSE 0 END"""
 PAIRS_SQL = f"""{DETECTIONS_SQL}, pr AS (SELECT a.frame, a.det AS a_det, b.det AS b_det, a.w AS aw, a.h AS ah, b.w AS bw, b.h AS bh,
@@ -47,17 +48,27 @@ BEST = f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY fra
 SELECT det.frame, det.det AS a_det, coalesce(max(r.b_det), -1) AS b_det, round(max(coalesce(r.iou, 0)), 4) AS iou FROM det LEFT JOIN r ON r.frame = det.frame AND r.a_det = det.det AND r.k = 1 GROUP BY 1, 2"""
 
 
+#: The tracker's gates; how long the first box was missed and whether the camera's motion is known follow from its number and the frame.
+TRACK = Options()
+MISSED, KNOWN = "CAST(a_det % 4 AS INT)", "frame % 2 = 0"
+
+
 def box_metrics(spark, d):
+    """How two boxes of a frame would match as a track and a detection: the tracker's formulas and gates as columns."""
     a, b = F.col("a"), F.col("b")
-    moved = G.displacement(a, b)
-    risky = (moved > 1.2) | (G.area_ratio(a, b) > 2.2) | (F.abs(G.aspect(a) - G.aspect(b)) > 0.8)
-    return _pairs(spark, d).select("frame", "a_det", "b_det", _round(moved).alias("moved"), _round(G.area_ratio(a, b)).alias("ratio"), _round(F.abs(G.aspect(a) - G.aspect(b))).alias("aspect_gap"),
-                                   _round(G.match_score(F.col("iou"), moved, 0.35, 0.25)).alias("score"), risky.alias("risky"))
+    m = _pairs(spark, d).select("*", G.displacement(a, b).alias("moved"), G.area_ratio(a, b).alias("ratio"), F.abs(G.aspect(a) - G.aspect(b)).alias("gap"), F.expr(MISSED).alias("missed"), F.expr(KNOWN).alias("known"))
+    alike = (F.col("ratio") <= TRACK.area) & (F.col("gap") <= TRACK.aspect)
+    score = G.match_score(F.col("iou"), F.col("moved"), alike, F.col("missed"), G.moved_limit(TRACK.displacement, F.col("missed")), TRACK.iou, TRACK.proximity)
+    risky = score.isNotNull() & G.may_switch(F.col("iou"), F.col("moved"), F.col("ratio"), F.col("missed"), F.col("known"))
+    return m.select("frame", "a_det", "b_det", _round(F.col("moved")).alias("moved"), _round(F.col("ratio")).alias("ratio"), _round(F.col("gap")).alias("aspect_gap"), _round(score).alias("score"), risky.alias("risky"))
 
 
-METRICS = f"""WITH {PAIRS_SQL}, m AS (SELECT *, dist / greatest(sqrt(aw * aw + ah * ah), 1) AS moved, greatest(aw * ah, bw * bh) / least(aw * ah, bw * bh) AS ratio, abs(aw / ah - bw / bh) AS gap FROM io)
-SELECT frame, a_det, b_det, round(moved + 1e-9, 4) AS moved, round(ratio + 1e-9, 4) AS ratio, round(gap + 1e-9, 4) AS aspect_gap,
- round(CASE WHEN iou >= 0.25 THEN 0.7 * iou + 0.3 * greatest(0, 1 - moved / 0.35) WHEN moved <= 0.35 THEN 0.6 * greatest(0, 1 - moved / 0.35) + 0.4 * iou END + 1e-9, 4) AS score, moved > 1.2 OR ratio > 2.2 OR gap > 0.8 AS risky FROM m"""
+METRICS = f"""WITH {PAIRS_SQL}, m AS (SELECT *, dist / greatest(ah, 1) AS moved, greatest(aw * ah, bw * bh) / least(aw * ah, bw * bh) AS ratio, abs(aw / ah - bw / bh) AS gap, {MISSED} AS missed, {KNOWN} AS known FROM io),
+g AS (SELECT *, {TRACK.displacement} * CASE WHEN missed > 0 THEN greatest(0.5, 1 - 0.2 * missed) ELSE 1 END AS lim, ratio <= {TRACK.area} AND gap <= {TRACK.aspect} AS alike FROM m),
+s AS (SELECT *, CASE WHEN iou >= {TRACK.iou} THEN CASE WHEN alike AND moved <= 1.5 * lim THEN 0.7 * iou + 0.3 * greatest(0, 1 - moved) END
+ WHEN alike AND missed <= {TRACK.proximity} AND moved <= lim THEN 0.6 * greatest(0, 1 - moved / lim) + 0.4 * iou END AS score FROM g)
+SELECT frame, a_det, b_det, round(moved + 1e-9, 4) AS moved, round(ratio + 1e-9, 4) AS ratio, round(gap + 1e-9, 4) AS aspect_gap, round(score + 1e-9, 4) AS score, score IS NOT NULL AND
+ ((iou < {G.SWITCH_IOU} AND moved > {G.SWITCH_MOVED}) OR (ratio > {G.SWITCH_AREA} AND iou < {G.SWITCH_AREA_IOU}) OR (missed >= {G.SWITCH_MISSED} AND moved > {G.SWITCH_LOST_MOVED} AND NOT known)) AS risky FROM s"""
 
 
 def clamp_box(spark, d):
@@ -106,7 +117,7 @@ CANDIDATES = [
 CANDIDATE = f"WITH {DETECTIONS_SQL}, c AS (SELECT *, CAST(quantity % 6 AS INT) AS points FROM det) SELECT frame, det, {rules.first_match_sql(CANDIDATES, 'Weak')} AS verdict FROM c"
 
 #: Crop thresholds, in the order in which they are tested.
-CROP = [("LowConfidence", "confidence < 0.45"), ("Narrow", "w < 50"), ("Short", "h < 90"), ("Small", "w * h < 5000"), ("Blurry", "sharp < 25")]
+CROP = [("LowConfidence", "confidence < 0.40"), ("Narrow", "w < 40"), ("Short", "h < 80"), ("Small", "w * h < 3200"), ("Blurry", "sharp < 35")]
 
 
 def quality_gate(spark, d):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import rules
-from lumenframe.operators import votes
+from lumenframe.operators import masks, metrics, votes
 from lumenframe.sources.tables import table
 
 
@@ -66,18 +68,25 @@ n AS (SELECT border, {NAME} AS name FROM (SELECT *, round(C * cos(radians(H)), 6
 SELECT border, string_agg(DISTINCT name, ',' ORDER BY name) AS names, CASE WHEN count(DISTINCT name) <= 2 THEN 'Stable' ELSE 'Unstable' END AS state FROM n GROUP BY 1"""
 
 
+#: Fixed value: least pixels of a patch.
+PATCH_PIXELS = 30
+
+
 def patch_vote(spark, d):
-    """Upper medians of lightness in a 3 x 3 grid of patches with 10 pixels or more, then the majority of their names."""
+    """Upper medians of each channel in a 3 x 3 grid of patches with enough pixels, then the majority of their names."""
     px = _pixels(spark, d).withColumn("patch", F.least(F.floor(F.col("x") / 30), F.lit(2)) * 3 + F.least(F.floor(F.col("y") / 30), F.lit(2)))
-    w = Window.partitionBy("sample", "patch")
-    px = px.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("L", "a", "b", "x", "y"))}).where("n >= 10 AND k = cast(n div 2 as int) + 1")
-    named = px.select("sample", rules.first_match(rules.COLOUR_RULES, "Grey").alias("name"))
-    return votes.majority(named, ["sample"], "name")
+    by = ["sample", "patch"]
+    median = lambda c: metrics.values_at_ranks(px, by, c, {c: lambda n: F.floor(n / 2)})
+    found = median("L").where(F.col("n") >= PATCH_PIXELS).join(median("a").drop("n"), by).join(median("b").drop("n"), by)
+    found = found.withColumns({"C": rules.chroma(F.col("a"), F.col("b")), "H": rules.hue(F.col("a"), F.col("b"))})
+    return votes.majority(found.select("sample", rules.first_match(rules.COLOUR_RULES, "Grey").alias("name")), ["sample"], "name")
 
 
 PATCH = f"""WITH {PIXELS}, q AS (SELECT *, least(x // 30, 2) * 3 + least(y // 30, 2) AS patch FROM px),
-r AS (SELECT *, count(*) OVER (PARTITION BY sample, patch) AS n, row_number() OVER (PARTITION BY sample, patch ORDER BY L, a, b, x, y) AS k FROM q),
-m AS (SELECT sample, {NAME} AS name FROM r WHERE n >= 10 AND k = n // 2 + 1), c AS (SELECT sample, name, count(*) AS votes, row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, name) AS rk FROM m GROUP BY 1, 2)
+l AS (SELECT sample, patch, count(*) AS n, list_sort(list(L)) AS ls, list_sort(list(a)) AS sa, list_sort(list(b)) AS bs FROM q GROUP BY 1, 2),
+m0 AS (SELECT sample, ls[n // 2 + 1] AS L, sa[n // 2 + 1] AS a, bs[n // 2 + 1] AS b FROM l WHERE n >= {PATCH_PIXELS}),
+m1 AS (SELECT *, sqrt(a * a + b * b) AS C, (degrees(atan2(b, a)) + 360) % 360 AS H FROM m0),
+m AS (SELECT sample, {NAME} AS name FROM m1), c AS (SELECT sample, name, count(*) AS votes, row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, name) AS rk FROM m GROUP BY 1, 2)
 SELECT sample, name, votes FROM c WHERE rk = 1"""
 
 
@@ -160,17 +169,44 @@ def gray_world(spark, d):
 
 GRAY = f"WITH {PIXELS}, m AS (SELECT sample, avg(L) AS r, avg(a + 40) AS g, avg(b + 40) AS bl FROM px GROUP BY 1) SELECT sample, round((r + g + bl) / 3 / nullif(r, 0), 4) AS gain_r, round((r + g + bl) / 3 / nullif(g, 0), 4) AS gain_g, round((r + g + bl) / 3 / nullif(bl, 0), 4) AS gain_b FROM m"
 
-#: Reject rules of the colour gate by clipped share, median lightness, dynamic range and deviation.
-GATE = [("Clipped", "clip > 0.35"), ("TooDark", "med < 10"), ("TooBright", "med > 95"), ("Flat", "spread < 4"), ("Blurry", "sd < 2")]
+#: Reject rules of the colour gate by near-white and near-black share, median and range of lightness, sharpness, pixels, share of the mask and score.
+GATE = [
+    ("InsufficientValidPixels", "n < 20"),
+    ("OverexposureHighlightClipping", "white >= 0.55 AND med >= 88"),
+    ("UnderexposureShadowClipping", "black >= 0.75 AND med <= 7 AND spread < 8"),
+    ("SevereMotionBlurOrLowResolution", "sharp < 18 AND total < 3000"),
+    ("InsufficientGarmentMaskCoverage", "covered < 0.20"),
+    ("LowCompositeColorQuality", "score < 0.35"),
+]
+#: Lightness from which a pixel is near white, and up to which it is near black; the score of a crop.
+WHITE, BLACK = 94, 6
+PENALTY = "(CASE WHEN white > 0.40 THEN greatest(0.2, 1 - (white - 0.40) * 2.0) ELSE 1 END * CASE WHEN black > 0.65 THEN greatest(0.3, 1 - (black - 0.65) * 1.8) ELSE 1 END)"
+PARTS = "(least(greatest(total / 15000.0, 0.2), 1) * 0.25 + least(greatest(sharp / 120.0, 0.2), 1) * 0.30 + least(greatest(spread / 35.0, 0.2), 1) * 0.25 + least(greatest(covered / 0.50, 0.3), 1) * 0.20)"
+SCORE = f"least(greatest({PARTS} * {PENALTY}, 0.05), 1)"
+#: Crops by formula: some samples are bright, some dark; their masks cover less and less, and sharpness differs.
+LIT = "CASE sample % 7 WHEN 0 THEN 88 + L * 0.12 WHEN 1 THEN L * 0.06 ELSE L END"
+CROPS = ["n * (1 + sample % 6) AS total", "sample * 13 % 140 AS sharp"]
+
+
+def _doubles(sql: str, how: str = r"\1::DOUBLE") -> str:
+    """Numbers with a point as doubles, in the notation of SQL or (\\1D) of Spark."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)", how, sql)
 
 
 def color_quality_gate(spark, d):
-    m = _pixels(spark, d).groupBy("sample").agg((F.count_if((F.col("L") < 3) | (F.col("L") > 97)) / F.count("*")).alias("clip"), F.median("L").alias("med"), (F.max("L") - F.min("L")).alias("spread"), F.stddev_pop("L").alias("sd"))
-    return m.groupBy(rules.first_match(GATE, "Accepted").alias("verdict")).agg(F.count("*").alias("n"), F.round(F.avg("med"), 4).alias("mean_median"))
+    """Whether a sample's pixels can tell its colour: clipping, sharpness, coverage and a composite score."""
+    px = _pixels(spark, d).selectExpr("sample", f"cast({_doubles(LIT, r'\1D')} as double) AS L")
+    at = metrics.values_at_ranks(px, ["sample"], "L", {"low": lambda n: F.floor(n * 0.05), "med": lambda n: F.floor(n * 0.5), "high": lambda n: F.floor(n * 0.95)})
+    shares = px.groupBy("sample").agg((F.count_if(F.col("L") >= WHITE) / F.count("*")).alias("white"), (F.count_if(F.col("L") <= BLACK) / F.count("*")).alias("black"))
+    m = at.join(shares, "sample").selectExpr("*", *CROPS, "high - low AS spread").selectExpr("*", "n / total AS covered").selectExpr("*", _doubles(SCORE, r"\1D") + " AS score")
+    return m.select("sample", rules.first_match(GATE, "Accepted").alias("verdict"), F.round(F.col("med") + 1e-9, 4).alias("med"), F.round(F.col("spread") + 1e-9, 4).alias("spread"), F.round(F.col("score") + 1e-9, 4).alias("score"))
 
 
-QGATE = f"""WITH {PIXELS}, m AS (SELECT sample, count(*) FILTER (WHERE L < 3 OR L > 97)::DOUBLE / count(*) AS clip, median(L) AS med, max(L) - min(L) AS spread, stddev_pop(L) AS sd FROM px GROUP BY 1)
-SELECT {rules.first_match_sql(GATE, 'Accepted')} AS verdict, count(*) AS n, round(avg(med), 4) AS mean_median FROM m GROUP BY 1"""
+QGATE = f"""WITH {PIXELS}, z AS (SELECT sample, CAST({_doubles(LIT)} AS DOUBLE) AS L FROM px),
+l AS (SELECT sample, count(*) AS n, list_sort(list(L)) AS ls, count(*) FILTER (WHERE L >= {WHITE})::DOUBLE / count(*) AS white, count(*) FILTER (WHERE L <= {BLACK})::DOUBLE / count(*) AS black FROM z GROUP BY 1),
+m AS (SELECT sample, n, white, black, ls[CAST(floor(n * 0.05::DOUBLE) AS BIGINT) + 1] AS low, ls[CAST(floor(n * 0.5::DOUBLE) AS BIGINT) + 1] AS med, ls[CAST(floor(n * 0.95::DOUBLE) AS BIGINT) + 1] AS high, {", ".join(CROPS)} FROM l),
+q AS (SELECT *, high - low AS spread, n::DOUBLE / total AS covered FROM m), s AS (SELECT *, {_doubles(SCORE)} AS score FROM q)
+SELECT sample, {rules.first_match_sql(GATE, 'Accepted')} AS verdict, round(med + 1e-9, 4) AS med, round(spread + 1e-9, 4) AS spread, round(score + 1e-9, 4) AS score FROM s"""
 
 def hsv_vote(spark, d):
     """Every pixel named by the HSV rules, and the name with most pixels; Unknown below 15 pixels."""
@@ -220,7 +256,44 @@ def kmeans(spark, d, k: int = 3, turns: int = 10):
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("sample")), 4)).where("share >= 0.08")
 
 
+#: Masks by formula: a crop for each supplier, whose orders' lines set runs of pixels; larger crops for some, so that erosion leaves enough.
+MASK_W, MASK_H = "30 + sample % 4 * 10", "24 + sample % 3 * 12"
+
+
+def _mask(spark, d):
+    """(sample, x, y, L, a, b, width, height): a pixel is set once; each line sets a block of 9 x 9."""
+    li = _pixels(spark, d).selectExpr("sample", f"{MASK_W} AS width", f"{MASK_H} AS height", "x AS x0", "y AS y0")
+    at = li.selectExpr("sample", "width", "height", "x0 % width AS x0", "y0 % height AS y0", "explode(sequence(0, 80)) AS k")
+    at = at.selectExpr("sample", "width", "height", "x0 + k % 9 AS x", "y0 + k div 9 AS y").where("x < width AND y < height AND (x * 7 + y * 11 + sample) % 89 <> 0").distinct()
+    return at.selectExpr("*", "cast((x * 3 + y + sample) % 101 as double) AS L", "cast((x + sample) % 41 - 20 as double) AS a", "cast((y * 2 + sample) % 37 - 18 as double) AS b")
+
+
+def interior_colour(spark, d):
+    """The name of the upper medians of pixels well inside of each mask, and how many pixels erosion left."""
+    px = _mask(spark, d)
+    inner = masks.interior(px, "sample")
+    median = lambda c: metrics.values_at_ranks(inner, ["sample"], c, {c: lambda n: F.floor(n / 2)})
+    left = masks.eroded(px, "sample").groupBy("sample").agg(F.count("*").alias("eroded"))
+    m = median("L").join(median("a").drop("n"), "sample").join(median("b").drop("n"), "sample").join(left, "sample", "left").withColumns({"C": rules.chroma(F.col("a"), F.col("b")), "H": rules.hue(F.col("a"), F.col("b"))})
+    return m.select("sample", F.col("n").alias("pixels"), F.coalesce("eroded", F.lit(0)).alias("eroded"), "L", "a", "b", rules.first_match(rules.COLOUR_RULES, "Grey").alias("name"))
+
+
+INTERIOR = f"""WITH {PIXELS}, l AS (SELECT DISTINCT sample, {MASK_W} AS width, {MASK_H} AS height, x % ({MASK_W}) AS x0, y % ({MASK_H}) AS y0 FROM px),
+p AS (SELECT DISTINCT sample, width, height, x0 + k % 9 AS x, y0 + k // 9 AS y FROM l, range(81) r(k) WHERE x0 + k % 9 < width AND y0 + k // 9 < height AND ((x0 + k % 9) * 7 + (y0 + k // 9) * 11 + sample) % 89 <> 0),
+m AS (SELECT *, greatest(3, least(width, height) // 10) AS side, ((x * 3 + y + sample) % 101)::DOUBLE AS L, ((x + sample) % 41 - 20)::DOUBLE AS a, ((y * 2 + sample) % 37 - 18)::DOUBLE AS b FROM p),
+h AS (SELECT *, count(*) OVER (PARTITION BY sample, y ORDER BY x RANGE BETWEEN side // 2 PRECEDING AND side - 1 - side // 2 FOLLOWING) AS n FROM m),
+h1 AS (SELECT * EXCLUDE (n) FROM h WHERE n = least(x + side - 1 - side // 2, width - 1) - greatest(x - side // 2, 0) + 1),
+v AS (SELECT *, count(*) OVER (PARTITION BY sample, x ORDER BY y RANGE BETWEEN side // 2 PRECEDING AND side - 1 - side // 2 FOLLOWING) AS n FROM h1),
+e AS (SELECT * EXCLUDE (n) FROM v WHERE n = least(y + side - 1 - side // 2, height - 1) - greatest(y - side // 2, 0) + 1),
+k AS (SELECT sample, (SELECT count(*) FROM e WHERE e.sample = s.sample) AS eroded FROM (SELECT DISTINCT sample FROM m) s),
+i AS (SELECT sample, L, a, b FROM e UNION ALL SELECT m.sample, L, a, b FROM m JOIN k ON k.sample = m.sample AND k.eroded < 20
+ WHERE x >= floor(width * 0.30) AND x < floor(width * 0.70) AND y >= floor(height * 0.30) AND y < floor(height * 0.70)),
+g AS (SELECT sample, count(*) AS n, list_sort(list(L)) AS ls, list_sort(list(a)) AS sa, list_sort(list(b)) AS bs FROM i GROUP BY 1),
+g1 AS (SELECT sample, n, ls[n // 2 + 1] AS L, sa[n // 2 + 1] AS a, bs[n // 2 + 1] AS b FROM g), g2 AS (SELECT *, sqrt(a * a + b * b) AS C, (degrees(atan2(b, a)) + 360) % 360 AS H FROM g1)
+SELECT g2.sample, n AS pixels, eroded, L, a, b, {NAME} AS name FROM g2 JOIN k ON k.sample = g2.sample"""
+
 QUERIES = {
+    "interior_colour": (interior_colour, INTERIOR),
     "robust_lab_vote": (robust_lab_vote, ROBUST_VOTE),
     "color_rules": (color_rules, f"WITH {PIXELS} SELECT {NAME} AS name, count(*) AS n FROM px GROUP BY 1"),
     "simplified_rules": (simplified_rules, f"WITH {PIXELS} SELECT string_split({SIMPLE}, '/')[1] AS shade, string_split({SIMPLE}, '/')[2] AS family, count(*) AS n FROM px GROUP BY 1, 2"),

@@ -122,7 +122,7 @@ def watch_decision(spark, d):
 
 
 #: Fixed value: the least score of a watch.
-WATCH_T = 0.75
+WATCH_T = 0.50
 WATCH_STATUS = f"CASE WHEN l IS NULL AND r IS NULL THEN 'NotVisible' WHEN NOT model THEN 'ModelUnavailable' WHEN coalesce(l, 0.0) >= {WATCH_T} OR coalesce(r, 0.0) >= {WATCH_T} THEN 'WatchDetected' ELSE 'NoWatchDetected' END"
 WATCH_SIDE = f"CASE WHEN NOT model OR (l IS NULL AND r IS NULL) THEN NULL WHEN coalesce(l, 0.0) >= {WATCH_T} AND coalesce(r, 0.0) >= {WATCH_T} THEN 'Both' WHEN coalesce(l, 0.0) >= {WATCH_T} THEN 'Left' WHEN coalesce(r, 0.0) >= {WATCH_T} THEN 'Right' WHEN l IS NOT NULL AND r IS NOT NULL THEN 'Both inspected' WHEN l IS NOT NULL THEN 'Left inspected' ELSE 'Right inspected' END"
 WATCH = f"""WITH {SCORES_SQL}, w AS (SELECT vec_id, vec_id % 11 <> 0 AS model, CASE WHEN vec_id % 3 <> 0 THEN list_max(list_slice(p, 1, 6)) END AS l, CASE WHEN vec_id % 4 <> 0 THEN list_max(list_slice(p, 7, 12)) END AS r FROM s)

@@ -13,7 +13,7 @@ from lumenframe.plans.boxes import CANDIDATES
 from lumenframe.sources.tables import DETECTIONS_SQL, detections, table
 
 #: Observations of a window, least observations, margin and consensus, least share that a category may have with a small margin, quality of the best pool.
-LAST, LEAST, MARGIN, CONSENSUS, SHARE, POOL = 10, 5, 0.10, 0.65, 0.45, 0.60
+LAST, LEAST, MARGIN, CONSENSUS, SHARE, POOL = 10, 5, 0.12, 0.65, 0.45, 0.60
 _Q = "least(value / 100.0, 1.0)"
 SEEN = [
     "event_id", "ts", "user_id AS track", "event_type AS category", f"{_Q} AS quality", "(event_id % 40) / 100.0 AS margin_in",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions import rules
 from lumenframe.functions.text import clock
 from lumenframe.operators import metrics, votes
 from lumenframe.sources.tables import table
@@ -118,13 +119,13 @@ SELECT s.track, n, event_id AS best_event, printf('%02d:%02d.%d', (tenths // 600
 
 
 def running_evidence_state(spark, d):
-    out = votes.running_evidence(_obs(spark, d), "track", ORDER, F.col("category") == "purchase", F.col("category") == "error", F.col("quality"), 3, 6)
+    out = votes.running_evidence(_obs(spark, d), "track", ORDER, F.col("category") == "purchase", F.col("category") == "error", F.col("quality"), 3, 5, F.col("event_id") % 5 != 0)
     return out.select("event_id", "positives", "negatives", F.round("best", 4).alias("best"), "state")
 
 
 EVIDENCE = f"""WITH {OBS}, r AS (SELECT event_id, count(*) FILTER (WHERE category = 'purchase') OVER w AS p, count(*) FILTER (WHERE category = 'error') OVER w AS n,
  coalesce(max(CASE WHEN category = 'purchase' THEN quality END) OVER w, 0) AS best FROM o WINDOW w AS (PARTITION BY track ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, p AS positives, n AS negatives, round(best, 4) AS best, CASE WHEN p >= 3 THEN 'Detected' WHEN n >= 6 THEN 'NotDetected' WHEN p > 0 THEN 'Candidate' WHEN n > 0 THEN 'Analyzing' ELSE 'InsufficientEvidence' END AS state FROM r"""
+SELECT event_id, p AS positives, n AS negatives, round(best, 4) AS best, CASE WHEN p >= 3 THEN 'Detected' WHEN n >= 5 THEN 'NotDetected' WHEN p > 0 THEN 'Candidate' WHEN n > 0 THEN 'Analyzing' WHEN event_id % 5 = 0 THEN 'NotVisible' ELSE 'InsufficientEvidence' END AS state FROM r"""
 
 
 def contradiction_streak(spark, d):
@@ -218,20 +219,30 @@ def delete_anti(spark, d):
     return table(spark, d, "customer").join(gone, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("kept"))
 
 
+#: The frame that flow is looked for in, distance of an inlier, least points, share and points of a reliable motion, lengths up to which motion is none or moderate.
+FLOW_W, FLOW_H, INLIER, FLOW_LEAST, FLOW_SHARE, FLOW_POINTS, STILL, MODERATE = 160, 120, 2.0, 5, 0.40, 6, 4.0, 40.0
+#: Points of a track, by formula: lost ones and such as ran across the frame do not count. Frames are FLOW_SCALE times as large as the one that is looked at.
+FLOW_SCALE = 8
+POINTS = ["event_id % 9 <> 0 AS kept", "value % 17 / 4 + CASE WHEN event_id % 31 = 0 THEN 170 ELSE 0 END AS dx", "value % 11 / 4 + user_id % 3 AS dy"]
+USED = f"kept AND abs(dx) < {FLOW_W} AND abs(dy) < {FLOW_H}"
+MOTION = [("Unreliable", f"NOT (n >= {FLOW_POINTS} AND n >= {FLOW_LEAST} AND share >= {FLOW_SHARE})"), ("Stable", f"length < {STILL}"), ("ModerateMotion", f"length < {MODERATE}")]
+
+
 def flow_consensus(spark, d):
-    """Median motion of each track, share of points within 2 of it, and whether that is reliable."""
-    o = _obs(spark, d).select("track", (F.col("value") % 17).alias("dx"), (F.col("value") % 11).alias("dy"))
+    """Median motion of each track's usable points, share of points near it, whether that is reliable, and how large the motion is."""
+    o = table(spark, d, "events").selectExpr("user_id AS track", *POINTS).where(USED)
     med = metrics.percentile(o, ["track"], "dx", 0.5, "mx").join(metrics.percentile(o, ["track"], "dy", 0.5, "my"), "track").join(o.groupBy("track").agg(F.count("*").alias("n")), "track")
-    near = F.sqrt(F.pow(F.col("dx") - F.col("mx"), 2) + F.pow(F.col("dy") - F.col("my"), 2)) <= 2
-    out = o.join(med, "track").groupBy("track", "mx", "my", "n").agg(F.count_if(near).alias("inliers"))
-    share = F.col("inliers") / F.col("n")
-    return out.select("track", F.round("mx", 4).alias("mx"), F.round("my", 4).alias("my"), "inliers", F.round(share, 4).alias("share"), ((F.col("n") >= 5) & (share >= 0.1)).alias("reliable"))
+    near = F.sqrt(F.pow(F.col("dx") - F.col("mx"), 2) + F.pow(F.col("dy") - F.col("my"), 2)) <= INLIER
+    out = o.join(med, "track").groupBy("track", "mx", "my", "n").agg(F.count_if(near).alias("inliers")).withColumn("share", F.col("inliers") / F.col("n"))
+    out = out.withColumn("length", FLOW_SCALE * F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my")))
+    return out.select("track", F.round(F.col("mx") + 1e-9, 4).alias("mx"), F.round(F.col("my") + 1e-9, 4).alias("my"), "inliers", F.round("share", 4).alias("share"), rules.first_match(MOTION, "HighMotion").alias("motion"))
 
 
-FLOW = f"""WITH {OBS}, p AS (SELECT track, value % 17 AS dx, value % 11 AS dy FROM o),
+FLOW = f"""WITH p AS (SELECT * FROM (SELECT user_id AS track, {", ".join(POINTS).replace("/ 4", "/ 4.0::DOUBLE")} FROM events) WHERE {USED}),
 m AS (SELECT track, median(dx) AS mx, median(dy) AS my, count(*) AS n FROM p GROUP BY 1),
-x AS (SELECT track, mx, my, n, count(*) FILTER (WHERE sqrt((dx - mx) ** 2 + (dy - my) ** 2) <= 2) AS inliers FROM p JOIN m USING (track) GROUP BY ALL)
-SELECT track, round(mx, 4) AS mx, round(my, 4) AS my, inliers, round(inliers::DOUBLE / n, 4) AS share, n >= 5 AND inliers::DOUBLE / n >= 0.1 AS reliable FROM x"""
+x AS (SELECT track, mx, my, n, count(*) FILTER (WHERE sqrt((dx - mx) ** 2 + (dy - my) ** 2) <= {INLIER}) AS inliers FROM p JOIN m USING (track) GROUP BY ALL),
+y AS (SELECT *, inliers::DOUBLE / n AS share, {FLOW_SCALE} * sqrt(mx * mx + my * my) AS length FROM x)
+SELECT track, round(mx + 1e-9, 4) AS mx, round(my + 1e-9, 4) AS my, inliers, round(share, 4) AS share, {rules.first_match_sql(MOTION, 'HighMotion')} AS motion FROM y"""
 
 
 def error_stats(spark, d):
@@ -261,7 +272,7 @@ def map_get_default(spark, d):
 
 QUERIES = {
     "rolling_weighted_vote": (rolling_weighted_vote, f"WITH {ROLLED} SELECT event_id, top, round(share, 4) AS share, round(margin, 4) AS margin, round(consensus, 4) AS consensus, n FROM x"),
-    "lifecycle_state": (lifecycle_state, f"WITH {ROLLED} SELECT CASE WHEN n < 5 THEN 'Analyzing' WHEN round(margin, 9) < 0.08 OR round(consensus, 9) < 0.65 THEN 'Uncertain' ELSE 'Stable' END AS state, count(*) AS n FROM x GROUP BY 1"),
+    "lifecycle_state": (lifecycle_state, f"WITH {ROLLED} SELECT CASE WHEN n < 5 THEN 'Analyzing' WHEN round(margin, 9) < 0.12 OR round(consensus, 9) < 0.65 THEN 'Uncertain' ELSE 'Stable' END AS state, count(*) AS n FROM x GROUP BY 1"),
     "rolling_two_class": (rolling_two_class, TWO),
     "last3_pool_consensus": (last3_pool_consensus, LAST3),
     "topk_best_pool": (topk_best_pool, TOPK),

@@ -29,7 +29,7 @@ class Tracking:
 @dataclass(frozen=True)
 class Aggregation:
     least: int = 5
-    margin: float = 0.10
+    margin: float = 0.12
     consensus: float = 0.65
     window: int = 10
 
@@ -53,7 +53,7 @@ class Watch:
 
 @dataclass(frozen=True)
 class Sampling:
-    fps: float = 5.0
+    fps: float = 3.0
     fallback_fps: float = 30.0
 
 

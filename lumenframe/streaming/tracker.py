@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenframe.functions import geometry as G
 from lumenframe.operators.assign import greedy_pairs, iou_matrix
 
 
@@ -120,7 +121,8 @@ class Tracker:
         by_overlap = (overlap >= o.iou) & alike & (moved <= 1.5 * limit)
         near = (overlap < o.iou) & (missed <= o.proximity + (2 if motion.high else 0)) & alike & (moved <= limit)
         score = np.where(by_overlap, 0.7 * overlap + 0.3 * np.clip(1 - moved, 0, None), np.where(near, 0.6 * np.clip(1 - moved / limit, 0, None) + 0.4 * overlap, -1.0))
-        risky = ((overlap < 0.15) & (moved > 0.28)) | ((ratio > 1.9) & (overlap < 0.2)) | ((missed >= 2) & (moved > 0.2) & (not motion.reliable))
+        risky = (overlap < G.SWITCH_IOU) & (moved > G.SWITCH_MOVED) | (ratio > G.SWITCH_AREA) & (overlap < G.SWITCH_AREA_IOU)
+        risky |= (missed >= G.SWITCH_MISSED) & (moved > G.SWITCH_LOST_MOVED) & (not motion.reliable)
         return np.where(risky, -1.0, score)
 
     def advance(self, frame: int, boxes: np.ndarray, seen_s: float | None = None, motion: Motion = STILL) -> list[tuple]:
