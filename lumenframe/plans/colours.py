@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import rules
-from lumenframe.operators import masks, metrics, votes
+from lumenframe.operators import clusters, masks, metrics, votes
 from lumenframe.sources.tables import table
 
 
@@ -126,21 +126,52 @@ SELECT * FROM s WHERE share >= 0.08"""
 ROBUST = [("Black", "L < 22 AND C < 3.8"), ("Grey", "name = 'Black'")]
 
 
+def lab_clusters(spark, d):
+    """The clusters of each sample's colours, their shares and centres."""
+    found = clusters.kmeans(_pixels(spark, d), "sample")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("sample"))
+    return found.select("sample", "k", "n", F.round(share, 4).alias("share"), *[F.round(F.col(x) + 1e-9, 4).alias(f"mean_{x.lower()}") for x in "Lab"])
+
+
 def robust_lab_vote(spark, d):
-    """The named means of a sample's clusters vote by their shares."""
-    gap = [F.pow(F.col("L") - x, 2) + F.pow(F.col("a") - y, 2) + F.pow(F.col("b") - z, 2) for x, y, z in CENTRES]
-    px = _pixels(spark, d).withColumn("k", F.array_min(F.array(*[F.struct(g.alias("g"), F.lit(i).alias("i")) for i, g in enumerate(gap)])).i)
-    c = px.groupBy("sample", "k").agg(F.count("*").alias("n"), F.avg("L").alias("L"), F.avg("a").alias("a"), F.avg("b").alias("b"))
-    c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sample"))).where("share >= 0.08").withColumns({"C": rules.chroma(F.col("a"), F.col("b")), "H": rules.hue(F.col("a"), F.col("b"))})
+    """The named centres of a sample's clusters vote by their shares; small clusters have no vote."""
+    c = clusters.kmeans(_pixels(spark, d), "sample")
+    c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sample"))).where(F.col("share") >= clusters.SHARE).withColumns({"C": rules.chroma(F.col("a"), F.col("b")), "H": rules.hue(F.col("a"), F.col("b"))})
     c = c.withColumn("name", rules.first_match(rules.COLOUR_RULES, "Grey")).withColumn("vote", F.when(F.expr(ROBUST[0][1]), "Black").when(F.expr(ROBUST[1][1]), "Grey").otherwise(F.col("name")))
     v = c.groupBy("sample", "vote").agg(F.sum("share").alias("share")).groupBy("sample").agg(F.min(F.struct(F.round(-F.col("share"), 9).alias("neg"), "vote")).alias("v"))
     return v.select("sample", F.col("v.vote").alias("vote"), F.round(-F.col("v.neg"), 4).alias("share"))
 
 
-ROBUST_VOTE = f"""WITH {PIXELS}, g AS (SELECT *, {GAPS[0]} AS g0, {GAPS[1]} AS g1, {GAPS[2]} AS g2 FROM px),
-c0 AS (SELECT sample, CASE WHEN g0 <= g1 AND g0 <= g2 THEN 0 WHEN g1 <= g2 THEN 1 ELSE 2 END AS k, count(*) AS n, avg(L) AS L, avg(a) AS a, avg(b) AS b FROM g GROUP BY 1, 2),
-c AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY sample) AS share, sqrt(a * a + b * b) AS C, (degrees(atan2(b, a)) + 360) % 360 AS H FROM c0),
-n AS (SELECT *, {NAME} AS name FROM c WHERE share >= 0.08), v AS (SELECT sample, CASE WHEN {ROBUST[0][1]} THEN 'Black' WHEN {ROBUST[1][1]} THEN 'Grey' ELSE name END AS vote, sum(share) AS share FROM n GROUP BY 1, 2),
+def _gap_sql(p: str, q: str) -> str:
+    return "(" + " + ".join(f"({p}{x} - {q}{x}) * ({p}{x} - {q}{x})" for x in "Lab") + ")"
+
+
+def _seed_sql(n: int) -> str:
+    """One more seed for samples that have n so far and may have more."""
+    return f"""s{n} AS MATERIALIZED (SELECT * FROM s{n - 1} UNION ALL SELECT sample, {n} AS i, L, a, b FROM (
+  SELECT sample, L, a, b, row_number() OVER (PARTITION BY sample ORDER BY far DESC, L, a, b) AS r FROM (
+    SELECT pt.sample, pt.L, pt.a, pt.b, min({_gap_sql("pt.", "s.")}) AS far FROM pt JOIN s{n - 1} s USING (sample) JOIN sz ON sz.sample = pt.sample WHERE sz.k > {n} GROUP BY ALL)) WHERE r = 1)"""
+
+
+def _turn_sql(t: int) -> str:
+    """Centres t + 1 from centres t, for samples that still move."""
+    return f"""n{t} AS MATERIALIZED (SELECT sample, i, L, a, b, w FROM (SELECT pt.*, c.i, row_number() OVER (PARTITION BY pt.sample, pt.L, pt.a, pt.b ORDER BY {_gap_sql("pt.", "c.")}, c.i) AS r FROM pt JOIN c{t} c USING (sample) WHERE c.moves) WHERE r = 1),
+u{t} AS (SELECT sample, i, sum(L * w) / sum(w) AS L, sum(a * w) / sum(w) AS a, sum(b * w) / sum(w) AS b FROM n{t} GROUP BY 1, 2),
+v{t} AS (SELECT c.sample, c.i, coalesce(u.L, c.L) AS L, coalesce(u.a, c.a) AS a, coalesce(u.b, c.b) AS b, coalesce({_gap_sql("u.", "c.")}, 0) AS g FROM c{t} c LEFT JOIN u{t} u ON u.sample = c.sample AND u.i = c.i WHERE c.moves),
+c{t + 1} AS MATERIALIZED (SELECT sample, i, L, a, b, max(g) OVER (PARTITION BY sample) > {clusters.STILL} AS moves FROM v{t} UNION ALL SELECT sample, i, L, a, b, moves FROM c{t} WHERE NOT moves)"""
+
+
+CLUSTERED = f"""{PIXELS}, pt AS MATERIALIZED (SELECT sample, L, a, b, count(*) AS w FROM px GROUP BY ALL),
+sz AS (SELECT sample, greatest({clusters.LEAST}, least({clusters.CLUSTERS}, sum(w) // {clusters.EACH})) AS k FROM pt GROUP BY 1),
+s0 AS MATERIALIZED (SELECT sample, 0 AS i, L, a, b FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY L, a, b) AS r FROM pt) WHERE r = 1),
+{", ".join(_seed_sql(n) for n in range(1, clusters.CLUSTERS))}, c0 AS (SELECT *, true AS moves FROM s{clusters.CLUSTERS - 1}),
+{", ".join(_turn_sql(t) for t in range(clusters.TURNS))},
+cl AS (SELECT sample, i AS k, CAST(sum(w) AS BIGINT) AS n, any_value(cL) AS L, any_value(ca) AS a, any_value(cb) AS b FROM (
+  SELECT pt.sample, pt.w, c.i, c.L AS cL, c.a AS ca, c.b AS cb, row_number() OVER (PARTITION BY pt.sample, pt.L, pt.a, pt.b ORDER BY {_gap_sql("pt.", "c.")}, c.i) AS r FROM pt JOIN c{clusters.TURNS} c USING (sample)) WHERE r = 1 GROUP BY 1, 2)"""
+LAB_CLUSTERS = f"WITH {CLUSTERED} SELECT sample, k, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY sample), 4) AS share, round(L + 1e-9, 4) AS mean_l, round(a + 1e-9, 4) AS mean_a, round(b + 1e-9, 4) AS mean_b FROM cl"
+ROBUST_VOTE = f"""WITH {CLUSTERED},
+c AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY sample) AS share, sqrt(a * a + b * b) AS C, (degrees(atan2(b, a)) + 360) % 360 AS H FROM cl),
+n AS (SELECT *, {NAME} AS name FROM c WHERE share >= {clusters.SHARE}), v AS (SELECT sample, CASE WHEN {ROBUST[0][1]} THEN 'Black' WHEN {ROBUST[1][1]} THEN 'Grey' ELSE name END AS vote, sum(share) AS share FROM n GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(-share, 9), vote) AS k FROM v)
 SELECT sample, vote, round(share, 4) AS share FROM r WHERE k = 1"""
 
@@ -293,6 +324,7 @@ g1 AS (SELECT sample, n, ls[n // 2 + 1] AS L, sa[n // 2 + 1] AS a, bs[n // 2 + 1
 SELECT g2.sample, n AS pixels, eroded, L, a, b, {NAME} AS name FROM g2 JOIN k ON k.sample = g2.sample"""
 
 QUERIES = {
+    "lab_clusters": (lab_clusters, LAB_CLUSTERS),
     "interior_colour": (interior_colour, INTERIOR),
     "robust_lab_vote": (robust_lab_vote, ROBUST_VOTE),
     "color_rules": (color_rules, f"WITH {PIXELS} SELECT {NAME} AS name, count(*) AS n FROM px GROUP BY 1"),
