@@ -5,7 +5,7 @@ letters' vectors, each permuted (rotated) by its place; a text bundles (adds) th
 trigrams. A language's prototype is the sum of its training texts' unit vectors, rounded to integers so that
 the sum does not depend on the order. A text gets the language of the greatest cosine.
 
-Training reads at most about ``PER_LANGUAGE`` texts of each language, chosen by a hash.
+Training reads about ``PER_LANGUAGE`` different texts of each language at most, and one at least, chosen by a hash.
 
 The cosine to expect of a text grows with its size n, the number of trigrams that are not repeats: a language of spread k gives about
 1 / sqrt(1 + k / n). Spreads are medians over the training texts. A text that is unlike its language falls
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import freed, only, quoted
+from lumenframe.llm.shared import freed, quoted, sampled
 
 SYMBOLS, DIM, SEED = 64, 512, 20_240
 #: Training texts of each language, about; characters of a slice; trigrams whose vectors are held at once; texts
@@ -132,21 +132,9 @@ def space() -> Space:
     return Space()
 
 
-def sample(labelled: DataFrame, text: str, lang: str, per_language: int) -> DataFrame | None:
-    """The texts and languages to learn from, None without any."""
-    rows = only(labelled, text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, per_language / n)]), F.col(lang))
-    return rows.where((F.pmod(F.xxhash64(text), F.lit(1_000_000)) / 1e6) < share)
-
-
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
     """Prototypes of the languages in labelled rows."""
-    rows = sample(labelled, text, lang, per_language)
-    if rows is None:
-        return {}
+    rows = sampled(labelled, lang, text, per_language).select(text, lang)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -168,9 +156,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
 def spreads(labelled: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict[str, float]:
     """The spread of each language, from the rows that train reads."""
-    rows = sample(labelled, text, lang, per_language)
-    if rows is None:
-        return {}
+    rows = sampled(labelled, lang, text, per_language).select(text, lang)
 
     def run(batches):
         for batch in batches:

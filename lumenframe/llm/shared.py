@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 from lumenframe.sources.scratch import scratch_root
 from lumenframe.sources.ship import ship
 
-__all__ = ["ascii_lower", "drop_scratch", "freed", "materialize", "only", "quoted", "scratch_root", "ship", "small"]
+__all__ = ["ascii_lower", "drop_scratch", "freed", "materialize", "only", "quoted", "sampled", "scratch_root", "ship", "small"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -68,6 +68,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size.n <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
+def sampled(rows: DataFrame, of: str, text: str, most: int) -> DataFrame:
+    """One row of each text that a hash picks: about ``most`` different texts of each value of ``of``, and always one at least.
+
+    Repeated texts count once, before anything is picked, so neither copies nor the table's size change what a class is made of.
+    """
+    bits = 40
+    rows = only(rows, of, text).toDF("of", "text").where("of IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 64 - bits))
+    each = rows.select("of", "hash").distinct().groupBy("of").agg(F.count("*").alias("n"), F.min("hash").alias("least"))
+    cut = F.greatest("least", F.least(F.lit(most) / F.col("n"), F.lit(1.0)) * float(1 << bits))
+    picked = rows.join(small(each.select("of", cut.alias("cut"))), "of").where("hash <= cut")
+    return picked.dropDuplicates(["of", "hash"]).select(F.col("of").alias(of), F.col("text").alias(text))
+
+
 def quoted(name: str) -> str:
     """A column's name as it stands in a schema text."""
     return "`" + name.replace("`", "``") + "`"

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, html_text, imatch, langid, quality, toxicity
+from lumenframe.llm import bpe, html_text, imatch, langid, quality, shared, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -369,6 +369,12 @@ def test_quality_odd_inputs(spark, odd_docs, no_docs):
         assert quality.resample(thrice, labels, k=k).where("selected").count() == min(k, 39)
 
 
+def test_quality_refuses_names_it_sets(odd_docs, spark):
+    labels = spark.createDataFrame([(4, 1)], "doc_id long, quality int")
+    with pytest.raises(ValueError, match="log_weight, selected"):
+        quality.resample(odd_docs, labels, carry=("doc_id", "selected", "log_weight"))
+
+
 def test_quality_slices(monkeypatch):
     text = " ".join(f"w{i % 37}" for i in range(100))
     whole = np.sort(np.concatenate(list(quality.Grams()(text))))
@@ -457,6 +463,32 @@ def test_toxicity_training_is_bounded(spark, monkeypatch):
     assert 50 < sum(y == 0 for _, y in read[0]) < 400 and [t for t, y in read.pop() if y] in (["bad"], [])
 
 
+def test_sample_keeps_every_class(spark):
+    """A class of one text in many copies keeps it, whatever the text; the bound holds for different texts."""
+    for text in ("one", "two", "three", "four"):
+        rows = spark.range(10_000).selectExpr("'en' AS lang", f"'{text}' AS text").union(spark.range(9).selectExpr("'de'", "concat('t', id)")).union(spark.range(5_000).selectExpr("'fr'", "concat('f', id)"))
+        found = {r.lang: r.n for r in shared.sampled(rows, "lang", "text", 100).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        assert found["en"] == 1 and found["de"] == 9 and 50 < found["fr"] < 200
+    assert shared.sampled(rows.where("false"), "lang", "text", 100).count() == 0
+    assert set(langid.train(spark.createDataFrame([("hello there", "en")] * 500 + [("guten tag", "de")] * 3, "text string, lang string"), per_language=2)) == {"de", "en"}
+
+
+def test_long_pieces_are_streamed():
+    """One unbroken piece: what is held does not grow with it, besides copies of the text."""
+    import tracemalloc
+
+    codec, peaks = bpe.codec(bpe.default_path()), []
+    for n in (200_000, 800_000):
+        text = "ab" * (n // 2)
+        codec.digests(codec.encode(text[:50_000]))
+        tracemalloc.start()
+        size, ids, _ = codec.digests(codec.encode(text))
+        peaks.append(tracemalloc.get_traced_memory()[1] - 3 * n)
+        tracemalloc.stop()
+        assert size == len(list(codec.vocabulary.transduce(text.encode())))
+    assert abs(peaks[1] - peaks[0]) < 3_000_000
+
+
 def test_toxicity_of_documents_held_out(spark):
     d = "/root/testdata/sf0.01"
     marks = {}
