@@ -229,7 +229,21 @@ class Codec:
             else:
                 found = self.find.finditer(part)
                 while block := list(islice(found, BLOCK_PIECES)):
-                    yield b"".join([self.pieces[m[0]] for m in block])
+                    few: list[bytes] = []
+                    for m in block:
+                        if m.end() - m.start() <= BLOCK_PIECES:
+                            few.append(self.pieces[m[0]])
+                        else:
+                            yield b"".join(few)
+                            few = []
+                            yield from self.blocks(m[0])
+                    yield b"".join(few)
+
+    def blocks(self, piece: str) -> Iterator[bytes]:
+        """Packed ids of a long piece, as they become stable."""
+        ids = self.vocabulary.transduce(piece.encode("utf-8", "surrogatepass"))
+        while some := list(islice(ids, BLOCK_PIECES)):
+            yield pack(f"<{len(some)}I", *some)
 
     def decode(self, blocks: Iterator[bytes]) -> Iterator[str]:
         """Text of packed ids; bytes that are no UTF-8 become U+FFFD."""
