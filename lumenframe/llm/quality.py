@@ -12,7 +12,7 @@ documents. With no k given, it is the share of the labelled documents that are o
 Edge cases: null and empty texts have weight 0; labels that contradict each other count as the lower;
 without targets every weight is 0; rows that are equal in every way have the same key, and just as many of
 them are kept as k demands; an empty table gives an empty result; extra columns are ignored; carried columns must
-not be named log_weight, gumbel_key or selected; long texts are read in slices.
+not be named log_weight, gumbel_key or selected, which is an error; long texts are read in slices.
 """
 
 from __future__ import annotations
@@ -121,6 +121,8 @@ def gumbel(scored: DataFrame, key: str, seed: int) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] | None = None, seed: int = SEED) -> DataFrame:
     """Every document with log_weight, gumbel_key and whether it is among the k selected."""
     carry = carry or (key,)
+    if taken := {"log_weight", "gumbel_key", "selected", "__row", "__text"} & set(carry):
+        raise ValueError(f"carried columns may not be named {', '.join(sorted(taken))}")
     scored = gumbel(weigh(docs, train(docs, labels, key, text), text, carry), key, seed)
     scored = materialize(scored.withColumn("__row", F.monotonically_increasing_id()), "weights")
     ends = scored.agg(F.count("*").alias("n"), F.min("gumbel_key").alias("lo"), F.max("gumbel_key").alias("hi"), F.max("__row").alias("row")).first()
