@@ -112,8 +112,36 @@ def test_alignment_of_odd_documents(spark, odd_docs, no_docs, few, monkeypatch):
     some = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = [(k, *w) for (k, _), w in zip(some, brute_align([t for _, t in some]), strict=True)]
     assert sorted(map(str, got)) == sorted(map(str, want))
-    none = align.align(no_docs, *align.default_paths()).checkpoint()
-    assert align.scored(none, align.pair_counts(none)).count() == 0
+    native = align.align_relational(docs, *align.default_paths()).withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).checkpoint()
+    assert sorted(map(str, [(r.key, *[r[c] for c in COLUMNS]) for r in align.scored(native, align.pair_counts(native)).collect()])) == sorted(map(str, want))
+    for form in (align.align, align.align_relational):
+        none = form(no_docs, *align.default_paths()).checkpoint()
+        assert align.scored(none, align.pair_counts(none)).count() == 0
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_blocks_of_any_tokens(large):
+    """Groups, links and texts of random tokens, also of vocabularies whose ids don't fit into one integer together."""
+    rng, most = random.Random(8), 1 << 31 if large else 40
+    pool = [rng.randrange(most) for _ in range(12)]
+    for _ in range(30):
+        docs = []
+        for _ in range(rng.randrange(6)):
+            n = rng.choice([0, 1, 5, 60])
+            cut = lambda n=n: np.diff(sorted({0, n, *(rng.randrange(n) for _ in range(n // 3))})).tolist() if n else []
+            docs.append([[(rng.choice(pool), size) for size in cut()] for _ in (0, 1)])
+        flat = [[t for d in docs for t in d[side]] for side in (0, 1)]
+        ids, ends = [np.array([i for i, _ in f], np.int64) for f in flat], [np.cumsum([0, *[n for _, n in f]])[1:] for f in flat]
+        met = np.intersect1d(*ends)
+        g = [np.searchsorted(met, e) for e in ends]
+        of = np.array([i for i, d in enumerate(docs) for e in np.cumsum([n for _, n in d[0]]) if e in np.cumsum([n for _, n in d[1]])], int)
+        sizes = [np.bincount(x, minlength=len(met)) for x in g]
+        want = [Counter() for _ in docs]
+        for i, x in zip(g[0], ids[0], strict=True):
+            for y in ids[1][g[1] == i]:
+                want[of[i]][int(x) << 32 | int(y)] += 1
+        got = align.document_links(*ids, *g, *sizes, of, len(docs)).to_pylist()
+        assert [{x["pair"]: x["n"] for x in d} for d in got] == want and all([x["pair"] for x in d] == sorted(w) for d, w in zip(got, want, strict=True))
 
 
 def test_ids_are_the_libraries(spark, small):
