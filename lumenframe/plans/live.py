@@ -1,4 +1,4 @@
-"""Queries over keyed state on streams: brand states, resets, what a checkpoint holds, and the newest row of each key."""
+"""Queries over keyed state on streams: brand states, resets, what a checkpoint holds, the newest row of each key, frames taken by a busy consumer."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumenframe.plans.brands import CALLED, OBSERVED, PASS, REGION, STATE, STATES
 from lumenframe.plans.streams import _source
 from lumenframe.sources.scratch import scratch_root
+from lumenframe.streaming.admission import TICK_MS, admitted
 from lumenframe.streaming.brands import OUTPUT, brand_states, kept_state, keyed_state
 from lumenframe.streaming.latest import LatestTable
 
@@ -77,9 +78,26 @@ def latest_sink(spark, d):
 
 LATEST = "SELECT user_id, event_id, event_type, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"
 
+
+
+def frame_admission(spark, d):
+    """The frames that a busy consumer takes: a source for each user, a frame for each event, value * 1,000 seconds of work."""
+    e = _source(spark, d, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("frame"), "ts", F.floor(F.col("value") * 1_000_000).alias("latency"))
+    stream = admitted(e)
+    return spark.read.schema(stream.schema).parquet(_run(spark, stream, "admitted")[0])
+
+
+ADMITTED = f"""WITH RECURSIVE e AS (SELECT user_id AS source, event_id AS frame, epoch_ms(ts) AS ms, greatest(coalesce(CAST(floor(value * 1000000) AS BIGINT), 0), 0) AS latency,
+ row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events WHERE ts IS NOT NULL),
+w AS (SELECT source, frame, k, TRUE AS taken, ms + latency AS free, ms // {TICK_MS} AS tick FROM e WHERE k = 1
+ UNION ALL SELECT source, frame, k, taken, CASE WHEN taken THEN ms + latency ELSE free END, CASE WHEN taken THEN ms // {TICK_MS} ELSE tick END
+ FROM (SELECT e.*, w.free, w.tick, e.ms >= w.free AND e.ms // {TICK_MS} > w.tick AS taken FROM w JOIN e ON e.source IS NOT DISTINCT FROM w.source AND e.k = w.k + 1))
+SELECT source, frame, row_number() OVER (PARTITION BY source ORDER BY k) AS number, k - coalesce(lag(k) OVER (PARTITION BY source ORDER BY k), 0) - 1 AS dropped FROM w WHERE taken"""
+
 QUERIES = {
     "brand_stream": (brand_stream, STATE),
     "brand_reset_stream": (brand_reset_stream, RESET),
     "frozen_brands": (frozen_brands, FROZEN),
     "latest_sink": (latest_sink, LATEST),
+    "frame_admission": (frame_admission, ADMITTED),
 }

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.streaming import brands
+from lumenframe.streaming.admission import admitted
 from lumenframe.streaming.latest import LatestTable, newest_frames
 from lumenframe.streaming.tracker import track_stream
 
@@ -132,3 +133,43 @@ def test_newest_frames(spark, tmp_path):
     assert sorted(r.frame for r in table.read().collect()) == [22, 23]
     taken = spark.read.parquet(f"{tmp_path}/table/taken").groupBy("batch", "source").agg(F.max("frame").alias("f"), F.count("*").alias("n")).collect()
     assert len(taken) == 6 and all(r.n == 1 for r in taken) and sorted(r.f for r in taken) == [6, 7, 14, 15, 22, 23]
+
+
+FRAMES = "source string, frame long, ts timestamp, latency double, number string"
+
+
+def taken(rows, tick=100):
+    """The frames that are taken, by a loop over rows in order."""
+    flight, out = {}, []
+    for source, frame, ts, latency, _ in rows:
+        at = round((ts - START).total_seconds() * 1000)
+        free, last, n, lost = flight.get(source, (at, -1, 0, 0))
+        if at >= free and at // tick > last:
+            out.append((source, frame, n + 1, lost))
+            flight[source] = (at + max(int(latency or 0), 0), at // tick, n + 1, 0)
+        else:
+            flight[source] = (free, last, n, lost + 1)
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_busy_consumer(spark, tmp_path, files):
+    """A frame in flight, or one of the same tick, keeps others out, also over micro-batches."""
+    rng, at = random.Random(4), 0
+    rows = []
+    for i in range(200):
+        at += rng.choice([0, 10, 40, 100, 250])
+        rows.append((rng.choice(["a", "b", None]), i, START + dt.timedelta(milliseconds=at), rng.choice([None, -5.0, 0.0, 90.0, 400.0]), "n"))
+    rows += [("c", i, START + dt.timedelta(milliseconds=at + 1), 0.0, "n") for i in (300, 301)]
+    odd = [("a", 900, None, 1.0, "n"), ("b", None, START, 1.0, "n")]
+    stream = in_files(spark, f"{tmp_path}/in", odd[:1] + rows + odd[1:], FRAMES, files)
+    got = run(spark, admitted(stream), f"{tmp_path}/out")
+    assert got.columns == ["source", "frame", "number", "dropped"]
+    want = taken(rows)
+    assert sorted(map(tuple, got.collect()), key=str) == want and 20 < len(want) < 150 and want[-1][1] != 301
+
+
+def test_no_frames(spark, tmp_path):
+    spark.createDataFrame([], FRAMES).write.parquet(f"{tmp_path}/in/f0")
+    stream = spark.readStream.schema(FRAMES).parquet(f"{tmp_path}/in/f*")
+    assert run(spark, admitted(stream), f"{tmp_path}/out").count() == 0
