@@ -42,7 +42,7 @@ from lumenframe.llm.shared import freed, only, quoted
 #: Fixed pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of remembered pieces in a worker, about, and the longest piece that is remembered; remembered pairs of tokens.
-CACHE_BYTES, CACHE_CHARS, CACHE_PAIRS = 32_000_000, 64, 100_000
+CACHE_BYTES, CACHE_CHARS, CACHE_PAIRS = 96_000_000, 64, 400_000
 #: What an entry of a dictionary takes besides its key and value.
 ENTRY = 100
 #: Pieces that are encoded at a time, and bytes of a batch that goes out.
