@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 #: was missed for some frames and moved while the camera's motion is not known.
 SWITCH_IOU, SWITCH_MOVED, SWITCH_AREA, SWITCH_AREA_IOU, SWITCH_MISSED, SWITCH_LOST_MOVED = 0.15, 0.28, 1.90, 0.20, 2, 0.20
 
+#: Fixed value: places of a limit of movement, a product of numbers with few places (0.35 * 0.8 is 0.28, but a little less in doubles).
+LIMIT_PLACES = 9
+
 
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), h.cast("double").alias("h"))
@@ -65,13 +68,13 @@ def shifted(a: Column, dx: Column, dy: Column) -> Column:
 
 
 def moved_limit(limit: float, missed: Column) -> Column:
-    """How far a track may move: less for each frame that it was missed, down to half."""
-    return limit * F.when(missed > 0, F.greatest(F.lit(0.5), 1 - 0.2 * missed)).otherwise(1.0)
+    """How far a track may move: less for each frame that it was missed, down to half; rounded, so that a box on the limit passes it."""
+    return F.round(limit * F.when(missed > 0, F.greatest(F.lit(0.5), 1 - 0.2 * missed)).otherwise(1.0), LIMIT_PLACES)
 
 
 def match_score(overlap: Column, moved: Column, alike: Column, missed: Column, limit: Column, least_iou: float, proximity: int) -> Column:
     """Overlap path: .7 overlap, .3 nearness; else, for what was not missed for long, .6 nearness within the limit and .4 overlap; else null."""
-    by_overlap, near = alike & (moved <= 1.5 * limit), alike & (missed <= proximity) & (moved <= limit)
+    by_overlap, near = alike & (moved <= F.round(1.5 * limit, LIMIT_PLACES)), alike & (missed <= proximity) & (moved <= limit)
     score = F.when(by_overlap, 0.7 * overlap + 0.3 * F.greatest(F.lit(0.0), 1 - moved))
     return F.when(overlap >= least_iou, score).when(near, 0.6 * F.greatest(F.lit(0.0), 1 - moved / limit) + 0.4 * overlap)
 

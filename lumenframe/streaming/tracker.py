@@ -113,12 +113,12 @@ class Tracker:
             old[:, :2] += (motion.dx, motion.dy)
         size, new = np.maximum(old[:, 2:], 1), np.maximum(boxes[:, 2:], 1)
         moved = np.linalg.norm((old[:, :2] + size / 2)[:, None] - (boxes[:, :2] + new / 2)[None], axis=2) / size[:, 1:]
-        limit = o.displacement * np.where(missed > 0, np.maximum(0.5, 1 - 0.2 * missed), 1.0)
+        limit = np.round(o.displacement * np.where(missed > 0, np.maximum(0.5, 1 - 0.2 * missed), 1.0), G.LIMIT_PLACES)
         areas = size.prod(axis=1)[:, None], new.prod(axis=1)[None]
         ratio = np.maximum(*areas) / np.minimum(*areas)
         alike = (ratio <= o.area) & (np.abs((size[:, 0] / size[:, 1])[:, None] - (new[:, 0] / new[:, 1])[None]) <= o.aspect)
         overlap = iou_matrix(old, boxes)
-        by_overlap = (overlap >= o.iou) & alike & (moved <= 1.5 * limit)
+        by_overlap = (overlap >= o.iou) & alike & (moved <= np.round(1.5 * limit, G.LIMIT_PLACES))
         near = (overlap < o.iou) & (missed <= o.proximity + (2 if motion.high else 0)) & alike & (moved <= limit)
         score = np.where(by_overlap, 0.7 * overlap + 0.3 * np.clip(1 - moved, 0, None), np.where(near, 0.6 * np.clip(1 - moved / limit, 0, None) + 0.4 * overlap, -1.0))
         risky = (overlap < G.SWITCH_IOU) & (moved > G.SWITCH_MOVED) | (ratio > G.SWITCH_AREA) & (overlap < G.SWITCH_AREA_IOU)
