@@ -43,11 +43,11 @@ x AS (SELECT event_id, category AS top, s / tw AS share, (s - s2) / tw AS margin
 
 
 def rolling_weighted_vote(spark, d):
-    return _rolled(spark, d).select("event_id", "top", F.round("share", 4).alias("share"), F.round("margin", 4).alias("margin"), F.round("consensus", 4).alias("consensus"), F.col("n").cast("long").alias("n"))
+    return _rolled(spark, d).select("event_id", "top", *[votes.halves_up(F.col(c), 4).alias(c) for c in ("share", "margin", "consensus")], F.col("n").cast("long").alias("n"))
 
 
 def lifecycle_state(spark, d):
-    state = votes.lifecycle(F.col("n"), F.round("margin", 9), F.round("consensus", 9))
+    state = votes.lifecycle(F.col("n"), votes.halves_up(F.col("margin"), 9), votes.halves_up(F.col("consensus"), 9))
     return _rolled(spark, d).select("event_id", state.alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 
