@@ -7,6 +7,7 @@ a confirmed one also has a public id, which grows too, or is the smallest free o
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenframe.functions import geometry as G
-from lumenframe.operators.assign import greedy_pairs, iou_matrix
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,8 @@ class Motion:
 
 
 STILL = Motion()
+#: Rows of a source that a task holds before it hands them on.
+OUT_ROWS = 50_000
 TRACK_SCHEMA = "source string, frame long, track_id long, person_id long, state string, x double, y double, w double, h double"
 
 
@@ -104,28 +106,42 @@ class Tracker:
         self.next_person += 1
         return self.next_person - 1
 
-    def scores(self, boxes: np.ndarray, motion: Motion) -> np.ndarray:
-        """The score of each track with each box, negative where they may not be matched or might switch ids."""
-        o = self.options
-        old = np.array([t.box for t in self.tracks], float)
-        missed = np.array([t.misses for t in self.tracks])[:, None]
-        if motion.reliable:
-            old[:, :2] += (motion.dx, motion.dy)
-        size, new = np.maximum(old[:, 2:], 1), np.maximum(boxes[:, 2:], 1)
-        moved = np.linalg.norm((old[:, :2] + size / 2)[:, None] - (boxes[:, :2] + new / 2)[None], axis=2) / size[:, 1:]
-        limit = np.round(o.displacement * np.where(missed > 0, np.maximum(0.5, 1 - 0.2 * missed), 1.0), G.LIMIT_PLACES)
-        areas = size.prod(axis=1)[:, None], new.prod(axis=1)[None]
-        ratio = np.maximum(*areas) / np.minimum(*areas)
-        alike = (ratio <= o.area) & (np.abs((size[:, 0] / size[:, 1])[:, None] - (new[:, 0] / new[:, 1])[None]) <= o.aspect)
-        overlap = iou_matrix(old, boxes)
-        by_overlap = (overlap >= o.iou) & alike & (moved <= np.round(1.5 * limit, G.LIMIT_PLACES))
-        near = (overlap < o.iou) & (missed <= o.proximity + (2 if motion.high else 0)) & alike & (moved <= limit)
-        score = np.where(by_overlap, 0.7 * overlap + 0.3 * np.clip(1 - moved, 0, None), np.where(near, 0.6 * np.clip(1 - moved / limit, 0, None) + 0.4 * overlap, -1.0))
-        risky = (overlap < G.SWITCH_IOU) & (moved > G.SWITCH_MOVED) | (ratio > G.SWITCH_AREA) & (overlap < G.SWITCH_AREA_IOU)
-        risky |= (missed >= G.SWITCH_MISSED) & (moved > G.SWITCH_LOST_MOVED) & (not motion.reliable)
-        return np.where(risky, -1.0, score)
-
-    def advance(self, frame: int, boxes: np.ndarray, seen_s: float | None = None, motion: Motion = STILL) -> list[tuple]:
+    def scores(self, boxes: list[list[float]], motion: Motion) -> list[tuple[float, int, int]]:
+        """(score, track, box) of the pairs that may be matched and would not switch ids, by their places.
+
+        A frame has few tracks and boxes, for which plain numbers take a fraction of the time that arrays do.
+        """
+        o, out = self.options, []
+        new = [(x, y, w, h, max(w, 1.0), max(h, 1.0)) for x, y, w, h in boxes]
+        for i, t in enumerate(self.tracks):
+            x, y, w, h = t.box
+            if motion.reliable:
+                x, y = x + motion.dx, y + motion.dy
+            wide, high = max(w, 1.0), max(h, 1.0)
+            mid_x, mid_y, area, missed = x + wide / 2, y + high / 2, wide * high, t.misses
+            limit = round(o.displacement * (max(0.5, 1 - 0.2 * missed) if missed > 0 else 1.0), G.LIMIT_PLACES)
+            reach = round(1.5 * limit, G.LIMIT_PLACES)
+            lost, close = missed >= G.SWITCH_MISSED and not motion.reliable, missed <= o.proximity + (2 if motion.high else 0)
+            for j, (u, v, p, q, b_wide, b_high) in enumerate(new):
+                moved = math.hypot(mid_x - u - b_wide / 2, mid_y - v - b_high / 2) / high
+                if not moved <= reach or (lost and moved > G.SWITCH_LOST_MOVED):
+                    continue
+                b_area = b_wide * b_high
+                ratio = max(area, b_area) / min(area, b_area)
+                if not ratio <= o.area or not abs(wide / high - b_wide / b_high) <= o.aspect:
+                    continue
+                both = max(min(x + w, u + p) - max(x, u), 0.0) * max(min(y + h, v + q) - max(y, v), 0.0)
+                union = w * h + p * q - both
+                overlap = both / union if union > 0 else 0.0
+                if (overlap < G.SWITCH_IOU and moved > G.SWITCH_MOVED) or (ratio > G.SWITCH_AREA and overlap < G.SWITCH_AREA_IOU):
+                    continue
+                if overlap >= o.iou:
+                    out.append((0.7 * overlap + 0.3 * max(1 - moved, 0.0), i, j))
+                elif close and moved <= limit:
+                    out.append((0.6 * max(1 - moved / limit, 0.0) + 0.4 * overlap, i, j))
+        return out
+
+    def advance(self, frame: int, boxes: np.ndarray | list[list[float]], seen_s: float | None = None, motion: Motion = STILL) -> list[tuple]:
         """Rows (track_id, person_id, state, box) of the frame; an empty frame ages tracks.
 
         seen_s is the frame's time in seconds; without it, silence ends no track.
@@ -133,18 +149,17 @@ class Tracker:
         if frame <= self.last_frame:
             return []
         o, self.last_frame = self.options, frame
-        out, free, matched = self.expire(seen_s), np.ones(len(boxes), bool), {}
-        if self.tracks and len(boxes):
-            score = self.scores(boxes, motion)
-            i, j = np.nonzero(score >= 0)
-            taken = greedy_pairs(i, j, score[i, j])
-            matched = dict(zip(i[taken].tolist(), j[taken].tolist(), strict=True))
+        boxes = boxes.tolist() if isinstance(boxes, np.ndarray) else boxes
+        out, taken, matched = self.expire(seen_s), set(), {}
+        for _, i, j in sorted(self.scores(boxes, motion), key=lambda p: (-p[0], p[1], p[2])):
+            if i not in matched and j not in taken:
+                matched[i] = j
+                taken.add(j)
         most = (o.video_missed if o.video else o.missed) + (o.more_in_motion if motion.high else 0)
         kept = []
         for k, t in enumerate(self.tracks):
             if k in matched:
-                free[matched[k]] = False
-                t.hits, t.misses, t.box, t.seen_s = t.hits + 1, 0, boxes[matched[k]].tolist(), seen_s or 0.0
+                t.hits, t.misses, t.box, t.seen_s = t.hits + 1, 0, boxes[matched[k]], seen_s or 0.0
                 if not t.confirmed and t.hits >= o.confirm:
                     t.person_id = self.person()
                 state = "Confirmed" if t.confirmed else "Tentative"
@@ -160,7 +175,7 @@ class Tracker:
                 kept.append(t)
             out.append((t.track_id, t.person_id, state, t.box))
         self.tracks = kept
-        for box in boxes[free].tolist():
+        for box in (b for j, b in enumerate(boxes) if j not in taken):
             at_once = frame == 0 and not o.video
             t = Track(self.next_id, self.person() if at_once else 0, 1, 0, box, seen_s or 0.0)
             self.next_id += 1
@@ -173,6 +188,8 @@ class Tracker:
         if now_s is None or self.options.video:
             return []
         gone = [t for t in self.tracks if now_s - t.seen_s > self.options.timeout_s]
+        if not gone:
+            return []
         self.tracks = [t for t in self.tracks if now_s - t.seen_s <= self.options.timeout_s]
         self.finalised += [t for t in gone if t.confirmed]
         return [(t.track_id, t.person_id, "Retired" if t.confirmed else "Discarded", t.box) for t in gone]
@@ -186,32 +203,49 @@ def track_stream(detections: DataFrame, options: Options = Options(), event_time
     tracks of a source that falls silent end after the timeout, when the watermark of the whole stream has passed it.
     """
     boxes, moves = ["x", "y", "w", "h"], [c for c in ("dx", "dy", "reliable", "high") if c in detections.columns]
+    used = [c for c in detections.columns if c in ("frame", *boxes, *moves, event_time, "reset")]
 
     def run(key, batches, state: GroupState):
         tracker = Tracker(options)
         if state.exists:
             packed, next_id, next_person, last = state.get
             tracker = Tracker(options, [Track(int(p[0]), int(p[1]), int(p[2]), int(p[3]), list(p[4:8]), float(p[8])) for p in packed], next_id, next_person, last)
-        out, last_s = [], 0.0
         if state.hasTimedOut:
-            out = [(key[0], tracker.last_frame, t, p, s, *b) for t, p, s, b in tracker.expire(float("inf"))]
+            yield table(key[0], [(tracker.last_frame, t, p, s, *b) for t, p, s, b in tracker.expire(float("inf"))])
             state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["frame", *boxes], kind="stable")
-            for frame, group in rows.groupby("frame", sort=True):
-                seen_s = pd.Timestamp(group[event_time].max()).timestamp() if event_time else None
-                last_s = max(last_s, seen_s or 0.0)
-                motion = Motion(**group[moves].iloc[0].to_dict()) if moves else STILL
-                if "reset" in group and group["reset"].any():
-                    tracker = Tracker(options, last_frame=int(frame) - 1)
-                found = tracker.advance(int(frame), group[boxes].dropna().to_numpy(float), seen_s, motion)
-                out += [(key[0], int(frame), t, p, s, *b) for t, p, s, b in found]
-            packed = [[float(t.track_id), float(t.person_id), float(t.hits), float(t.misses), *map(float, t.box), t.seen_s] for t in tracker.tracks]
-            state.update((packed, tracker.next_id, tracker.next_person, tracker.last_frame))
-            if event_time:
-                silent_ms = int((max([last_s, *(t.seen_s for t in tracker.tracks)]) + options.timeout_s) * 1000)
-                state.setTimeoutTimestamp(max(silent_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["source", "frame", "track_id", "person_id", "state", *boxes])
+            return
+        out, last_s = [], 0.0
+        rows = pd.concat([batch[used] for batch in batches]).sort_values(["frame", *boxes], kind="stable")
+        frames = rows["frame"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
+        ends, frames = np.r_[starts[1:], len(rows)].tolist(), frames[starts].tolist()
+        held = [rows[c].to_numpy(float) for c in boxes]
+        shown, held = ~np.isnan(held).any(axis=0), np.stack(held, axis=1)
+        times = rows.groupby("frame", sort=True)[event_time].max().tolist() if event_time else None
+        motions = rows[moves].iloc[starts].to_dict("records") if moves else None
+        resets = np.logical_or.reduceat(rows["reset"].to_numpy(bool), starts) if "reset" in rows else None
+        for k, (a, b, frame) in enumerate(zip(starts.tolist(), ends, frames, strict=True)):
+            seen_s = pd.Timestamp(times[k]).timestamp() if event_time else None
+            last_s = max(last_s, seen_s or 0.0)
+            if resets is not None and resets[k]:
+                tracker = Tracker(options, last_frame=int(frame) - 1)
+            found = tracker.advance(int(frame), held[a:b][shown[a:b]].tolist(), seen_s, Motion(**motions[k]) if moves else STILL)
+            out += [(int(frame), t, p, s, *box) for t, p, s, box in found]
+            if len(out) >= OUT_ROWS:
+                yield table(key[0], out)
+                out = []
+            tracker.finalised.clear()
+        packed = [[float(t.track_id), float(t.person_id), float(t.hits), float(t.misses), *map(float, t.box), t.seen_s] for t in tracker.tracks]
+        state.update((packed, tracker.next_id, tracker.next_person, tracker.last_frame))
+        if event_time:
+            silent_ms = int((max([last_s, *(t.seen_s for t in tracker.tracks)]) + options.timeout_s) * 1000)
+            state.setTimeoutTimestamp(max(silent_ms, state.getCurrentWatermarkMs() + 1))
+        yield table(key[0], out)
+
+    def table(source, out):
+        found = pd.DataFrame(out, columns=["frame", "track_id", "person_id", "state", *boxes])
+        found.insert(0, "source", source)
+        return found
 
     timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
     return detections.groupBy("source").applyInPandasWithState(run, TRACK_SCHEMA, "tracks array<array<double>>, next_id long, next_person long, last_frame long", "append", timeout)

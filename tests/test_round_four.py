@@ -42,3 +42,15 @@ def test_sums_alike_to_nine_places_are_ties(spark, tmp_path, first):
     data = [(i, datetime(2024, 1, 1, 0, 0, k), 1, kind, value, "{}") for k, (i, kind, value) in enumerate(values)]
     ours, theirs = differs(spark, tmp_path, "rolling_weighted_vote", events=(data, EVENTS))
     assert ours == theirs
+
+
+def test_tracker_takes_plain_boxes():
+    import numpy as np
+
+    from lumenframe.streaming.tracker import Tracker
+
+    plain, arrays = Tracker(), Tracker()
+    for frame in range(40):
+        boxes = [[100.0 + 3 * frame, 50.0, 60.0, 150.0], [400.0 - 3 * frame, 52.0, 60.0, 150.0]][: 1 + frame % 2]
+        assert plain.advance(frame, boxes) == arrays.advance(frame, np.array(boxes))
+    assert len(plain.active()) == 2
