@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.sources.scratch import written
+
 
 def accuracy(rows: DataFrame, by: list[str], expected: str, predicted: str) -> DataFrame:
     """Counts and accuracy of each group. Expected 'Skip' or blank is not evaluated.
@@ -23,31 +25,55 @@ def accuracy(rows: DataFrame, by: list[str], expected: str, predicted: str) -> D
     return out.withColumn("accuracy", F.round(F.coalesce(F.try_divide(F.col("correct") * 100.0, F.col("evaluated")), F.lit(0.0)), 4))
 
 
-#: Steps into which a group's range of values is cut to find where a rank lies.
-STEPS = 1_024
+#: Steps into which a group's range of values is cut to find where a rank lies; rows that are dealt to a task, about; groups that are broadcast at most.
+STEPS, TASK_ROWS, BROADCAST_ROWS = 1_024, 500_000, 200_000
 
 
-def values_at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def values_at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
     """The values at given places (from 0, as functions of a group's count) of each group's sorted values, with the count n.
 
-    A first pass counts values by equal steps of the group's range, which tells the step of each rank. Only the distinct
-    values of these steps are then looked at, so no list is gathered, and no task sorts a group.
+    With weight, a row stands for so many. Groups are dealt out, so many to a task, and equal values counted there. Where a group is more than a task's rows,
+    values are dealt out instead: a first pass counts them by equal steps of the group's range, which tells the step of each rank, and only the
+    distinct values of these steps are then looked at. So no list is gathered, no task sorts a large group, and a task's rows don't grow with the input.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    ends = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), (F.lit(1) if weight is None else F.col(weight)).alias("_w"))
+    total, most = rows.groupBy(*by).agg(F.count("*").alias("_m")).agg(F.coalesce(F.sum("_m"), F.lit(0)), F.coalesce(F.max("_m"), F.lit(0))).first()
+    tasks = max(-(-total // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+    if most <= TASK_ROWS:
+        counted = rows.repartition(tasks, *by).groupBy(*by, "_v").agg(F.sum("_w").alias("_c"))
+        group = Window.partitionBy(*by)
+        counted = counted.withColumns({"_upto": F.sum("_c").over(group.orderBy("_v")), "n": F.sum("_c").over(group)})
+        return counted.groupBy(*by, "n").agg(*[F.min(F.when(F.col("_upto") > place(F.col("n")).cast("long"), F.col("_v"))).alias(name) for name, place in ranks.items()])
+    counted = written(rows.repartition(tasks, *by, "_v").groupBy(*by, "_v").agg(F.sum("_w").alias("_c")), "counted")
+    ends = written(counted.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "ends")
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
     wide = (F.col("_hi") - F.col("_lo")).cast("double")
     step = F.when(wide > 0, F.floor((F.col("_v") - F.col("_lo")).cast("double") / wide * (STEPS - 1))).otherwise(F.lit(0))
-    stepped = rows.join(ends, by).select(*by, "_v", "_n", step.cast("int").alias("_s"))
+    stepped = counted.join(ends, by).select(*by, "_v", "_c", "_n", step.cast("int").alias("_s"))
     order = Window.partitionBy(*by).orderBy("_s")  # of STEPS rows at most
-    steps = stepped.groupBy(*by, "_n", "_s").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
+    steps = stepped.groupBy(*by, "_n", "_s").agg(F.sum("_c").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("long").alias("place")) for name, place in ranks.items()]))
     steps = steps.withColumn("_r", wanted).where("_r.place < _upto AND _r.place >= _upto - _c")
-    steps = steps.select(*by, "_s", F.col("_r.name").alias("_name"), (F.col("_r.place") - (F.col("_upto") - F.col("_c"))).alias("_left"))
-    inner = stepped.groupBy(*by, "_n", "_s", "_v").agg(F.count("*").alias("_c")).join(steps, [*by, "_s"])
+    steps = written(steps.select(*by, "_s", F.col("_r.name").alias("_name"), (F.col("_r.place") - (F.col("_upto") - F.col("_c"))).alias("_left")), "steps")
+    steps = F.broadcast(steps) if steps.count() <= BROADCAST_ROWS else steps
+    inner = stepped.join(steps, [*by, "_s"])
     inner = inner.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_name").orderBy("_v")))
     return inner.groupBy(*by, F.col("_n").alias("n")).agg(*[F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_left")), F.col("_v"))).alias(name) for name in ranks])
 
 
+def columns_at_rank(rows: DataFrame, by: list[str], columns: list[str], place: Callable[[Column], Column], few: bool = False) -> DataFrame:
+    """The value of each of some columns at a place of its sorted values, and the count n of the first, for groups that have values of all: one pass for all columns.
+
+    few says that groups have few different values, which are then counted before anything is dealt out.
+    """
+    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)])).alias("_l")).select(*by, F.col("_l.i").alias("_i"), F.col("_l.v").alias("_value"))
+    if few:
+        long = written(long.groupBy(*by, "_i", "_value").agg(F.count("*").alias("_count")), "values")
+    found = values_at_ranks(long, [*by, "_i"], "_value", {"_at": place}, "_count" if few else None)
+    wide = found.groupBy(*by).agg(F.max(F.when(F.col("_i") == 0, F.col("n"))).alias("n"), F.count("*").alias("_k"), *[F.max(F.when(F.col("_i") == i, F.col("_at"))).alias(c) for i, c in enumerate(columns)])
+    return wide.where(F.col("_k") == len(columns)).drop("_k")
+
+
 def quantiles_by_rank(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """sorted[int(n * q)] of each group, the last value at most."""
     place = lambda q: lambda n: F.least(F.floor(n * q), n - 1)

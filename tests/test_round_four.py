@@ -54,3 +54,30 @@ def test_tracker_takes_plain_boxes():
         boxes = [[100.0 + 3 * frame, 50.0, 60.0, 150.0], [400.0 - 3 * frame, 52.0, 60.0, 150.0]][: 1 + frame % 2]
         assert plain.advance(frame, boxes) == arrays.advance(frame, np.array(boxes))
     assert len(plain.active()) == 2
+
+
+def test_strips_of_lines_are_the_whole_mask(spark, monkeypatch):
+    from lumenframe.operators import masks
+
+    monkeypatch.setattr(masks, "STRIP", 8)
+    monkeypatch.setattr(masks, "TASK_LINES", 10)
+    on = [(0, x, y, 70, 40) for x in range(70) for y in range(40) if (x * 7 + y * 11) % 89]
+    px = spark.createDataFrame(on, "sample long, x int, y int, width int, height int")
+    columns, left = masks.interior_columns(masks.lines(px, "sample"), "sample")
+    places = {(x, y) for _, x, y, _, _ in on}
+    want = {(x, y) for x, y in places if all((u, v) in places for u in range(max(0, x - 2), min(70, x + 2)) for v in range(max(0, y - 2), min(40, y + 2)))}
+    assert {(r.x, y) for r in columns.collect() for y in r.ys} == want and left.collect() == [(0, len(want))]
+
+
+@pytest.mark.parametrize("rows_of_a_task", [500_000, 3])
+def test_columns_at_rank_of_small_and_large_groups(spark, monkeypatch, rows_of_a_task):
+    from pyspark.sql import functions as F
+
+    from lumenframe.operators import metrics
+
+    monkeypatch.setattr(metrics, "TASK_ROWS", rows_of_a_task)
+    data = [(g, float((i * 7 + g) % 13), float(i % 5)) for g in (1, 2) for i in range(20 + g)] + [(3, 1.0, None)]
+    df = spark.createDataFrame(data, "g int, p double, q double")
+    for few in (False, True):
+        got = {r.g: (r.n, r.p, r.q) for r in metrics.columns_at_rank(df, ["g"], ["p", "q"], lambda n: F.floor(n / 2), few=few).collect()}
+        assert got == {g: (20 + g, *[sorted(r[c] for r in data if r[0] == g)[(20 + g) // 2] for c in (1, 2)]) for g in (1, 2)}
