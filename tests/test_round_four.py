@@ -81,3 +81,20 @@ def test_columns_at_rank_of_small_and_large_groups(spark, monkeypatch, rows_of_a
     for few in (False, True):
         got = {r.g: (r.n, r.p, r.q) for r in metrics.columns_at_rank(df, ["g"], ["p", "q"], lambda n: F.floor(n / 2), few=few).collect()}
         assert got == {g: (20 + g, *[sorted(r[c] for r in data if r[0] == g)[(20 + g) // 2] for c in (1, 2)]) for g in (1, 2)}
+
+
+def test_frames_of_one_size_together(spark):
+    import numpy as np
+
+    from lumenframe.operators import assign
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 5, 80, 5, 2, 1, 17])
+    ends = np.cumsum(sizes)
+    boxes, scores = rng.integers(1, 40, (ends[-1], 4)).astype(float), rng.integers(0, 4, ends[-1]) / 4
+    got = assign.suppressed_by_frame(boxes, scores, ends - sizes, ends, 0.3)
+    for a, b in zip(ends - sizes, ends, strict=True):
+        order = np.lexsort((*boxes[a:b].T[::-1],))
+        want = np.zeros(b - a, bool)
+        want[order] = assign.suppressed(boxes[a:b][order], scores[a:b][order], 0.3)
+        assert (got[a:b] == want).all()
