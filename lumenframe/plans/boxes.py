@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lumenframe.functions import geometry as G
 from lumenframe.functions import rules
 from lumenframe.operators import assign
-from lumenframe.sources.tables import DETECTIONS_SQL, detections
+from lumenframe.operators.votes import halves_up
+from lumenframe.sources.tables import DETECTIONS_SQL, dealt, detections
 from lumenframe.streaming.tracker import Options
 
 IOU_SQL = """CASE WHEN iw > 0 AND ih > 0 THEN iw * ih / (a.w * a.h + b.w * b.h - iw * ih) ELSE 0 END"""
@@ -27,21 +28,21 @@ def _round(c):
 
 
 def _pairs(spark, d):
-    """Pairs of one frame: an equi-join on the frame, bounded by the boxes of a frame."""
-    x = detections(spark, d)
+    """Pairs of one frame: an equi-join on the frame, bounded by the boxes of a frame; frames are dealt out once, so many rows to a task."""
+    x = dealt(detections(spark, d), "frame")
     a, b = x.select("frame", F.col("det").alias("a_det"), F.col("box").alias("a")), x.select("frame", F.col("det").alias("b_det"), F.col("box").alias("b"))
     return a.join(b, "frame").where("a_det < b_det").withColumn("iou", G.iou(F.col("a"), F.col("b")))
 
 
 def iou_theta_join(spark, d):
-    return _pairs(spark, d).where("iou >= 0.15").select("frame", "a_det", "b_det", F.round("iou", 4).alias("iou"))
+    return _pairs(spark, d).where("iou >= 0.15").select("frame", "a_det", "b_det", halves_up(F.col("iou"), 4).alias("iou"))
 
 
 def best_match_argmax(spark, d):
     """The best partner of each box, or none."""
-    x = detections(spark, d).select("frame", F.col("det").alias("a_det"))
+    x = dealt(detections(spark, d).select("frame", F.col("det").alias("a_det")), "frame")
     best = _pairs(spark, d).where("iou >= 0.15").groupBy("frame", "a_det").agg(F.max(F.struct("iou", (-F.col("b_det")).alias("neg"))).alias("m"))
-    return x.join(best, ["frame", "a_det"], "left").groupBy("frame", "a_det").agg(F.coalesce(F.max(-F.col("m.neg")), F.lit(-1)).alias("b_det"), F.round(F.max(F.coalesce("m.iou", F.lit(0.0))), 4).alias("iou"))
+    return x.join(best, ["frame", "a_det"], "left").groupBy("frame", "a_det").agg(F.coalesce(F.max(-F.col("m.neg")), F.lit(-1)).alias("b_det"), halves_up(F.max(F.coalesce("m.iou", F.lit(0.0))), 4).alias("iou"))
 
 
 BEST = f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY frame, a_det ORDER BY iou DESC, b_det) AS k FROM io WHERE iou >= 0.15)
@@ -159,12 +160,12 @@ def greedy_assignment(spark, d):
     pairs = _pairs(spark, d).where("iou >= 0.15 AND a_det % 2 <> b_det % 2")
     odd = F.col("a_det") % 2 == 1
     pairs = pairs.select("frame", F.when(odd, F.col("a_det")).otherwise(F.col("b_det")).alias("track"), F.when(odd, F.col("b_det")).otherwise(F.col("a_det")).alias("det"), F.col("iou").alias("score"))
-    return assign.greedy_assign(pairs, ["frame"], "track", "det", "score").select("frame", "track", "det", F.round("score", 4).alias("score"))
+    return assign.greedy_assign(pairs, ["frame"], "track", "det", "score").select("frame", "track", "det", halves_up(F.col("score"), 4).alias("score"))
 
 
 def unmatched_detections(spark, d):
     """Boxes that no earlier box of their frame overlaps: each begins a track of its own."""
-    x = detections(spark, d).select("frame", "det")
+    x = dealt(detections(spark, d).select("frame", "det"), "frame")
     taken = _pairs(spark, d).where("iou >= 0.15").select("frame", F.col("b_det").alias("det"))
     return x.join(taken, ["frame", "det"], "left_anti").groupBy("frame").agg(F.countDistinct("det").alias("new_tracks"))
 

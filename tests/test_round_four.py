@@ -98,3 +98,9 @@ def test_frames_of_one_size_together(spark):
         want = np.zeros(b - a, bool)
         want[order] = assign.suppressed(boxes[a:b][order], scores[a:b][order], 0.3)
         assert (got[a:b] == want).all()
+
+
+def test_overlap_just_at_a_half_is_rounded_as_in_sql(spark, tmp_path):
+    found = duckdb.sql("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM '/root/testdata/sf0.1/lineitem.parquet' WHERE l_orderkey IN (3407, 81701, 96565)").fetchall()
+    ours, theirs = differs(spark, tmp_path, "best_match_argmax", lineitem=(found, LINEITEM))
+    assert ours == theirs
