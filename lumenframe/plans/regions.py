@@ -6,6 +6,9 @@ Boxes are those of the detections, four times as large, and keypoints come from
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -112,9 +115,43 @@ def _shown(*names: str) -> list[str]:
     return [f"round({n} + 1e-9, 4) AS {n}" for n in names]
 
 
+def _doubles(text: str) -> str:
+    """Numbers with a point as doubles, as the SQL's divisions give them; Spark's would go by decimals."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)", r"\1D", text)
+
+
+def _shown_as_sql(n: str) -> str:
+    """n_, ten thousand times a value of zero or more, to the nearest whole number and back, as SQL rounds it: no decimal text is made of each value."""
+    return f"(floor({n}_) + CASE WHEN {n}_ - floor({n}_) >= 0.5D THEN 1 ELSE 0 END) / 10000.0D AS {n}"
+
+
+#: Parts of the formulas that are worked out once for a row, in the order in which they need each other.
+HELD = {"leg": _LEG, "mid": _MID, "hip": _HIP, "left_side": _LEFT}
+
+
+def _one_region(rows, name: str, ok: str, *box: str):
+    """The rows (frame, det, region, rx, ry, rw, rh) of one region. Each step's formulas are columns of the step before, so that they stay small enough to be compiled."""
+    rows, held = rows.where(ok), {}
+    for column, text in HELD.items():
+        if any(text in v for v in box):
+            rows = rows.selectExpr("*", f"{reduce(lambda t, h: t.replace(f'({h[1]})', h[0]), held.items(), text)} AS {column}")
+            held[column] = text
+    box = [reduce(lambda t, h: t.replace(h[1], h[0]), reversed(held.items()), v) for v in box]
+    rows = rows.selectExpr("frame", "det", *[f"cast({v} AS double) AS {c}" for c, v in zip(("x0", "y0", "w0", "h0"), map(_doubles, box), strict=True)])
+    rows = rows.selectExpr("frame", "det", "w0", "h0", f"{clamp('x0', '0', f'{WIDTH - 1}')} AS rx", f"{clamp('y0', '0', f'{HEIGHT - 1}')} AS ry")
+    return rows.selectExpr("frame", "det", f"'{name}' AS region", "rx", "ry", f"{clamp('w0', '1', f'{WIDTH} - rx')} AS rw", f"{clamp('h0', '1', f'{HEIGHT} - ry')} AS rh")
+
+
 def body_regions(spark, d):
-    """Six regions of each person from keypoints, kept inside the image, and whether its border cuts them."""
-    return _regions(_points(spark, d), REGIONS).selectExpr("frame", "det", "region", *_shown("rx", "ry", "rw", "rh"), f"{CLIPPED} AS clipped")
+    """Six regions of each person from keypoints, kept inside the image, and whether its border cuts them: a branch for each region, with the keypoints that it needs."""
+    points = _boxes(spark, d).selectExpr("*", *map(_doubles, POINT_SQL))
+    sides = ("rx", "ry", "rw", "rh")
+
+    def shown(r):
+        r = r.selectExpr("*", *[f"({n} + 1e-9D) * 10000.0D AS {n}_" for n in sides])
+        return r.selectExpr("frame", "det", "region", *map(_shown_as_sql, sides), f"{CLIPPED} AS clipped")
+
+    return reduce(lambda a, b: a.union(b), [shown(_one_region(points, name, *v)) for name, v in REGIONS.items()])
 
 
 BODY = f"WITH {POINTS_SQL}, r AS ({_regions_sql('k', REGIONS)}) SELECT frame, det, region, {', '.join(_shown('rx', 'ry', 'rw', 'rh'))}, {CLIPPED} AS clipped FROM r"

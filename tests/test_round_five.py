@@ -56,3 +56,8 @@ def test_turns_of_small_samples_write_no_tables(spark, small, monkeypatch):
     monkeypatch.setattr(clusters, "written", None)
     for name in ("lab_clusters", "robust_lab_vote"):
         assert plans.queries()[name](spark, small).count()
+
+
+def test_formulas_of_regions_are_short(spark, small):
+    plan = plans.queries()["body_regions"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 30_000 and "decimal" not in plan  # pasted into each other, they were too long to be compiled
