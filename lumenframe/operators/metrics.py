@@ -25,40 +25,59 @@ def accuracy(rows: DataFrame, by: list[str], expected: str, predicted: str) -> D
     return out.withColumn("accuracy", F.round(F.coalesce(F.try_divide(F.col("correct") * 100.0, F.col("evaluated")), F.lit(0.0)), 4))
 
 
-#: Steps into which a group's range of values is cut to find where a rank lies; rows that are dealt to a task, about; groups that are broadcast at most.
-STEPS, TASK_ROWS, BROADCAST_ROWS = 1_024, 500_000, 200_000
+#: Rows that are dealt to a task, about; groups that are broadcast at most.
+TASK_ROWS, BROADCAST_ROWS = 500_000, 200_000
 
 
 def values_at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
     """The values at given places (from 0, as functions of a group's count) of each group's sorted values, with the count n.
 
-    With weight, a row stands for so many. Groups are dealt out, so many to a task, and equal values counted there. Where a group is more than a task's rows,
-    values are dealt out instead: a first pass counts them by equal steps of the group's range, which tells the step of each rank, and only the
-    distinct values of these steps are then looked at. So no list is gathered, no task sorts a large group, and a task's rows don't grow with the input.
+    With weight, a row stands for so many. Groups are dealt out, so many to a task, and sorted there. Where a task would get far more rows than others,
+    values are dealt out instead, see _spread. So no list is gathered, no task sorts a large group, and a task's rows don't grow with the input.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), (F.lit(1) if weight is None else F.col(weight)).alias("_w"))
-    total, most = rows.groupBy(*by).agg(F.count("*").alias("_m")).agg(F.coalesce(F.sum("_m"), F.lit(0)), F.coalesce(F.max("_m"), F.lit(0))).first()
-    tasks = max(-(-total // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
-    if most <= TASK_ROWS:
-        counted = rows.repartition(tasks, *by).groupBy(*by, "_v").agg(F.sum("_w").alias("_c"))
-        group = Window.partitionBy(*by)
-        counted = counted.withColumns({"_upto": F.sum("_c").over(group.orderBy("_v")), "n": F.sum("_c").over(group)})
-        return counted.groupBy(*by, "n").agg(*[F.min(F.when(F.col("_upto") > place(F.col("n")).cast("long"), F.col("_v"))).alias(name) for name, place in ranks.items()])
-    counted = written(rows.repartition(tasks, *by, "_v").groupBy(*by, "_v").agg(F.sum("_w").alias("_c")), "counted")
-    ends = written(counted.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "ends")
-    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    wide = (F.col("_hi") - F.col("_lo")).cast("double")
-    step = F.when(wide > 0, F.floor((F.col("_v") - F.col("_lo")).cast("double") / wide * (STEPS - 1))).otherwise(F.lit(0))
-    stepped = counted.join(ends, by).select(*by, "_v", "_c", "_n", step.cast("int").alias("_s"))
-    order = Window.partitionBy(*by).orderBy("_s")  # of STEPS rows at most
-    steps = stepped.groupBy(*by, "_n", "_s").agg(F.sum("_c").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_n")).cast("long").alias("place")) for name, place in ranks.items()]))
-    steps = steps.withColumn("_r", wanted).where("_r.place < _upto AND _r.place >= _upto - _c")
-    steps = written(steps.select(*by, "_s", F.col("_r.name").alias("_name"), (F.col("_r.place") - (F.col("_upto") - F.col("_c"))).alias("_left")), "steps")
-    steps = F.broadcast(steps) if steps.count() <= BROADCAST_ROWS else steps
-    inner = stepped.join(steps, [*by, "_s"])
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), *([] if weight is None else [F.col(weight).alias("_w")]))
+    dealt = _dealt(rows, by)
+    return _spread(rows, by, ranks) if dealt is None else _in_tasks(dealt, by, ranks)
+
+
+def _tasks(rows: DataFrame, of_a_row: int = 1) -> int:
+    return max(-(-rows.count() * of_a_row // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _dealt(rows: DataFrame, by: list[str], of_a_row: int = 1) -> DataFrame | None:
+    """rows by hash of their group, about TASK_ROWS to a task if each becomes so many there; none if a task would get twice as many or more."""
+    tasks = _tasks(rows, of_a_row)
+    loads = rows.groupBy(F.pmod(F.hash(*by), F.lit(tasks)).alias("task")).count()  # as repartition deals; a row for each task and no group
+    most = loads.agg(F.max("count")).first()[0] or 0
+    return rows.repartition(tasks, *by) if most * of_a_row < 2 * TASK_ROWS else None
+
+
+def _weight(rows: DataFrame) -> Column:
+    return F.col("_w") if "_w" in rows.columns else F.lit(1)
+
+
+def _in_tasks(rows: DataFrame, by: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    group = Window.partitionBy(*by)
+    upto = F.sum(_weight(rows)).over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumns({"_upto": upto, "n": F.sum(_weight(rows)).over(group)})
+    return found.groupBy(*by, "n").agg(*[F.min(F.when(F.col("_upto") > place(F.col("n")).cast("long"), F.col("_v"))).alias(name) for name, place in ranks.items()])
+
+
+def _spread(rows: DataFrame, by: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """values_at_ranks of large groups: equal values are counted, dealt out by ranges of (group, value) with as many different values each, and the counts
+    of a group's ranges tell in which of them a rank lies. Only these are sorted, whatever the values' distribution."""
+    counted = written(rows.repartition(_tasks(rows), *by, "_v").groupBy(*by, "_v").agg(F.sum(_weight(rows)).alias("_c")), "counted")
+    parts = _tasks(counted)
+    ranged = written(counted.repartitionByRange(parts, *by, "_v").withColumn("_p", F.spark_partition_id()), "ranged")
+    group = Window.partitionBy(*by)  # of a row for each range
+    sizes = ranged.groupBy(*by, "_p").agg(F.sum("_c").alias("_s")).withColumns({"_upto": F.sum("_s").over(group.orderBy("_p")), "n": F.sum("_s").over(group)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("n")).cast("long").alias("place")) for name, place in ranks.items()]))
+    at = sizes.withColumn("_r", wanted).where("_r.place < _upto AND _r.place >= _upto - _s")
+    at = written(at.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "_p"]], "n", F.col("_r.name").alias("_name"), (F.col("_r.place") - (F.col("_upto") - F.col("_s"))).alias("_left")), "places")
+    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
+    inner = ranged.join(at, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_p"]]).repartition(parts, *by, "_name")
     inner = inner.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_name").orderBy("_v")))
-    return inner.groupBy(*by, F.col("_n").alias("n")).agg(*[F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_left")), F.col("_v"))).alias(name) for name in ranks])
+    return inner.groupBy(*by, "n").agg(*[F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_left")), F.col("_v"))).alias(name) for name in ranks])
 
 
 def columns_at_rank(rows: DataFrame, by: list[str], columns: list[str], place: Callable[[Column], Column], few: bool = False) -> DataFrame:

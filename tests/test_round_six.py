@@ -43,3 +43,38 @@ def test_a_track_of_a_batch_asks_and_writes_each_state_once():
     assert recent.calls == 4 and frozen.calls == 3  # nothing new is frozen
     again = list(states.handleInputRows((1,), iter([row(60, brands.RESET), row(60, brands.FAILED, sim=None), row(61, brands.PASSED)]), None))
     assert [(r.state, r.similarity) for r in again] == [("BrandUnknown", None), ("BrandCandidate", 0.5)] and not frozen.rows
+
+
+def placed(data, q):
+    """sorted[int(n * q)] of each group; NaN is above all numbers."""
+    groups = {}
+    for g, v in data:
+        groups.setdefault(g, []).append(v)
+    return {g: sorted(vs, key=lambda v: (v != v, v))[min(int(len(vs) * q), len(vs) - 1)] for g, vs in groups.items()}
+
+
+@pytest.mark.parametrize("of_a_task", [500_000, 3])
+def test_ranks_of_any_values_and_of_the_group_of_nulls(spark, monkeypatch, of_a_task):
+    from lumenframe.operators import metrics
+
+    monkeypatch.setattr(metrics, "TASK_ROWS", of_a_task)
+    rng = random.Random(5)
+    odd = [float("inf"), float("-inf"), float("nan"), 1e300, -1e300]
+    data = [(g, rng.choice([*odd, *map(float, range(9))])) for g in ("a", "b", None) for _ in range(61)] + [("c", 2.0)]
+    df = spark.createDataFrame([*data, ("d", None)], "g string, v double")
+    got = {r.g: (r.p, r.q) for r in metrics.quantiles_by_rank(df, ["g"], "v", {"p": 0.5, "q": 0.95}).collect()}
+    want = {g: (p, placed(data, 0.95)[g]) for g, p in placed(data, 0.5).items()}
+    assert {g: tuple(map(repr, x)) for g, x in got.items()} == {g: tuple(map(repr, x)) for g, x in want.items()}
+
+
+def test_one_far_value_makes_no_task_of_all_others(spark, monkeypatch):
+    """By equal steps from the least to the greatest value, all values but the far one would be in one step, and so in one task."""
+    from lumenframe.operators import metrics
+
+    tables, written = {}, metrics.written
+    monkeypatch.setattr(metrics, "TASK_ROWS", 100)
+    monkeypatch.setattr(metrics, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    df = spark.range(2_000).selectExpr("'x' AS g", "CASE WHEN id = 7 THEN 1e15 ELSE cast(id * 31 % 2003 AS double) END AS v")
+    got = metrics.quantiles_by_rank(df, ["g"], "v", {"p50": 0.5}).first()
+    assert got.p50 == sorted(1e15 if i == 7 else float(i * 31 % 2003) for i in range(2_000))[1_000]
+    assert tables["ranged"].groupBy("_p").count().agg({"count": "max"}).first()[0] < 400
