@@ -80,15 +80,25 @@ def _spread(rows: DataFrame, by: list[str], ranks: dict[str, Callable[[Column],
     return inner.groupBy(*by, "n").agg(*[F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_left")), F.col("_v"))).alias(name) for name in ranks])
 
 
+def _unpivoted(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """A row for each column's value (_i, _v) that is known."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)])).alias("_l")
+    return rows.select(*by, each).select(*by, F.col("_l.i").alias("_i"), F.col("_l.v").alias("_v")).where("_v IS NOT NULL")
+
+
 def columns_at_rank(rows: DataFrame, by: list[str], columns: list[str], place: Callable[[Column], Column], few: bool = False) -> DataFrame:
-    """The value of each of some columns at a place of its sorted values, and the count n of the first, for groups that have values of all: one pass for all columns.
+    """The value of each of some columns at a place of its sorted values, and the count n of the first, for groups that have values of all.
 
+    Whole rows are dealt out, and only in their tasks become a row for each column, so a shuffle holds no more than the input.
     few says that groups have few different values, which are then counted before anything is dealt out.
     """
-    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)])).alias("_l")).select(*by, F.col("_l.i").alias("_i"), F.col("_l.v").alias("_value"))
+    rows, group = rows.select(*by, *columns), [*by, "_i"]
     if few:
-        long = written(long.groupBy(*by, "_i", "_value").agg(F.count("*").alias("_count")), "values")
-    found = values_at_ranks(long, [*by, "_i"], "_value", {"_at": place}, "_count" if few else None)
+        counted = written(_unpivoted(rows, by, columns).groupBy(*group, "_v").agg(F.count("*").alias("_count")), "values")
+        found = values_at_ranks(counted, group, "_v", {"_at": place}, "_count")
+    else:
+        dealt = _dealt(rows, by, len(columns))
+        found = _spread(_unpivoted(rows, by, columns), group, {"_at": place}) if dealt is None else _in_tasks(_unpivoted(dealt, by, columns), group, {"_at": place})
     wide = found.groupBy(*by).agg(F.max(F.when(F.col("_i") == 0, F.col("n"))).alias("n"), F.count("*").alias("_k"), *[F.max(F.when(F.col("_i") == i, F.col("_at"))).alias(c) for i, c in enumerate(columns)])
     return wide.where(F.col("_k") == len(columns)).drop("_k")
 

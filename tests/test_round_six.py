@@ -78,3 +78,11 @@ def test_one_far_value_makes_no_task_of_all_others(spark, monkeypatch):
     got = metrics.quantiles_by_rank(df, ["g"], "v", {"p50": 0.5}).first()
     assert got.p50 == sorted(1e15 if i == 7 else float(i * 31 % 2003) for i in range(2_000))[1_000]
     assert tables["ranged"].groupBy("_p").count().agg({"count": "max"}).first()[0] < 400
+
+
+def test_whole_rows_are_dealt_out_once(spark, small):
+    """A row for each channel is made behind the shuffle and not ahead of it."""
+    from lumenframe import plans
+
+    plan = plans.queries()["patch_vote"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate explode") < plan.index("REPARTITION_BY_NUM") and plan.count("REPARTITION_BY_NUM") == 1
