@@ -33,8 +33,9 @@ from lumenframe.llm.shared import freed, only, quoted, small
 BAND = (1.5, 8.0)
 #: Randomised subsets, and the shares of terms that each keeps, as powers of a half.
 SUBSETS, LEVELS = 32, (2, 4, 6, 8, 10)
-#: Hashes that a level must have to be compared; terms that are hashed at once; terms that a task counts before they go out.
-LEAST, CHUNK, COUNTED = 8, 4_096, 400_000
+#: Hashes that a level must have to be compared; terms that are hashed at once; terms that a task counts before they go out;
+#: terms of the band up to which a task holds a table of their subsets.
+LEAST, CHUNK, COUNTED, TABLE = 8, 4_096, 400_000, 1_000_000
 #: Bytes of text of a range of keys, about.
 RANGE_BYTES = 64_000_000
 SEED = 11
@@ -58,7 +59,9 @@ def terms(text: str) -> np.ndarray:
     start = np.concatenate([[0], np.flatnonzero(data == ord(" ")) + 1])
     size = np.diff(np.append(start, len(data)))
     place = np.arange(len(data)) - np.repeat(start, size)
-    return np.unique(mix(np.add.reduceat(_BYTES[data] * powers(int(size.max()))[place], start)))
+    found = np.sort(mix(np.add.reduceat(_BYTES[data] * powers(int(size.max()))[place], start)))
+    same = found[1:] == found[:-1]  # of different words, hardly ever
+    return np.delete(found, np.flatnonzero(same)) if same.any() else found
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -99,38 +102,52 @@ class Fingerprinter:
     def __init__(self, kept: np.ndarray):
         self.kept = kept
         self.seeds, self.salt = seeds(SUBSETS, SEED), seeds(1, SEED + 1)[0]
+        #: Of the kept terms: where their subsets begin, and how many and which they are; looked up instead of worked out for each text.
+        self.starts = None
+        if 0 < len(kept) <= TABLE:
+            counts, subsets = zip(*(self.subsets(kept[k : k + CHUNK]) for k in range(0, len(kept), CHUNK)), strict=True)
+            self.counts, self.table = np.concatenate(counts), np.concatenate(subsets)
+            self.starts = np.cumsum(self.counts) - self.counts
+
+    def subsets(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many subsets of all levels keep each term, and these subsets, term after term; each has its number over all levels."""
+        place = mix(some[:, None] * self.seeds)
+        within = np.concatenate([place < np.uint64(1 << (64 - level)) for level in LEVELS], axis=1)
+        return within.sum(axis=1), np.nonzero(within)[1].astype(np.uint8)
 
     def __call__(self, text: str) -> str:
         every = terms(text)
-        inside = every[self.holds(every)] if len(self.kept) else every
-        inside = inside if len(inside) else every
-        if not len(inside):
-            return BLANK * (SUBSETS * len(LEVELS))
-        hashes, sizes = np.zeros((len(LEVELS), SUBSETS), np.uint64), np.zeros((len(LEVELS), SUBSETS), np.int64)
+        at = self.places(every) if len(self.kept) else np.zeros(0, np.int64)
+        inside, looked_up = self.kept[at] if len(at) else every, len(at) and self.starts is not None
+        groups = SUBSETS * len(LEVELS)
+        hashes, sizes = np.zeros(groups, np.uint64), np.zeros(groups, np.int64)
         for k in range(0, len(inside), CHUNK):
             some = inside[k : k + CHUNK]
-            place, value = mix(some * self.seeds[:, None]), mix(some ^ self.salt)
-            subset, term = np.nonzero(place < np.uint64(1 << (64 - LEVELS[0])))  # subsets of higher levels lie within these
-            place = place[subset, term]
-            for i, level in enumerate(LEVELS):
-                within = place < np.uint64(1 << (64 - level))
-                subset, term, place = subset[within], term[within], place[within]
-                if not len(subset):
-                    break
-                first = np.flatnonzero(np.concatenate([[True], subset[1:] != subset[:-1]]))
-                at, n = subset[first], np.diff(np.append(first, len(subset)))
-                rank = np.arange(len(subset)) - np.repeat(first, n) + np.repeat(sizes[i, at], n)
-                # the terms of a subset are digits of a number, in their order
-                hashes[i, at] += np.add.reduceat(value[term] * powers(int(rank.max()) + 1)[rank], first)
-                sizes[i, at] += n
+            if looked_up:
+                counts = self.counts[at[k : k + CHUNK]]
+                ends = np.cumsum(counts)
+                subset = self.table[np.arange(ends[-1]) + np.repeat(self.starts[at[k : k + CHUNK]] - ends + counts, counts)]
+            else:
+                counts, subset = self.subsets(some)
+            if not len(subset):
+                continue
+            order = np.argsort(subset, kind="stable")  # the terms of a subset stay in their order
+            n = np.bincount(subset, minlength=groups)
+            first, found = np.cumsum(n) - n, np.flatnonzero(n)
+            rank = np.arange(len(order)) + np.repeat(sizes - first, n)
+            # the terms of a subset are digits of a number
+            digits = np.repeat(mix(some ^ self.salt), counts)[order] * powers(int(rank.max()) + 1)[rank]
+            hashes[found] += np.add.reduceat(digits, first[found])
+            sizes += n
         digests = (mix(hashes + sizes.astype(np.uint64)) >> np.uint64(48)).astype(">u2")
         out = np.frombuffer(digests.tobytes().hex().encode(), "S4").copy()
-        out[sizes.ravel() == 0] = BLANK
+        out[sizes == 0] = BLANK
         return out.tobytes().decode()
 
-    def holds(self, every: np.ndarray) -> np.ndarray:
+    def places(self, every: np.ndarray) -> np.ndarray:
+        """Places of those terms that are kept."""
         at = np.minimum(np.searchsorted(self.kept, every), len(self.kept) - 1)
-        return self.kept[at] == every
+        return at[self.kept[at] == every]
 
 
 _POWERS = [np.ones(1, np.uint64)]
