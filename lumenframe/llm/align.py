@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.bpe import PATTERN, byte_letters
-from lumenframe.llm.shared import freed, materialize, only, small
+from lumenframe.llm.shared import freed, held, materialize, only, small
 
 #: Characters of texts whose tokens are held at a time in a worker.
 BLOCK_CHARS = 1_000_000
@@ -94,6 +94,7 @@ class Pair:
         return np.array([[f"{i}{c}" for i in range(max(map(len, self.widths)))] for c in ",|;"], object)
 
 
+@held
 @lru_cache(1)
 def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)

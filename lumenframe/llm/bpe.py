@@ -37,7 +37,7 @@ import regex
 from ahocorasick import Automaton
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm.shared import freed, only, quoted
+from lumenframe.llm.shared import freed, held, only, quoted
 
 #: Fixed pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -269,6 +269,7 @@ class Codec:
         return size // 4, of_ids.hexdigest(), of_text.hexdigest()
 
 
+@held
 @lru_cache(1)
 def codec(path: str) -> Codec:
     return Codec(path)

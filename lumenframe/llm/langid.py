@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import freed, quoted, sampled
+from lumenframe.llm.shared import freed, held, quoted, sampled, with_text
 
 SYMBOLS, DIM, SEED = 64, 512, 20_240
 #: Training texts of each language, about; characters of a slice; trigrams whose vectors are held at once; texts
@@ -127,6 +127,7 @@ def groups(texts: pa.Array) -> Iterator[list[str | None]]:
         yield out
 
 
+@held
 @lru_cache(1)
 def space() -> Space:
     return Space()
@@ -176,13 +177,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(-1, DIM)
     by = np.array([np.inf if spread is None else spread.get(k, np.inf) for k in names])
     more = ["lang_pred", "score"] if spread is None else ["lang_pred", "score", "least"]
-    rows = docs.select(*[docs[c] for c in carry], docs[text].alias("__text"))
-    n = len(carry)
+    (rows, at), n = with_text(docs, carry, text), len(carry)
 
     def run(batches):
         for batch in batches:
             langs, scores, leasts = [], [], []
-            for texts in groups(batch.column(n)):
+            for texts in groups(batch.column(at)):
                 if not names:
                     langs += ["und"] * len(texts)
                     scores += [0.0] * len(texts)

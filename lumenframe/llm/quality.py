@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.hashing import Remembered, mix, word_hash
 from lumenframe.llm.quantile import Search, search
-from lumenframe.llm.shared import freed, materialize, quoted
+from lumenframe.llm.shared import freed, materialize, quoted, with_text
 
 #: Buckets of the n-grams.
 BUCKETS = 1 << 16
@@ -93,13 +93,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns and log_weight, the sum of the log ratios of a document's n-grams."""
-    rows = docs.select(*[docs[c] for c in carry], docs[text].alias("__text"))
-    n = len(carry)
+    (rows, at), n = with_text(docs, carry, text), len(carry)
 
     def run(batches):
         grams = Grams()
         for batch in batches:
-            out = [round(float(sum(ratio[some].sum() for some in grams(t.as_py()))), 9) for t in batch.column(n)]
+            out = [round(float(sum(ratio[some].sum() for some in grams(t.as_py()))), 9) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.float64())], names=[*carry, "log_weight"])
 
     fields = [f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in carry]

@@ -15,12 +15,14 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 from lumenframe.sources.scratch import scratch_root
 from lumenframe.sources.ship import ship
 
-__all__ = ["ascii_lower", "drop_scratch", "freed", "materialize", "only", "quoted", "sampled", "scratch_root", "ship", "small"]
+__all__ = ["ascii_lower", "drop_scratch", "freed", "held", "materialize", "only", "quoted", "release_others", "sampled", "scratch_root", "ship", "small", "trimmed", "with_text"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Tables that are broadcast have at most so many rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
+#: Functions whose caches outlive their tasks.
+_HELD: list = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +55,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def with_text(df: DataFrame, carry: tuple[str, ...], text: str) -> tuple[DataFrame, int]:
+    """The carried columns and the text, and its place; a text that is carried stands there once."""
+    columns = [df[c] for c in carry]
+    return (df.select(*columns), carry.index(text)) if text in carry else (df.select(*columns, df[text].alias("__text")), len(carry))
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if its rows and bytes are few enough; else joins shuffle it."""
 
@@ -86,15 +94,37 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def held(cached):
+    """cached, a function with a cache that outlives its tasks; it is emptied when a worker gets a task of another module."""
+    _HELD.append(cached)
+    return cached
+
+
+def trimmed() -> None:
+    """Give unused memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def release_others(module: str) -> None:
+    """Empty the caches that the tasks of other modules have left in this worker."""
+    others = [cached for cached in _HELD if cached.__module__ != module and cached.cache_info().currsize]
+    for cached in others:
+        cached.cache_clear()
+    if others:
+        trimmed()
+
+
 def freed(run):
-    """run, a function of Arrow batches, whose task gives back what its worker no longer needs."""
+    """run, a function of Arrow batches, whose task gives back what its worker no longer needs, before it begins and when it ends."""
+    module = run.__module__
 
     @wraps(run)
     def task(batches):
+        release_others(module)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trimmed()
 
     return task
